@@ -17,9 +17,12 @@ _POSITIVE_INFINITY = ["inf", "+inf", "infinity", "+infinity"]
 _NEGATIVE_INFINITY = ["-inf", "-infinity"]
 
 
-def missing_to_null(column: Column) -> Column:
+_NA_LIST = ", ".join(f"'{token}'" for token in fixed.NA_TOKENS)
+
+
+def missing_to_null(name: str) -> Column:
     """Text tokens that stand for a missing value become null."""
-    return F.when(~column.isin(fixed.NA_TOKENS), column)
+    return F.expr(f"CASE WHEN `{name}` NOT IN ({_NA_LIST}) THEN `{name}` END")
 
 
 def strip_text(column: Column) -> Column:

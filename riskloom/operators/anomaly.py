@@ -158,14 +158,17 @@ def fit_forest(
         )
 
     candidates = tree_samples(df, key, rows, trees, sample, seed, pool)
+    # little data but much work per group: a set number of tasks keeps it from being merged
+    tasks = max(1, min(trees, df.sparkSession.sparkContext.defaultParallelism))
     grown = (
-        candidates.groupBy("tree")
+        candidates.repartition(tasks, "tree")
+        .groupBy("tree")
         .applyInPandas(
             grow, "tree int, feature array<int>, threshold array<double>, depth array<double>"
         )
-        .orderBy("tree")
         .collect()
     )
+    grown.sort(key=lambda row: row["tree"])
     if not grown:
         raise ValueError("a forest needs at least one row")
     return Forest(

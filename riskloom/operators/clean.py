@@ -16,7 +16,7 @@ def normalize_na(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     kinds = {field.name: field.dataType for field in df.schema.fields}
     return df.select(
         *[
-            coerce.missing_to_null(F.col(name)).alias(name)
+            coerce.missing_to_null(name).alias(name)
             if name in chosen and isinstance(kinds[name], T.StringType)
             else F.col(name)
             for name in df.columns
