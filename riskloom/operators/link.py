@@ -91,7 +91,7 @@ def lookup(
 
 
 def is_small(df: DataFrame, rows: int = SMALL_LOOKUP_ROWS) -> bool:
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+    return df.count() <= rows
 
 
 def _suffixed(dimension: DataFrame, taken: list[str], key: str, suffix: str) -> dict[str, str]:

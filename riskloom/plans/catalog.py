@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -28,6 +29,7 @@ from riskloom.operators import (
 from riskloom.operators.anomaly import normalize_score, score_range
 from riskloom.plans import labels, report, scoring, virtual
 from riskloom.plans.explorer import explorer_rows
+from riskloom.session import tune
 from riskloom.sources.jsonl import mark_documents, read_jsonl_numbered
 from riskloom.sources.sinks import write_verdicts
 from riskloom.sources.staging import shared_folder, stage
@@ -39,8 +41,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @functools.wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(tune(spark), sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,13 @@ from riskloom.operators.verdict import decide, verdicts
 from riskloom.sources.staging import stage
 
 KEY = "transaction_id"
+# what rules and features read of a linked row
+SCORING_COLUMNS = [
+    KEY, "amount", "amount_invalid", "ts_invalid", "hour", "status_clean",
+    "is_foreign_transaction_b", "is_new_device_b", "is_card_present_b",
+    "amount_to_account_avg_ratio", "distance_from_home_km", "txn_count_last_24h",
+    "time_since_prev_txn_mins", "risk_rating", "kyc_status", "is_politically_exposed",
+]
 
 
 def deduplicated(transactions: DataFrame, order_by: list[str] | None = None) -> DataFrame:
@@ -143,10 +150,14 @@ def score(
     """The whole job; returns scored rows and the model.
 
     Two tables are staged: the linked rows, which the statistics read by column, and the raw
-    scores, so that the trees are run over the rows only once.  ``keep`` cuts the second down
-    to the columns that are wanted afterwards.
+    scores, so that the trees are run over the rows only once.  ``keep`` cuts both down to
+    what scoring needs and the columns that are wanted afterwards.
     """
-    linked = stage(prepare(transactions, accounts, customers, **options), "linked")
+    linked = prepare(transactions, accounts, customers, **options)
+    if keep is not None:
+        wanted = set(SCORING_COLUMNS) | set(keep)
+        linked = linked.select(*[name for name in linked.columns if name in wanted])
+    linked = stage(linked, "linked")
     model = fit_trees(linked)
     raw = raw_scores(linked, model)
     if keep is not None:

@@ -21,7 +21,7 @@ def has_open_quotes(spark: SparkSession, path: str) -> bool:
     """Whether some line has an odd number of quotes, as a quoted line break leaves behind."""
     lines = spark.read.text(path)
     quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).limit(1).isEmpty()
+    return bool(lines.agg(F.bool_or(quotes % 2 == 1)).first()[0])
 
 
 def read_raw_table(
