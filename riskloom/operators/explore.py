@@ -55,14 +55,21 @@ def shown_number(document: Column, name: str) -> Column:
 
 
 def verdict_rows(marked: DataFrame) -> DataFrame:
-    """Verdict fields of tolerantly read lines; malformed lines drop out."""
+    """Verdict fields of tolerantly read lines; malformed lines drop out.
+
+    They drop out behind a generator: a plain filter would be pushed below the parsing and
+    parse every line again.
+    """
     doc = F.col("doc")
-    return marked.where(~F.col("malformed")).select(
+    fields = F.struct(
         shown_value(doc, "transaction_id").alias("transaction_id"),
         truthy(doc, "is_fraud").alias("is_fraud"),
         shown_number(doc, "confidence").alias("confidence"),
         shown_value(doc, "justification").alias("justification"),
     )
+    kept = F.when(~F.col("malformed"), F.array(fields))
+    rows = marked.select(F.explode_outer(kept).alias("v"))
+    return rows.where(F.col("v").isNotNull()).select("v.*")
 
 
 def _dimension(table: DataFrame | None, key: str, fields: dict[str, str]) -> DataFrame | None:

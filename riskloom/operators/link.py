@@ -174,19 +174,21 @@ def assert_same_rows(before: DataFrame, after: DataFrame) -> int:
     return got
 
 
-def id_ledger(expected: DataFrame, produced: DataFrame, key: str) -> DataFrame:
-    """Per non-null id, how often it was expected and produced: one grouped pass for both.
+def id_ledger(
+    expected: DataFrame | None, produced: DataFrame, key: str, times: str | None = None
+) -> DataFrame:
+    """Per id, how often it was expected and produced: one grouped pass for both.
 
-    Counts are summed up before the shuffle, so a much repeated id is no burden.
+    Counts are summed up before the shuffle, so a much repeated id is no burden.  Null is not
+    expected; ``times`` is a column of how often a row counts as produced.
     """
-    left = expected.select(F.col(key).alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"))
-    right = produced.select(F.col(key).alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"))
-    return (
-        left.where(F.col("id").isNotNull())
-        .unionByName(right)
-        .groupBy("id")
-        .agg(F.sum("i").alias("expected"), F.sum("o").alias("produced"))
-    )
+    count = F.lit(1) if times is None else F.col(times)
+    rows = produced.select(F.col(key).alias("id"), F.lit(0).alias("i"), count.alias("o"))
+    if expected is not None:
+        wanted = expected.select(F.col(key).alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"))
+        rows = wanted.where(F.col("id").isNotNull()).unionByName(rows)
+    totals = rows.groupBy("id").agg(F.sum("i").alias("expected"), F.sum("o").alias("produced"))
+    return totals.where((F.col("expected") > 0) | (F.col("produced") > 0))
 
 
 def coverage(ledger: DataFrame) -> DataFrame:

@@ -105,22 +105,32 @@ def check_lines(lines: DataFrame, line: str = "line", value: str = "value") -> D
 
 
 def line_failures(checked: DataFrame) -> DataFrame:
-    """One row (line, check, message) per failed check."""
-    exploded = checked.select("line", F.explode("failures").alias("f"))
-    return exploded.select("line", F.col("f.check").alias("check"), F.col("f.message").alias("message"))
+    """One row (line, check, message) per failed check.
+
+    The outer form keeps Spark from inferring a filter on the array, which it would push
+    below the parsing and so parse every line many times over.
+    """
+    exploded = checked.select("line", F.explode_outer("failures").alias("f"))
+    return exploded.where(F.col("f").isNotNull()).select(
+        "line", F.col("f.check").alias("check"), F.col("f.message").alias("message")
+    )
 
 
 def ledger(checked: DataFrame, inputs: DataFrame | None, key: str = "transaction_id") -> DataFrame:
-    """How often each id was expected and produced.  Ids that are no strings match nothing."""
-    produced = checked.where("fields_ok").select(
+    """How often each id was expected and produced.  Ids that are no strings match nothing.
+
+    Lines without the four keys have no id; they fall out after the grouping, not by a
+    filter on parsed columns, which would be pushed below the parsing and repeat it.
+    """
+    produced = checked.select(
         F.when(F.col("id_is_text"), F.col("id"))
-        .otherwise(F.concat(F.lit("\x00"), F.coalesce("id", F.lit("null"))))
-        .alias("id")
+        .when(F.col("fields_ok"), F.concat(F.lit("\x00"), F.coalesce("id", F.lit("null"))))
+        .alias("id"),
+        F.col("fields_ok").cast("int").alias("times"),
     )
     if inputs is None:
-        inputs = produced.where(F.lit(False))
-        key = "id"
-    return id_ledger(inputs.select(F.col(key).alias("id")), produced, "id")
+        return id_ledger(None, produced, "id", "times")
+    return id_ledger(inputs.select(F.col(key).alias("id")), produced, "id", "times")
 
 
 def _global_failure(ids: DataFrame, check: str, message: str, examples: int = 3) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.sources.tables import spread
+
 _ID = "'TXN_' || lpad(CAST(o_orderkey AS STRING), 10, '0')"
 _PRICE = "CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING)"
 _DAY = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
@@ -164,7 +166,7 @@ def customers_sql(customer: str = "customer") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,15 @@ def has_open_quotes(spark: SparkSession, path: str) -> bool:
     return bool(lines.agg(F.bool_or(quotes % 2 == 1)).first()[0])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the source has fewer splits than there are cores.
+
+    A table of many splits is left alone: nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_raw_table(
     spark: SparkSession, path: str, multiline: bool | None = None, position: bool = False
 ) -> DataFrame:
