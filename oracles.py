@@ -419,6 +419,11 @@ FLAGS_B = _all([f"{c}_b" for c in fixed.FLAG_COLUMNS])
 
 ORACLES: dict[str, str] = {
     "normalize_missing": f"WITH {RAW} SELECT * FROM t0",
+    "infer_numbers": (
+        f"WITH {RAW} SELECT DISTINCT transaction_id, {_number('amount_to_account_avg_ratio')} AS amount_to_account_avg_ratio, "
+        f"{_number('time_since_prev_txn_mins')} AS time_since_prev_txn_mins, "
+        "CAST(txn_count_last_24h AS BIGINT) AS txn_count_last_24h FROM t0"
+    ),
     "clean_amounts": (
         f"WITH {RAW}, t2 AS ({_cleaned('t0')}) SELECT transaction_id, amount AS amount_raw, num AS amount, "
         "amount_invalid, CASE WHEN amount_invalid THEN (SELECT median(num) FROM t2 WHERE NOT amount_invalid) "
@@ -456,7 +461,8 @@ ORACLES: dict[str, str] = {
         f"WITH {RAW}, {DISTINCT} SELECT (SELECT count(*) FROM t0) AS rows, "
         "(SELECT count(*) FROM t0) - (SELECT count(*) FROM d) AS full_duplicates, "
         "(SELECT count(*) FROM d) - (SELECT count(DISTINCT transaction_id) FROM t0) AS key_duplicates, "
-        "(SELECT count(DISTINCT transaction_id) FROM t0) AS keys"
+        "(SELECT count(DISTINCT transaction_id) FROM t0) AS keys, "
+        "(SELECT count(DISTINCT transaction_id) FROM t0) AS present_keys"
     ),
     "join_chain": f"WITH {LINKED} SELECT {LINK_COLUMNS} FROM linked",
     "join_chain_balanced": f"WITH {LINKED} SELECT {LINK_COLUMNS} FROM linked",
@@ -624,3 +630,26 @@ ORACLES["feature_prompts"] = (
     f"{SUMMARY_TEXT} || chr(10) || 'Label:' AS prompt, "
     "CASE WHEN is_fraud THEN ' FRAUD' ELSE ' LEGITIMATE' END AS completion FROM safe"
 )
+
+
+def _registry() -> str:
+    steps, source = [], "t0"
+    for n, column in enumerate(fixed.UNTRUSTED_COLUMNS):
+        folded = f"translate(nfc_normalize({column}), {_quoted(_FULL)}, {_quoted(_HALF)})"
+        pattern = _quoted(injection_pattern(edge="\\b"))
+        steps += [
+            f"p{n} AS (SELECT *, regexp_replace({folded}, '{_UNPRINTABLE}', '', 'g') AS p FROM {source})",
+            f"o{n} AS (SELECT *, translate(p, '<>', '  ') AS o FROM p{n})",
+            f"m{n} AS (SELECT *, regexp_replace(o, {pattern}, '[redacted]', 'gi') AS m FROM o{n})",
+            f"b{n} AS (SELECT *, trim(regexp_replace(m, ' +', ' ', 'g')) AS b FROM m{n})",
+            f"r{n} AS (SELECT * EXCLUDE (p, o, m, b), CASE WHEN {column} IS NULL THEN '(none)' "
+            f"WHEN b = '' THEN '(empty)' WHEN length(b) > {fixed.TEXT_LIMIT} THEN "
+            f"substring(b, 1, {fixed.TEXT_LIMIT}) || '{fixed.ELLIPSIS}' ELSE b END AS {column}_safe, "
+            f"coalesce(o <> p OR m <> o, false) AS {column}_flagged FROM b{n})",
+        ]
+        source = f"r{n}"
+    names = [f"{c}_{part}" for part in ("safe", "flagged") for c in fixed.UNTRUSTED_COLUMNS]
+    return f"WITH {RAW}, {', '.join(steps)} SELECT transaction_id, {_all(names)} FROM {source}"
+
+
+ORACLES["sanitize_registry"] = _registry()

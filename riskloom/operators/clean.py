@@ -24,6 +24,49 @@ def normalize_na(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
+_WHOLE = r"^\s*[+-]?[0-9]{1,18}\s*$"
+
+
+def infer_numbers(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
+    """Types a reader that infers them would give text columns, found in one pass.
+
+    ``bigint`` if every row holds a whole number, ``double`` if every value is a number and
+    there is one, else not listed.  One aggregate row reaches the driver.
+    """
+    names = [
+        field.name
+        for field in df.schema.fields
+        if isinstance(field.dataType, T.StringType) and field.name in (columns or df.columns)
+    ]
+    if not names:
+        return {}
+    tests = []
+    for name in names:
+        value = F.col(name)
+        tests.append(F.bool_and(coerce.to_number(value).isNotNull() | value.isNull()))
+        tests.append(F.bool_and(F.coalesce(value.rlike(_WHOLE), F.lit(False))))
+        tests.append(F.count(value) > 0)
+    row = df.agg(*[test.alias(f"t{i}") for i, test in enumerate(tests)]).first()
+    kinds = {}
+    for index, name in enumerate(names):
+        numeric, whole, any_value = row[3 * index : 3 * index + 3]
+        if any_value and numeric:
+            kinds[name] = "bigint" if whole else "double"
+    return kinds
+
+
+def as_read(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Text columns cast to inferred types, so that ``5`` and ``5.0`` are the same value."""
+    return df.withColumns(
+        {
+            name: coerce.to_number(F.col(name)).cast(kind)
+            if kind == "double"
+            else F.trim(F.col(name)).try_cast(kind)
+            for name, kind in kinds.items()
+        }
+    )
+
+
 def select_present(df: DataFrame, columns: list[str], rename: dict[str, str] | None = None) -> DataFrame:
     """The listed columns that exist, some under another name."""
     rename = rename or {}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import fixed
+from riskloom.operators.clean import as_read
 from riskloom.operators.text import completion, feature_prompt, gold_label, sanitize
 
 # hex digits of the hash looked at per counting job: at most 16 ** 3 groups per cut
@@ -13,9 +14,15 @@ STEP = 3
 HASH_DIGITS = 32
 
 
-def prompt_pairs(scored: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Prompt and completion of scored rows, beside the columns to keep."""
-    safe = sanitize(scored, "merchant_name")
+def prompt_pairs(
+    scored: DataFrame, keep: list[str] | None = None, kinds: dict[str, str] | None = None
+) -> DataFrame:
+    """Prompt and completion of scored rows, beside the columns to keep.
+
+    ``kinds`` are inferred types of text columns (``infer_numbers``), for numbers to be shown
+    as numbers; without them text is shown as it was read.
+    """
+    safe = sanitize(as_read(scored, kinds) if kinds else scored, "merchant_name")
     return safe.select(
         *(keep or ["transaction_id"]),
         feature_prompt(safe).alias("prompt"),

@@ -42,7 +42,7 @@ def keep_last(df: DataFrame, key: str, order_by: list[str] | None = None) -> Dat
 
 
 def duplicate_counts(df: DataFrame, key: str) -> DataFrame:
-    """One row: all rows, distinct rows, distinct keys (null is one), and what dedupe drops.
+    """One row: all rows, what dedupe drops, and distinct keys with and without null.
 
     Two levels of grouping, each summed up before its shuffle.
     """
@@ -55,6 +55,7 @@ def duplicate_counts(df: DataFrame, key: str) -> DataFrame:
         F.coalesce(F.sum(F.col("rows") - F.col("variants")), F.lit(0)).alias("full_duplicates"),
         F.coalesce(F.sum(F.col("variants") - 1), F.lit(0)).alias("key_duplicates"),
         F.count(F.lit(1)).alias("keys"),
+        F.count(key).alias("present_keys"),
     )
 
 

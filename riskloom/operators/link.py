@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom import fixed
 from riskloom.operators.clean import select_present
 from riskloom.operators.dedupe import keep_first
+from riskloom.sources.staging import stage
 
 # lookup tables up to this many rows are left to Spark's own choice of join, which
 # broadcasts by measured size
@@ -34,7 +35,7 @@ def heavy_keys(
     driver whatever the size of the table.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return _heavy(counts, key, share, min_rows)
+    return _heavy(stage(counts, "key-counts"), key, share, min_rows)
 
 
 def heavy_links(
@@ -52,6 +53,7 @@ def heavy_links(
     pairs = transactions.groupBy("account_id", own.cast("string").alias("own")).agg(
         F.count(F.lit(1)).alias("rows")
     )
+    pairs = stage(pairs, "pair-counts")
     owners = account_side.select("account_id", "customer_id_acct")
     effective = effective_customer(F.col("customer_id_acct"), F.col("own"))
     by_customer = pairs.join(owners, "account_id", "left").select(

@@ -6,63 +6,92 @@ put together by a union and one last small group, never by a join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import fixed
 from riskloom.operators.dedupe import duplicate_counts
+from riskloom.operators.text import sanitize
 
 
-def metric_rows(one_row: DataFrame, section: str) -> DataFrame:
-    """A one-row frame of numbers as rows (section, metric, value)."""
+def metric_rows(one_row: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
+    """Numbers of a one-row frame as rows (section, metric, value), all from one aggregate."""
     entries = [
         F.struct(
             F.lit(section).alias("section"),
             F.lit(name).alias("metric"),
             F.col(name).cast("double").alias("value"),
         )
-        for name in one_row.columns
+        for section, names in sections.items()
+        for name in names
     ]
     return one_row.select(F.inline(F.array(*entries)))
 
 
-def record_counts(customers: DataFrame, accounts: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Raw rows and distinct non-null keys of the three raw tables, as metric rows.
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda left, right: left.unionByName(right), parts)
+
+
+def key_counts(table: DataFrame, key: str, rows: str, keys: str) -> DataFrame:
+    """One row: rows and distinct non-null keys, copies being summed up before the shuffle."""
+    per_key = table.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(rows), F.count(key).alias(keys))
 
-    Distinct keys are found by grouping, which sums copies up before the shuffle.
-    """
-    parts = []
-    for table, key, names in [
-        (customers, "customer_id", ("customers_raw", "customers_dedup")),
-        (accounts, "account_id", ("accounts_raw", "accounts_dedup")),
-        (transactions, "transaction_id", ("transactions_raw", "transactions_unique_ids")),
-    ]:
-        per_key = table.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-        counts = per_key.agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias(names[0]), F.count(key).alias(names[1])
-        )
-        parts.append(metric_rows(counts, "record_counts"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+def record_counts(customers: DataFrame, accounts: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Raw rows and distinct non-null keys of the three raw tables, as metric rows."""
+    return union_all(
+        [
+            metric_rows(key_counts(table, key, rows, keys), {"record_counts": [rows, keys]})
+            for table, key, rows, keys in [
+                (customers, "customer_id", "customers_raw", "customers_dedup"),
+                (accounts, "account_id", "accounts_raw", "accounts_dedup"),
+                (transactions, "transaction_id", "transactions_raw", "transactions_unique_ids"),
+            ]
+        ]
+    )
 
 
-def duplicates_removed(transactions: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """One row: exact copies dropped, then rows with a repeated id dropped."""
+def transaction_counts(transactions: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """One row of all counts that need the raw rows grouped: rows, ids and dropped copies."""
     return duplicate_counts(transactions, key).select(
+        F.col("rows").alias("transactions_raw"),
+        F.col("present_keys").alias("transactions_unique_ids"),
         F.col("full_duplicates").alias("txn_full_duplicate_rows"),
         F.col("key_duplicates").alias("txn_duplicate_ids_after"),
     )
 
 
-def invalid_counts(cleaned: DataFrame) -> DataFrame:
-    """One row over deduplicated, cleaned transactions; missing counts as non-numeric."""
-    return cleaned.agg(
+def _invalid() -> list[Column]:
+    return [
         F.count_if(F.col("amount").isNull()).alias("amount_non_numeric"),
         F.count_if(F.col("amount") <= 0).alias("amount_non_positive"),
         F.count_if(F.col("ts").isNull()).alias("timestamp_unparseable"),
         F.count_if("ts_future").alias("timestamp_in_future"),
+    ]
+
+
+def invalid_counts(cleaned: DataFrame) -> DataFrame:
+    """One row over deduplicated, cleaned transactions; missing counts as non-numeric."""
+    return cleaned.agg(*_invalid())
+
+
+def linked_counts(linked: DataFrame) -> DataFrame:
+    """One row of all counts over linked rows: invalid values, orphans and rows."""
+    return linked.agg(
+        *_invalid(),
+        F.count_if("orphan_account").alias("txn_account_id_not_in_accounts"),
+        F.count_if("orphan_customer").alias("txn_customer_id_not_in_customers"),
+        F.count(F.lit(1)).alias("transactions_final"),
     )
 
 
+def _missing(fields: list[str]) -> list[Column]:
+    return [F.count_if(F.col(name).isNull()).alias(name) for name in fields]
+
+
 def missing_by_field(raw: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Rows (position, field, missing) for the fields that exist and miss something.
 
@@ -71,7 +100,6 @@ def missing_by_field(raw: DataFrame, fields: list[str] | None = None) -> DataFra
     fields = [name for name in fields or fixed.REPORTED_FIELDS if name in raw.columns]
     if not fields:
         return raw.sparkSession.createDataFrame([], "position int, field string, missing bigint")
-    counts = raw.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in fields])
     entries = [
         F.struct(
             F.lit(place).alias("position"), F.lit(name).alias("field"),
@@ -79,9 +107,23 @@ def missing_by_field(raw: DataFrame, fields: list[str] | None = None) -> DataFra
         )
         for place, name in enumerate(fields)
     ]
+    counts = raw.agg(*_missing(fields))
     return counts.select(F.inline(F.array(*entries))).where(F.col("missing") > 0)
 
 
+def raw_text_counts(raw: DataFrame) -> DataFrame:
+    """Metric rows of one pass over raw rows: missing values, and merchants that look hostile."""
+    fields = [name for name in fixed.REPORTED_FIELDS if name in raw.columns]
+    safe = sanitize(raw, "merchant_name", "__safe", "__flagged")
+    hostile = F.count_if("__flagged").alias("merchant_strings_flagged")
+    counts = safe.agg(hostile, *_missing(fields))
+    rows = metric_rows(
+        counts,
+        {"prompt_injection": ["merchant_strings_flagged"], "missing_values_by_field": fields},
+    )
+    return rows.where((F.col("section") != "missing_values_by_field") | (F.col("value") > 0))
+
+
 def top_missing(missing: DataFrame, rows: int = 6) -> DataFrame:
     """The fields that miss most, ties in field order."""
     return missing.orderBy(F.desc("missing"), F.asc("position")).limit(rows)

@@ -86,6 +86,15 @@ def normalize_missing(spark, sf_dir):
     return _raw(spark, sf_dir)
 
 
+@query
+def infer_numbers(spark, sf_dir):
+    """Which columns read as numbers, and exact copies among rows compared as read."""
+    raw = _raw(spark, sf_dir)
+    kinds = clean.infer_numbers(raw)
+    typed = clean.as_read(raw, kinds).select(KEY, *sorted(kinds))
+    return dedupe.drop_exact(typed)
+
+
 @query
 def clean_amounts(spark, sf_dir):
     cleaned = clean.clean_amount(_raw(spark, sf_dir))

@@ -11,10 +11,12 @@ from riskloom.operators.evaluate import confusion_scores
 from riskloom.operators.text import gold_label, parse_label
 
 
-def labelled_splits(scored: DataFrame, seed: int = fixed.SEED) -> DataFrame:
-    """(transaction_id, prompt, completion, split) of scored rows."""
+def labelled_splits(
+    scored: DataFrame, seed: int = fixed.SEED, kinds: dict[str, str] | None = None
+) -> DataFrame:
+    """(transaction_id, split, prompt, completion) of scored rows."""
     # the split is found from the keys alone, before the prompts are built
-    return prompt_pairs(split_exact(scored, seed=seed), ["transaction_id", "split"])
+    return prompt_pairs(split_exact(scored, seed=seed), ["transaction_id", "split"], kinds)
 
 
 def answer_scores(answers: DataFrame, by: list[str] | None = None) -> DataFrame:

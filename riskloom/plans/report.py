@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from riskloom.operators import quality
 from riskloom.operators.clean import normalize_na
-from riskloom.operators.link import orphan_counts
-from riskloom.operators.text import sanitize
 from riskloom.operators.verdict import verdict_rate
 
 
@@ -19,42 +16,43 @@ def report_metrics(
     linked: DataFrame,
     scored: DataFrame,
 ) -> DataFrame:
-    """All counts as rows (section, metric, value); nothing is evaluated here."""
+    """All counts as rows (section, metric, value); nothing is evaluated here.
+
+    One aggregate per table and grouping: what can be counted in the same pass is.
+    """
     raw = normalize_na(transactions)
-    orphans = orphan_counts(linked)
-    sections = [
-        quality.record_counts(normalize_na(customers), normalize_na(accounts), raw),
-        quality.metric_rows(
-            orphans.select(F.col("rows").alias("transactions_final")), "record_counts"
-        ),
-        quality.metric_rows(quality.duplicates_removed(raw), "duplicates_removed"),
-        quality.metric_rows(quality.invalid_counts(linked), "invalid_or_corrupt"),
-        quality.metric_rows(
-            orphans.select(
-                F.col("orphan_accounts").alias("txn_account_id_not_in_accounts"),
-                F.col("orphan_customers").alias("txn_customer_id_not_in_customers"),
+    counted = [
+        (
+            quality.key_counts(
+                normalize_na(customers), "customer_id", "customers_raw", "customers_dedup"
             ),
-            "orphaned_relationships",
+            ["record_counts"],
         ),
-        quality.missing_by_field(raw).select(
-            F.lit("missing_values_by_field").alias("section"),
-            F.col("field").alias("metric"),
-            F.col("missing").cast("double").alias("value"),
+        (
+            quality.key_counts(
+                normalize_na(accounts), "account_id", "accounts_raw", "accounts_dedup"
+            ),
+            ["record_counts"],
         ),
-        quality.metric_rows(
-            quality.flagged_text(sanitize(raw.select(*_merchant(raw)), "merchant_name")),
-            "prompt_injection",
+        (quality.transaction_counts(raw), ["record_counts", "duplicates_removed"]),
+        (
+            quality.linked_counts(linked),
+            ["record_counts", "invalid_or_corrupt", "orphaned_relationships"],
         ),
-        quality.metric_rows(verdict_rate(scored), "flagged_transactions"),
+        (verdict_rate(scored), ["flagged_transactions"]),
     ]
-    out = sections[0]
-    for part in sections[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _merchant(raw: DataFrame) -> list[str]:
-    return [name for name in ("merchant_name",) if name in raw.columns] or raw.columns[:1]
+    parts = [quality.raw_text_counts(raw)]
+    for one_row, sections in counted:
+        names = {
+            section: [
+                name
+                for name in [*quality.REPORT_SECTIONS[section], "fraud_rate"]
+                if name in one_row.columns
+            ]
+            for section in sections
+        }
+        parts.append(quality.metric_rows(one_row, names))
+    return quality.union_all(parts)
 
 
 def quality_report(

@@ -14,9 +14,9 @@ from riskloom.sources.tables import read_table
 def validate_lines(
     lines: DataFrame, inputs: DataFrame | None, line: str = "line", value: str = "value"
 ) -> tuple[DataFrame, DataFrame]:
-    """(summary, failures) of verdict lines; the parsed lines are kept, narrow, for both."""
+    """(summary, failures) of verdict lines; parsed lines and id counts are kept for both."""
     checked = validate.check_lines(lines, line, value).persist(StorageLevel.MEMORY_AND_DISK)
-    ids = validate.ledger(checked, inputs)
+    ids = validate.ledger(checked, inputs).persist(StorageLevel.MEMORY_AND_DISK)
     known = inputs is not None
     return (
         validate.summary(checked, ids, known),

@@ -12,6 +12,9 @@ from riskloom.functions.coerce import strip_text
 from riskloom.sources.tables import path_missing
 
 
+MAX_BROADCAST_BLOCKS = 1_000_000
+
+
 def parse_document(line: Column) -> Column:
     """One JSON document per line to a variant; null unless the whole line is valid JSON.
 
@@ -83,6 +86,9 @@ def read_jsonl_numbered(spark: SparkSession, path: str) -> DataFrame:
     offsets = blocks.select(
         "file", "block", "start", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before")
     )
+    # one small row per block of a file; very many small files are left to a shuffled join
+    if offsets.count() <= MAX_BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     return (
         rows.where(F.col("value") != "")
         .join(offsets, ["file", "block"])

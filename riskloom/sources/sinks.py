@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskloom import fixed
 from riskloom.operators.verdict import assert_records
@@ -23,6 +24,16 @@ def write_splits(pairs: DataFrame, path: str, mode: str = "errorifexists") -> No
     pairs.select("prompt", "completion", "split").write.mode(mode).partitionBy("split").json(path)
 
 
-def write_explorer(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Explorer rows as JSON lines."""
-    rows.write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_explorer(
+    rows: DataFrame,
+    metrics: DataFrame,
+    report: DataFrame | None,
+    path: str,
+    mode: str = "errorifexists",
+) -> None:
+    """What a viewer shows, as JSON: ``rows``, ``metrics`` and, if there is one, ``report``."""
+    rows.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/rows")
+    metrics.coalesce(1).write.mode(mode).json(f"{path}/metrics")
+    if report is not None:
+        text = report.select(F.to_json("doc").alias("value"))
+        text.coalesce(1).write.mode(mode).text(f"{path}/report")

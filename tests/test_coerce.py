@@ -120,3 +120,15 @@ def test_no_trim_on_categories(spark):
     )
     got = [tuple(r) for r in df.select(clean.is_kyc_bad(df), clean.is_high_risk(df)).collect()]
     assert got == [(True, True), (False, False), (True, False)]
+
+
+def test_numbers_as_a_reader_infers_them(spark):
+    df = spark.createDataFrame(
+        [("1", "1.0", "5", None, "x", "007"), ("2", "1", None, None, "3", "8")],
+        "a string, b string, c string, d string, e string, f string",
+    )
+    kinds = clean.infer_numbers(df)
+    assert kinds == {"a": "bigint", "b": "double", "c": "double", "f": "bigint"}
+    got = [tuple(r) for r in clean.as_read(df, kinds).collect()]
+    assert got == [(1, 1.0, 5.0, None, "x", 7), (2, 1.0, None, None, "3", 8)]
+    assert clean.infer_numbers(df, ["d", "e"]) == {}

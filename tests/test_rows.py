@@ -21,7 +21,7 @@ def test_dedupe(spark):
         [("a", "y"), (None, "m"), ("", "e"), ("b", None)], key=repr
     )
     assert rows(dedupe.keep_last(df, "k", ["n"]), "k", "v") == [("a", "x"), ("b", None)]
-    assert tuple(dedupe.duplicate_counts(df, "k").first()) == (7, 1, 2, 4)
+    assert tuple(dedupe.duplicate_counts(df, "k").first()) == (7, 1, 2, 4, 3)
     repeated = dedupe.duplicate_keys(df.where("k is not null"), "k")
     assert rows(repeated, "k", "occurrences") == [("a", 3)]
     assert tuple(dedupe.duplicate_examples(repeated, "k").first()) == (1, ["a"])

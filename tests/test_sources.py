@@ -143,6 +143,16 @@ def test_sinks(spark, tmp_path):
     assert set(json.loads(line)) == set(quality.REPORT_SECTIONS)
 
 
+def test_explorer_payload(spark, tmp_path):
+    rows = spark.createDataFrame([("t", None)], "transaction_id string, confidence double")
+    metrics = spark.createDataFrame([(1,)], "total bigint")
+    doc = jsonl.read_report(spark, put(tmp_path, "q.json", '{"x": 1}'))
+    sinks.write_explorer(rows, metrics, doc, str(tmp_path / "out"))
+    assert lines_of(tmp_path / "out" / "rows") == ['{"transaction_id":"t","confidence":null}']
+    assert lines_of(tmp_path / "out" / "metrics") == ['{"total":1}']
+    assert lines_of(tmp_path / "out" / "report") == ['{"x":1}']
+
+
 def test_staging(spark):
     df = spark.range(5).withColumn("x", F.lit("a"))
     staged = staging.stage(df, "test")
