@@ -2,13 +2,15 @@
 
 A rank is found by narrowing: count rows per value range (summed up before the shuffle, a
 bounded number of ranges), look up which range holds the rank, and count again inside it.
-A value that fills a third of a column is just one large count.
+A value that fills a third of a column is just one large count.  A small random sample tells
+where to look first; it only saves work, as the counts show whether the rank is there.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 # up to this many rows the built-in exact median does it in one pass
 BUILT_IN_ROWS = 1_000_000
 RANGES = 1024
+# sampled rows, and how far around the middle of the sample to look first
+GUIDE_ROWS = 50_000
+GUIDE_MARGIN = 0.01
 
 
 @dataclass(frozen=True)
@@ -137,18 +142,61 @@ def _narrowed_medians(df: DataFrame, stats: dict[str, ColumnStats]) -> dict[str,
     }
 
 
-def _range_number(value: Column, low: float, high: float, first: bool) -> Column:
-    """Which of the ranges between ``low`` and ``high`` a value falls into; never decreasing."""
-    low_at = math.copysign(math.log1p(abs(low)), low)
-    high_at = math.copysign(math.log1p(abs(high)), high)
-    if first and low_at < high_at:
-        # long tails are common in a whole column: spread by size, keeping the sign
-        scale = lambda v: F.signum(v) * F.log1p(F.abs(v))
-        place = (scale(value) - F.lit(low_at)) / F.lit(high_at - low_at)
-    else:
-        place = (value * 0.5 - F.lit(low * 0.5)) / F.lit(high * 0.5 - low * 0.5)
-    number = F.floor(place * RANGES)
-    return F.least(F.greatest(number, F.lit(0)), F.lit(RANGES - 1))
+@dataclass(frozen=True)
+class _Search:
+    """Ranks looked for among the values of a column from ``low`` to ``high``."""
+
+    column: str
+    low: float
+    high: float
+    below: int
+    ranks: tuple[int, ...]
+    whole: bool = False
+
+    def inside(self) -> Column:
+        return F.col(self.column).between(self.low, self.high)
+
+    def part(self) -> Column:
+        """Which of the ranges a value falls into; never decreasing with the value."""
+        value, low, high = F.col(self.column), self.low, self.high
+        low_at = math.copysign(math.log1p(abs(low)), low)
+        high_at = math.copysign(math.log1p(abs(high)), high)
+        if self.whole and low_at < high_at:
+            # long tails are common in a whole column: spread by size, keeping the sign
+            sized = F.signum(value) * F.log1p(F.abs(value))
+            place = (sized - F.lit(low_at)) / F.lit(high_at - low_at)
+        else:
+            place = (value * 0.5 - F.lit(low * 0.5)) / F.lit(high * 0.5 - low * 0.5)
+        number = F.floor(place * RANGES)
+        return F.least(F.greatest(number, F.lit(0)), F.lit(RANGES - 1))
+
+
+def _first_searches(
+    df: DataFrame, stats: dict[str, ColumnStats], ranks: dict[str, list[int]]
+) -> list[_Search]:
+    """Searches around the middle of a sample, or over a whole column if a rank is not there."""
+    names = list(stats)
+    rows = max(s.rows for s in stats.values())
+    sample = df.where(F.rand(42) < F.lit(GUIDE_ROWS / max(rows, 1)))
+    ends = F.array(F.lit(0.5 - GUIDE_MARGIN), F.lit(0.5 + GUIDE_MARGIN))
+    guides = sample.agg(*[F.percentile(n, ends).alias(f"g{i}") for i, n in enumerate(names)]).first()
+    guesses = {name: guide for name, guide in zip(names, guides) if guide}
+    counts = []
+    for name, (low, high) in guesses.items():
+        counts.append(F.count_if(F.col(name) < low))
+        counts.append(F.count_if(F.col(name).between(low, high)))
+    found = list(df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()) if counts else []
+    searches = []
+    for name in names:
+        wanted = tuple(sorted(set(ranks[name])))
+        whole = _Search(name, stats[name].minimum, stats[name].maximum, 0, wanted, True)
+        if name in guesses:
+            index = 2 * list(guesses).index(name)
+            below, inside = found[index], found[index + 1]
+            if below <= wanted[0] and wanted[-1] < below + inside:
+                whole = _Search(name, *guesses[name], below, wanted)
+        searches.append(whole)
+    return searches
 
 
 def _select_ranks(
@@ -156,49 +204,61 @@ def _select_ranks(
 ) -> dict[str, list[float]]:
     """The values at 0-based ranks of each column; one counting job narrows all of them."""
     found: dict[str, dict[int, float]] = {name: {} for name in stats}
-    # open searches: (column, low, high, rows below low, ranks wanted)
-    open_searches = []
-    for name, s in stats.items():
-        if not ranks[name]:
-            continue
-        if s.minimum == s.maximum:
-            found[name] = {rank: s.minimum for rank in ranks[name]}
-        else:
-            open_searches.append((name, s.minimum, s.maximum, 0, sorted(set(ranks[name]))))
-    first = True
-    while open_searches:
-        entries = []
-        for number, (name, low, high, _, _) in enumerate(open_searches):
-            value = F.col(name)
-            inside = value.between(low, high)
-            part = _range_number(value, low, high, first)
-            entries.append(
-                F.when(
-                    inside,
-                    F.struct(F.lit(number).alias("search"), part.alias("part"), value.alias("v")),
-                )
-            )
-        rows = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-        counted = (
-            rows.groupBy("search", "part")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-            .collect()  # at most RANGES rows per search
-        )
-        following = []
-        for number, (name, _, _, below, wanted) in enumerate(open_searches):
-            parts = sorted((r for r in counted if r["search"] == number), key=lambda r: r["part"])
-            for part in parts:
-                here = [rank for rank in wanted if below <= rank < below + part["n"]]
-                narrow = []
-                for rank in here:
-                    if rank == below or part["low"] == part["high"]:
-                        found[name][rank] = part["low"]
-                    elif rank == below + part["n"] - 1:
-                        found[name][rank] = part["high"]
-                    else:
-                        narrow.append(rank)
-                if narrow:
-                    following.append((name, part["low"], part["high"], below, narrow))
-                below += part["n"]
-        open_searches, first = following, False
+    wanted = {name: s for name, s in stats.items() if ranks[name]}
+    searches = _first_searches(df, wanted, ranks) if wanted else []
+    while searches:
+        for search in searches:
+            if search.low == search.high:
+                found[search.column].update(dict.fromkeys(search.ranks, search.low))
+        searches = [search for search in searches if search.low < search.high]
+        if searches:
+            searches = _narrow(searches, _count_parts(df, searches), found)
     return {name: [found[name][rank] for rank in ranks[name]] for name in stats}
+
+
+def _count_parts(df: DataFrame, searches: list[_Search]) -> list:
+    """Rows, least and greatest value per part: at most RANGES rows per search."""
+    entries = [
+        F.when(
+            search.inside(),
+            F.struct(
+                F.lit(number).alias("search"),
+                search.part().alias("part"),
+                F.col(search.column).alias("v"),
+            ),
+        )
+        for number, search in enumerate(searches)
+    ]
+    any_inside = reduce(lambda left, right: left | right, [s.inside() for s in searches])
+    rows = df.where(any_inside).select(F.explode_outer(F.array_compact(F.array(*entries))).alias("e"))
+    return (
+        rows.select("e.*")
+        .groupBy("search", "part")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .orderBy("search", "part")
+        .collect()
+    )
+
+
+def _narrow(searches: list[_Search], parts: list, found: dict) -> list[_Search]:
+    """Settle the ranks that the counted parts decide; returns what is left to look for."""
+    following = []
+    for number, search in enumerate(searches):
+        below = search.below
+        for part in (p for p in parts if p["search"] == number):
+            left = []
+            for rank in search.ranks:
+                if not below <= rank < below + part["n"]:
+                    continue
+                if rank == below:
+                    found[search.column][rank] = part["low"]
+                elif rank == below + part["n"] - 1:
+                    found[search.column][rank] = part["high"]
+                else:
+                    left.append(rank)
+            if left:
+                following.append(
+                    _Search(search.column, part["low"], part["high"], below, tuple(left))
+                )
+            below += part["n"]
+    return following

@@ -103,6 +103,8 @@ def fit_trees(linked: DataFrame, **forest_options) -> ScoringModel:
     """All of a model but the range of its raw scores."""
     median = valid_amount_median(linked)
     featured = add_features(fill_amount(linked, median)).select(KEY, *FEATURE_COLUMNS)
+    # nine numbers per row, parsed once for all passes over them
+    featured = stage(featured, "features")
     stats = feature_stats(featured)
     fill, scale = fills(stats), scales(stats)
     rows = stats[FEATURE_COLUMNS[0]].rows
