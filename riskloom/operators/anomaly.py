@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,7 +141,7 @@ def fit_forest(
 ) -> Forest:
     """Grow the trees as one grouped job on standardized features; ``rows`` is the row count.
 
-    A group holds about 1.5 samples by construction.  The driver gets one row per tree.
+    A group holds one sample.  The driver gets one row per tree.
     """
     size = max(1, min(sample, rows))
     depth_limit = max(1, math.ceil(math.log2(max(size, 2))))
@@ -149,8 +149,7 @@ def fit_forest(
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
-        kept = group.sort_values(["draw", "key"]).head(size)
-        points = kept[columns].to_numpy(dtype=np.float64)
+        points = group.sort_values("place")[columns].to_numpy(dtype=np.float64)
         grown = _grow(points, depth_limit, np.random.default_rng([seed, tree]))
         feature, threshold, depth = (array.tolist() for array in grown)
         return pd.DataFrame(
@@ -158,10 +157,14 @@ def fit_forest(
         )
 
     candidates = tree_samples(df, key, rows, trees, sample, seed, pool)
+    # cut to the sample before anything is grouped in Python, map tasks first; this holds even
+    # if many rows share a key
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "key", *columns))
+    drawn = candidates.withColumn("place", place).where(F.col("place") <= size)
     # little data but much work per group: a set number of tasks keeps it from being merged
     tasks = max(1, min(trees, df.sparkSession.sparkContext.defaultParallelism))
     grown = (
-        candidates.repartition(tasks, "tree")
+        drawn.repartition(tasks, "tree")
         .groupBy("tree")
         .applyInPandas(
             grow, "tree int, feature array<int>, threshold array<double>, depth array<double>"

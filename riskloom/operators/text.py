@@ -42,7 +42,8 @@ def sanitize(
         raw = F.translate(raw, "\t\n\x0b\x0c\r", " " * 5)
     ascii_only = F.octet_length("__raw") == F.char_length("__raw")
     brackets = F.translate("__plain", "<>", "  ")
-    hostile = "(?iu)" + injection_pattern()
+    # most places are ruled out by one look at the next character
+    hostile = f"(?iu)(?=[{fixed.INJECTION_STARTS}])(?:{injection_pattern()})"
     body = F.trim(F.regexp_replace("__masked", " {2,}", " "))
     cut = F.when(
         F.char_length("__body") > limit,

@@ -189,6 +189,15 @@ def test_samples_do_not_grow_with_the_table(spark):
     assert all(256 <= r["count"] <= 520 for r in per_tree)
 
 
+def test_rows_that_share_a_key_do_not_pile_up(spark, capsys):
+    df = feature_frame(spark, np.random.default_rng(2).normal(size=(6000, 9)))
+    df = df.withColumn("k", F.when(F.col("f_amt") < 0.5, F.lit("same")).otherwise(F.col("k")))
+    forest = anomaly.fit_forest(df, "k", 6000)
+    again = anomaly.fit_forest(df.repartition(11), "k", 6000)
+    assert np.array_equal(forest.thresholds, again.thresholds)
+    assert forest.depths.max() <= 8 + float(anomaly.path_length(256))
+
+
 @pytest.mark.parametrize("rows", [1, 3])
 def test_few_rows(spark, rows):
     df = feature_frame(spark, np.arange(rows * 9).reshape(rows, 9))
