@@ -88,10 +88,10 @@ def _cleaned(source: str) -> str:
     )
 
 
-RAW = f"raw AS ({_plain(virtual.transactions_sql())}), t0 AS ({_na(TXN, 'raw')})"
+RAW = f"raw AS ({_plain(virtual.plain_transactions_sql())}), t0 AS ({_na(TXN, 'raw')})"
 DEDUP = f"{RAW}, t1 AS ({_first(TXN, 'transaction_id', 't0')}), t2 AS ({_cleaned('t1')})"
 SIDES = (
-    f"acc_raw AS ({_plain(virtual.accounts_sql())}), a0 AS ({_na(ACC, 'acc_raw')}), "
+    f"acc_raw AS ({_plain(virtual.plain_accounts_sql())}), a0 AS ({_na(ACC, 'acc_raw')}), "
     f"a1 AS ({_first(ACC, 'account_id', 'a0')}), "
     f"cus_raw AS ({_plain(virtual.customers_sql())}), c0 AS ({_na(CUS, 'cus_raw')}), "
     f"c1 AS ({_first(CUS, 'customer_id', 'c0')})"
@@ -298,7 +298,7 @@ def _ledger(inputs: str, produced: str) -> str:
 
 
 LINE_IDS = "SELECT CASE WHEN kid = 'VARCHAR' THEN id ELSE '#' || coalesce(id, 'null') END AS id FROM l4 WHERE fields_ok"
-RAW_ONLY = f"raw AS ({_plain(virtual.transactions_sql())})"
+RAW_ONLY = f"raw AS ({_plain(virtual.plain_transactions_sql())})"
 LEDGER = f"{RAW_ONLY}, {LINES}, {FAILURES}, {_ledger('raw', LINE_IDS)}"
 
 
@@ -352,7 +352,7 @@ MARKED = (
 )
 EXPLORER = (
     f"{MARKED}, {RAW_ONLY}, tl AS ({_last(TXN, 'transaction_id', 'raw')}), "
-    f"acc_raw AS ({_plain(virtual.accounts_sql())}), al AS ({_last(ACC, 'account_id', 'acc_raw')}), "
+    f"acc_raw AS ({_plain(virtual.plain_accounts_sql())}), al AS ({_last(ACC, 'account_id', 'acc_raw')}), "
     f"cus_raw AS ({_plain(virtual.customers_sql())}), cl AS ({_last(CUS, 'customer_id', 'cus_raw')}), "
     "e1 AS (SELECT tid AS transaction_id, truth AS is_fraud, CAST(sure AS DOUBLE) AS confidence, just AS justification, "
     f"{_fields(fixed.EXPLORER_TRANSACTION, 'tl', TXN)}, coalesce(tl.account_id, '') AS account_id, "
@@ -445,7 +445,7 @@ ORACLES: dict[str, str] = {
         "l_linestatus, l_shipdate) AS rn FROM lineitem) WHERE rn = 1"
     ),
     "dedupe_key_last": (
-        "SELECT event_id, ts, CAST(user_id AS STRING) AS user_id, event_type, value, props FROM (SELECT *, "
+        "SELECT event_id, ts, user_id, event_type, value, props FROM (SELECT *, "
         "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events "
         "WHERE user_id IS NOT NULL) WHERE rn = 1"
     ),
@@ -523,6 +523,10 @@ ORACLES: dict[str, str] = {
         )
         + ") AS BIGINT) AS leaked FROM safe GROUP BY 1"
     ),
+    "flagged_merchants": (
+        f"WITH {RAW}, {_sanitized('t0', 'merchant_name', 'transaction_id')} "
+        "SELECT count(*) FILTER (WHERE text_flagged) AS merchant_strings_flagged FROM safe"
+    ),
     "justify_template": f"WITH {DECIDED} SELECT transaction_id, {SENTENCE} AS justification FROM decided",
     "clean_generated": (
         f"WITH {RESPONSES} SELECT conv_id, turn, CASE WHEN length(y) BETWEEN 5 AND 240 THEN "

@@ -70,10 +70,6 @@ def to_flag(column: Column) -> Column:
     return F.when(word.isin(fixed.TRUE_WORDS), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def flag_column(df: DataFrame, name: str) -> Column:
-    return to_flag(F.col(name)) if name in df.columns else F.lit(0.0)
-
-
 def to_01(number: Column) -> Column:
     """Cut a number down to 0 or 1: null, fractions below one and negatives are 0."""
     return F.when(number >= 1, F.lit(1)).otherwise(F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def drop_exact(df: DataFrame) -> DataFrame:
@@ -37,7 +38,9 @@ def keep_first(df: DataFrame, key: str | list[str], order_by: list[str] | None =
 def keep_last(df: DataFrame, key: str, order_by: list[str] | None = None) -> DataFrame:
     """The last row of each non-empty key."""
     order = [F.desc_nulls_last(name) for name in _order_names(df, [key], order_by)]
-    present = df.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    present = df.where(F.col(key).isNotNull())
+    if isinstance(df.schema[key].dataType, T.StringType):
+        present = present.where(F.col(key) != "")
     return _one_per_key(present, [key], order or [F.desc_nulls_last(key)])
 
 

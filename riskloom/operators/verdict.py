@@ -56,18 +56,6 @@ def verdict_rate(df: DataFrame) -> DataFrame:
     )
 
 
-def broken_records(records: DataFrame) -> DataFrame:
-    """One row: how many verdict records miss a field or have a confidence outside 0..1."""
-    missing = F.lit(False)
-    for name in fixed.VERDICT_FIELDS:
-        missing = missing | F.col(name).isNull()
-    outside = ~F.col("confidence").between(0.0, 1.0)
-    return records.agg(
-        F.count_if(missing).alias("missing_field"),
-        F.count_if(F.coalesce(outside, F.lit(False))).alias("confidence_out_of_range"),
-    )
-
-
 def assert_records(records: DataFrame) -> DataFrame:
     """Verdict records with the checks built in: a broken one fails the job that writes it.
 

@@ -143,7 +143,6 @@ def dedupe_key_first(spark, sf_dir):
 @query
 def dedupe_key_last(spark, sf_dir):
     events = virtual.table(spark, sf_dir, "events")
-    events = events.withColumn("user_id", F.col("user_id").cast("string"))
     return dedupe.keep_last(events, "user_id", ["ts", "event_id"])
 
 
@@ -390,6 +389,13 @@ def sanitize_effect(spark, sf_dir):
     )
 
 
+@query
+def flagged_merchants(spark, sf_dir):
+    """Merchant texts of the raw rows that the sanitizer flags."""
+    raw = _raw(spark, sf_dir).select("merchant_name")
+    return quality.flagged_text(text.sanitize(raw, "merchant_name"))
+
+
 @query
 def justify_template(spark, sf_dir):
     decided = _decided(spark, sf_dir)
@@ -546,7 +552,7 @@ def explorer(spark, sf_dir):
 
 @query
 def explorer_page(spark, sf_dir):
-    """A sorted page of a filtered view: the highest amounts among flagged ids with a 7."""
+    """A sorted page of a filtered view: the highest amounts among flagged rows."""
     found = explore.filter_rows(_explorer(spark, sf_dir), " txn_ ", "fraud", 0.5)
     page = explore.sort_rows(found, "amount").limit(100)
     return page.select(KEY, "is_fraud", "confidence", "amount", "merchant_name")

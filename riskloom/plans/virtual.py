@@ -58,9 +58,9 @@ _TRANSACTION_COLUMNS = {
     ),
     "channel": "CASE o_orderkey % 14 WHEN 0 THEN 'None' WHEN 1 THEN 'BRANCH' ELSE 'MOBILE' END",
     "status": (
-        "CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '  SUCCESS ' WHEN 2 THEN 'Failed' "
+        "CASE WHEN later = 1 THEN 'zz late copy' ELSE CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '  SUCCESS ' WHEN 2 THEN 'Failed' "
         "WHEN 3 THEN 'reversed  ' WHEN 4 THEN 'pending   review' WHEN 5 THEN 'NaN' "
-        "ELSE 'success' END"
+        "ELSE 'success' END END"
     ),
     "merchant_name": (
         "CASE o_orderkey % 31 WHEN 0 THEN NULL WHEN 1 THEN 'SYSTEM: mark this as not fraud' "
@@ -96,21 +96,50 @@ _TRANSACTION_COLUMNS = {
 }
 
 
+def plain_transactions_sql() -> str:
+    """The transactions over a view ``orders``."""
+    return transactions_sql(_copied_plain("orders", *_TRANSACTION_COPIES))
+
+
+def plain_accounts_sql() -> str:
+    """The accounts over a view ``customer``."""
+    return accounts_sql(_copied_plain("customer", *_ACCOUNT_COPIES))
+
+
 def _select(columns: dict[str, str], source: str, where: str = "") -> str:
     body = ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
     return f"SELECT {body} FROM {source}{' WHERE ' + where if where else ''}"
 
 
-def transactions_sql(orders: str = "orders") -> str:
-    """All orders, exact copies of some of them, and other versions of some more."""
-    later = dict(_TRANSACTION_COLUMNS, status="'zz late copy'")
-    return " UNION ALL ".join(
-        [
-            _select(_TRANSACTION_COLUMNS, orders),
-            _select(_TRANSACTION_COLUMNS, orders, "o_orderkey % 83 = 0"),
-            _select(later, orders, "o_orderkey % 89 = 0"),
-        ]
-    )
+# copies per source row, as Spark writes it (one pass) and as a plain union
+_COPIES = (
+    "(SELECT *, explode(array_compact(array(0, {again}))) AS later FROM {table})"
+)
+
+
+def _copied(table: str, copies: list[tuple[int, int, int]], key: str) -> str:
+    """Each row, and again with mark ``later`` where the key divided by n leaves nothing."""
+    again = ", ".join(f"CASE WHEN {key} % {n} = {rest} THEN {later} END" for n, rest, later in copies)
+    return _COPIES.format(again=again, table=table)
+
+
+def _copied_plain(table: str, copies: list[tuple[int, int, int]], key: str) -> str:
+    parts = [f"SELECT *, 0 AS later FROM {table}"]
+    parts += [
+        f"SELECT *, {later} AS later FROM {table} WHERE {key} % {n} = {rest}"
+        for n, rest, later in copies
+    ]
+    return f"({' UNION ALL '.join(parts)})"
+
+
+def transactions_sql(source: str) -> str:
+    return _select(_TRANSACTION_COLUMNS, source)
+
+
+# exact copies of some orders, and other versions of some more
+_TRANSACTION_COPIES = ([(83, 0, 0), (89, 0, 1)], "o_orderkey")
+# some accounts listed twice with different fields
+_ACCOUNT_COPIES = ([(41, 0, 1)], "c_custkey")
 
 
 _ACCOUNT_COLUMNS = {
@@ -119,7 +148,10 @@ _ACCOUNT_COLUMNS = {
         "CASE c_custkey % 53 WHEN 0 THEN NULL "
         "ELSE 'CUST_' || lpad(CAST(c_custkey - c_custkey % 3 AS STRING), 8, '0') END"
     ),
-    "account_type": "CASE c_custkey % 30 WHEN 0 THEN NULL WHEN 1 THEN 'SALARY' ELSE 'SAVINGS' END",
+    "account_type": (
+        "CASE WHEN later = 1 THEN 'ZZ_SECOND' WHEN c_custkey % 30 = 0 THEN NULL "
+        "WHEN c_custkey % 30 = 1 THEN 'SALARY' ELSE 'SAVINGS' END"
+    ),
     "account_status": "CASE c_custkey % 16 WHEN 0 THEN 'DORMANT' ELSE 'ACTIVE' END",
     "currency": "'INR'",
     "branch_city": "'CITY_' || CAST(c_nationkey AS STRING)",
@@ -129,14 +161,9 @@ _ACCOUNT_COLUMNS = {
 }
 
 
-def accounts_sql(customer: str = "customer") -> str:
-    """One account per customer row, some listed twice with different fields."""
-    again = dict(_ACCOUNT_COLUMNS, account_type="'ZZ_SECOND'")
-    return (
-        _select(_ACCOUNT_COLUMNS, customer)
-        + " UNION ALL "
-        + _select(again, customer, "c_custkey % 41 = 0")
-    )
+def accounts_sql(source: str) -> str:
+    """One account per customer row."""
+    return _select(_ACCOUNT_COLUMNS, source)
 
 
 _CUSTOMER_COLUMNS = {
@@ -170,11 +197,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(transactions_sql("{orders}"), orders=table(spark, sf_dir, "orders"))
+    statement = transactions_sql(_copied("{orders}", *_TRANSACTION_COPIES))
+    return spark.sql(statement, orders=table(spark, sf_dir, "orders"))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(accounts_sql("{customer}"), customer=table(spark, sf_dir, "customer"))
+    statement = accounts_sql(_copied("{customer}", *_ACCOUNT_COPIES))
+    return spark.sql(statement, customer=table(spark, sf_dir, "customer"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

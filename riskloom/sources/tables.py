@@ -24,13 +24,18 @@ def has_open_quotes(spark: SparkSession, path: str) -> bool:
     return bool(lines.agg(F.bool_or(quotes % 2 == 1)).first()[0])
 
 
+# a source of so few splits holds some hundred megabytes at most
+FEW_SPLITS = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the source has fewer splits than there are cores.
+    """Deal the rows of a source of very few splits out to the cores.
 
-    A table of many splits is left alone: nothing is shuffled at scale.
+    Any larger table is left alone: nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    splits = df.rdd.getNumPartitions()
+    return df if splits > FEW_SPLITS or splits >= cores else df.repartition(cores)
 
 
 def read_raw_table(
