@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from oracles import ORACLES
+from riskloom.plans.catalog import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -21,7 +23,6 @@ QUICK = [
     "clean_generated", "label_parse", "validate_lines", "validate_summary", "explorer",
     "dashboard_metrics", "split_exact", "confusion_metrics", "evaluation_delta",
 ]
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 CHOSEN = sorted(ORACLES) if os.environ.get("RISKLOOM_ALL") else QUICK
 
 
@@ -53,6 +54,7 @@ def test_every_query_has_sql_but_learned_ones():
         "anomaly_forest", "scoring_run", "independence", "determinism",
     }
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
