@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, mixing, sharding, topk
+from riskloom.llm import ann, bpe, mixing, quality, sharding, topk, toxicity
+from riskloom.llm.labelled import held_out
 from riskloom.llm.sql import ORACLES as ORACLES
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -30,7 +34,36 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
+def _scored(df: DataFrame, accepted: float) -> DataFrame:
+    return df.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accepted).cast("int").alias("predicted")
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    return _scored(docs.select("doc_id", toxicity.scorer(lexicon).alias("score")), 0.3)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.round_trip(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    coded = _read(spark, sf_dir, "documents").select("doc_id", codec("text").alias("c"))
+    return coded.select(
+        "doc_id", "c.n_tokens", F.sha2("c.ids", 256).alias("ids_sha256"), F.sha2("c.decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    score = quality.scores(docs, _read(spark, sf_dir, "labels"))
+    return _scored(docs.select("doc_id", score.alias("score")), quality.ACCEPTED)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_top_k, op3_source_mixing, op4_sharding, op5_nearest_neighbours)
+    for f in (
+        op1_exact_top_k, op3_source_mixing, op4_sharding, op5_nearest_neighbours, op6_toxicity,
+        op7_byte_bpe, op8_quality,
+    )
 }
