@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, mixing, quality, sharding, topk, toxicity
+from riskloom.llm import ann, bpe, mixing, partenum, quality, sharding, topk, toxicity
 from riskloom.llm.labelled import held_out
 from riskloom.llm.sql import ORACLES as ORACLES
 
@@ -60,10 +60,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs.select("doc_id", score.alias("score")), quality.ACCEPTED)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(_read(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_top_k, op3_source_mixing, op4_sharding, op5_nearest_neighbours, op6_toxicity,
-        op7_byte_bpe, op8_quality,
+        op7_byte_bpe, op8_quality, op9_ngram_jaccard,
     )
 }
