@@ -17,7 +17,7 @@ from xxhash import xxh3_64_intdigest
 from riskloom.llm.components import components
 from riskloom.sources.staging import release, stage
 
-LEAST_ELEMENTS = 3.5
+LEAST_ELEMENTS = 5
 BROADCAST_ROWS = 1_000_000
 SEEN = 500_000
 U = np.uint64
@@ -92,9 +92,9 @@ class Scheme:
         k = 2 * high * (self.den - self.num) // (self.den + self.num)
         if not k:
             return 1, 1, np.ones((1, 1), U), 0
-        for k2, n2 in ((1, 2), (1, 3), (2, 5)):
+        for k2, n2 in ((1, 3), (2, 5)):
             parts = k // (k2 + 1)
-            spare = max(1, parts // 6)
+            spare = max(1, parts // 8)
             n1 = parts + 1 + spare
             if high * (n2 - k2) / (n1 * n2) >= LEAST_ELEMENTS:
                 break
