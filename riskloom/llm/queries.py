@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, mixing, partenum, quality, sharding, topk, toxicity
+from riskloom.llm import ann, bpe, mixing, partenum, pitman_yor, quality, sharding, topk, toxicity
 from riskloom.llm.labelled import held_out
 from riskloom.llm.sql import ORACLES as ORACLES
 
@@ -64,10 +64,16 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.near_duplicates(_read(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(folds=10, fold=0)
+    scored = pitman_yor.score(_read(spark, sf_dir, "documents"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_top_k, op3_source_mixing, op4_sharding, op5_nearest_neighbours, op6_toxicity,
-        op7_byte_bpe, op8_quality, op9_ngram_jaccard,
+        op7_byte_bpe, op8_quality, op9_ngram_jaccard, op10_pitman_yor,
     )
 }
