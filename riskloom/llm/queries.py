@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, mixing, partenum, pitman_yor, quality, sharding, topk, toxicity
+from riskloom.llm import ann, bpe, mixing, partenum, pitman_yor, quality, sharding, topk, toxicity, warc
 from riskloom.llm.labelled import held_out
 from riskloom.llm.sql import ORACLES as ORACLES
 
@@ -21,6 +21,11 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(_read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -73,7 +78,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_top_k, op3_source_mixing, op4_sharding, op5_nearest_neighbours, op6_toxicity,
+        op1_exact_top_k, op2_warc, op3_source_mixing, op4_sharding, op5_nearest_neighbours, op6_toxicity,
         op7_byte_bpe, op8_quality, op9_ngram_jaccard, op10_pitman_yor,
     )
 }

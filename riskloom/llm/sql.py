@@ -84,8 +84,58 @@ SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN in_mix THEN size EL
 FROM chosen GROUP BY doc_id, size, source_size, target, key, tie
 """
 
+_WARC = """
+WITH payloads AS (
+    SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+        sha256(coalesce(html, '')) AS key
+    FROM pages
+)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id IS DISTINCT FROM min(page_id) OVER same AND min(page_id) OVER same IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM payloads WINDOW same AS (PARTITION BY key)
+"""
+
+# CRC-32 byte by byte, with the usual table made from its polynomial
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1
+    THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(i AS BIGINT)))"""
+_CRC = """CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(
+    list_transform(range(octet_length(encode(text))), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS BIGINT)),
+    lambda a, b: xor(a >> 8, bytes[CAST((xor(a, b) & 255) + 1 AS BIGINT)]), CAST(4294967295 AS BIGINT)), 4294967295) END"""
+
+_SHARDING = f"""
+WITH RECURSIVE table_of AS (SELECT {_CRC_TABLE} AS bytes),
+placed AS (
+    SELECT doc_id, coalesce(text, '') AS text, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 8) AS BIGINT) % 4096 AS virtual_slot,
+        CAST((SELECT {_CRC} FROM (SELECT coalesce(d.text, '') AS text), table_of) AS BIGINT) AS text_crc32
+    FROM documents d
+),
+slots AS (SELECT virtual_slot, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS rows FROM placed GROUP BY virtual_slot),
+ranked AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS n FROM slots),
+dealt AS (
+    SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS shard, list_transform(range(40), lambda i: CAST(0 AS BIGINT)) AS loads
+    UNION ALL
+    SELECT r.n, list_position(d.loads, list_min(d.loads)) - 1,
+        list_transform(d.loads, lambda x, i: x + CASE WHEN i = list_position(d.loads, list_min(d.loads)) THEN r.bytes ELSE 0 END)
+    FROM dealt d JOIN ranked r ON r.n = d.n + 1
+),
+places AS (
+    SELECT r.virtual_slot, CAST(d.shard AS INTEGER) AS shard,
+        coalesce(sum(r.rows) OVER (PARTITION BY d.shard ORDER BY r.virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_row
+    FROM ranked r JOIN dealt d USING (n)
+)
+SELECT doc_id, size, shard, 'bytes' AS law, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot, text_crc32,
+    CAST(first_row + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot
+FROM placed JOIN places USING (virtual_slot)
+"""
+
 ORACLES = {
+    "op2_warc": _WARC,
     "op1_exact_top_k": _TOP_K,
     "op3_source_mixing": _MIXING,
+    "op4_sharding": _SHARDING,
     "op5_nearest_neighbours": _NEAREST,
 }
