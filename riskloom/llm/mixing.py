@@ -49,7 +49,7 @@ def targets(sources: DataFrame, weights: Sequence[int], share: float, repeats: i
 def _finish(copy: Column) -> Column:
     """Virtual finish time: words of the source up to this copy of the document, over the target."""
     upto = copy * F.col("source_size") + F.col("upto")
-    return F.coalesce(upto.cast("double") / F.col("target"), F.lit(0.0))
+    return F.coalesce(F.try_divide(upto.cast("double"), F.col("target")), F.lit(0.0))
 
 
 def mix(df: DataFrame, **options) -> DataFrame:

@@ -48,8 +48,8 @@ def assign(sizes: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
 def rebalance(shard_of: dict[int, int], sizes: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
     """The map edited for a new shard count: slots of shards that are gone, and those above the mean, move.
 
-    From each shard above the mean the largest slots that fit go to the emptiest shard, as long
-    as that evens the two out; every other slot stays where it is.
+    Shards that start below the mean take slots, largest first, from shards above it, as long as
+    that does not put them above it themselves; every other slot stays where it is.
     """
     size_of = {slot: size for slot, size, _ in sizes}
     loads = [0] * shards
@@ -62,10 +62,11 @@ def rebalance(shard_of: dict[int, int], sizes: list[tuple[int, int, int]], shard
         else:
             homeless.append(slot)
     mean = sum(size_of.values()) / shards
+    takers = [s for s in range(shards) if loads[s] < mean]
     for slot in sorted(edited, key=lambda s: (-size_of[s], s)):
         old, size = edited[slot], size_of[slot]
-        new = min(range(shards), key=lambda s: (loads[s], s))
-        if loads[old] - size >= mean * 0.999 and loads[new] + size <= mean:
+        new = min(takers, key=lambda s: (loads[s], s), default=old)
+        if loads[old] > mean and loads[new] + size <= mean:
             edited[slot] = new
             loads[old] -= size
             loads[new] += size
