@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from riskloom.llm.components import components
+from riskloom.llm.components import compact, components
 from riskloom.sources.staging import release, stage
 
 LEAST_ELEMENTS = 5
 BROADCAST_ROWS = 1_000_000
+LEVELS = 2
 SEEN = 500_000
 U = np.uint64
 
@@ -216,9 +217,9 @@ def buckets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``node`` (fp), ``label``: components of the sets that are similar to another one.
 
-    Pairs of a bucket are tested in rounds. In each, the sets on its highest level, a few, are
-    tested against those on the same or lower levels that are not yet known to be in the same
-    component; then they leave the bucket, so the next level has about twice as many. A bucket
+    Pairs of a bucket are tested in rounds. In each, the sets on its highest ``LEVELS`` levels, a
+    few, are tested against those on the same or lower levels that are not yet known to be in
+    the same component; then they leave the bucket, so the next ones are some times as many. A bucket
     is done when all it still holds is in one component. So large groups need few tests, and
     no pair whose test could join two components is left out.
     """
@@ -230,25 +231,26 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: in
     sets = stage(sets.dropDuplicates(["fp"]), "sets")
     release(spark, wanted)
     labels = spark.createDataFrame([], "node long, label long")
+    rows = live.count()
     tested: list[DataFrame] = []
     staged: list[DataFrame] = [live]
     while True:
         now = live.join(labels, live["fp"] == labels["node"], "left_outer")
         now = now.select("bucket", "fp", "level", F.coalesce("label", "fp").alias("label"))
         left = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("level").alias("top"))
-        live = stage(now.join(left.where("x < y").select("bucket", "top"), "bucket"), "live")
+        live = compact(now.join(left.where("x < y").select("bucket", "top"), "bucket"), "live", rows)
         release(spark, *staged)
         staged = [live]
-        if live.isEmpty():
+        rows = live.count()
+        if not rows:
             break
-        centre = live.where("level = top").select("bucket", F.col("fp").alias("c"), F.col("label").alias("c_label"))
-        pairs = live.join(centre, "bucket").where(
-            ((F.col("level") < F.col("top")) | (F.col("fp") < F.col("c"))) & (F.col("label") != F.col("c_label"))
-        )
+        first = F.col("level") > F.col("top") - LEVELS
+        centre = live.where(first).select("bucket", F.col("fp").alias("c"), F.col("label").alias("c_label"))
+        pairs = live.join(centre, "bucket").where((~first | (F.col("fp") < F.col("c"))) & (F.col("label") != F.col("c_label")))
         pairs = pairs.select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b")).distinct()
         for known in tested:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
+        pairs = compact(pairs, "pairs", 4 * rows)
         tested.append(pairs)
         x = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x"))
         y = sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
@@ -258,7 +260,7 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: in
             labels = components(links.union(older.select(F.col("node").alias("a"), F.col("label").alias("b"))))
             release(spark, older)
         release(spark, links)
-        live = live.where("level < top").select("bucket", "fp", "level")
+        live = live.where(~first).select("bucket", "fp", "level")
     release(spark, live, sets, *tested)
     return labels
 
