@@ -167,7 +167,7 @@ _FULL = "".join(chr(0xFF01 + i) for i in range(94))
 _HALF = "".join(chr(0x21 + i) for i in range(94))
 
 
-def _sanitized(source: str, column: str, keys: str, limit: int = fixed.TEXT_LIMIT) -> str:
+def _sanitized(source: str, column: str, keys: str, limit: int | None = 60) -> str:
     """Statements for (keys, safe_text, text_flagged) as table ``safe``."""
     folded = f"translate(nfc_normalize({column}), {_quoted(_FULL)}, {_quoted(_HALF)})"
     pattern = _quoted(injection_pattern(edge="\\b"))
@@ -177,7 +177,8 @@ def _sanitized(source: str, column: str, keys: str, limit: int = fixed.TEXT_LIMI
         f"s3 AS (SELECT *, regexp_replace(o, {pattern}, '[redacted]', 'gi') AS m FROM s2), "
         "s4 AS (SELECT *, trim(regexp_replace(m, ' +', ' ', 'g')) AS b FROM s3), "
         f"safe AS (SELECT {keys}, CASE WHEN {column} IS NULL THEN '(none)' WHEN b = '' THEN '(empty)' "
-        f"WHEN length(b) > {limit} THEN substring(b, 1, {limit}) || '{fixed.ELLIPSIS}' ELSE b END AS safe_text, "
+        + (f"WHEN length(b) > {limit} THEN substring(b, 1, {limit}) || '\u2026' " if limit else "")
+        + "ELSE b END AS safe_text, "
         "coalesce(o <> p OR m <> o, false) AS text_flagged FROM s4)"
     )
 
@@ -373,8 +374,9 @@ HOSTILE_TURNS = (
 )
 RESPONSES = (
     "r0 AS (SELECT conv_id, turn, role, CASE conv_id % 6 WHEN 0 THEN chr(27) || '[1;31m' || text || chr(27) || '[0m' "
-    "WHEN 1 THEN ' \"' || text || '\" ' WHEN 2 THEN 'no' WHEN 3 THEN array_to_string(string_split(text, ' ')[1:9], ' ') "
-    "WHEN 4 THEN NULL ELSE text END AS x FROM conversations), "
+    "WHEN 1 THEN ' \"' || text || '\" ' ELSE text END AS x FROM (SELECT conv_id, turn, role, text FROM conversations "
+    "UNION ALL SELECT -conv_id - 1, turn, role, CASE conv_id % 3 WHEN 0 THEN 'no' "
+    "WHEN 1 THEN array_to_string(string_split(text, ' ')[1:9], ' ') END FROM conversations WHERE conv_id % 2 = 0)), "
     "r1 AS (SELECT *, trim(trim(trim(regexp_replace(regexp_replace(x, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), "
     "'\\s+', ' ', 'g')), '\"')) AS y FROM r0)"
 )
@@ -511,10 +513,10 @@ ORACLES: dict[str, str] = {
         f"WITH {RAW}, {_sanitized('t0', 'merchant_name', 'transaction_id, merchant_name')} SELECT * FROM safe"
     ),
     "sanitize_conversations": (
-        f"WITH h AS ({HOSTILE_TURNS}), {_sanitized('h', 'x', 'conv_id, turn', 400)} SELECT * FROM safe"
+        f"WITH h AS ({HOSTILE_TURNS}), {_sanitized('h', 'x', 'conv_id, turn', None)} SELECT * FROM safe"
     ),
-    "sanitize_documents": f"WITH {_sanitized('documents', 'text', 'doc_id', 1_000_000)} SELECT * FROM safe",
-    "sanitize_pages": f"WITH {_sanitized('pages', 'html', 'page_id', 1_000_000)} SELECT * FROM safe",
+    "sanitize_documents": f"WITH {_sanitized('documents', 'text', 'doc_id', None)} SELECT * FROM safe",
+    "sanitize_pages": f"WITH {_sanitized('pages', 'html', 'page_id', None)} SELECT * FROM safe",
     "sanitize_effect": (
         f"WITH {RAW}, {_sanitized('t0', 'merchant_name', 'transaction_id')} SELECT text_flagged, count(*) AS texts, "
         "CAST(sum("
@@ -556,7 +558,7 @@ ORACLES: dict[str, str] = {
     "explorer_page": (
         f"WITH {EXPLORER} SELECT transaction_id, is_fraud, confidence, amount, merchant_name FROM explorer "
         "WHERE contains(lower(transaction_id), 'txn_') AND is_fraud AND confidence >= 0.5 "
-        f"ORDER BY {_LEADING} DESC, transaction_id LIMIT 100"
+        f"ORDER BY {_LEADING} DESC, transaction_id"
     ),
     "explorer_detail": f"WITH {EXPLORER} SELECT * FROM explorer WHERE transaction_id = 'TXN_0000000030'",
     "dashboard_metrics": (

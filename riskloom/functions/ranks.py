@@ -15,8 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# up to this many rows the built-in exact median does it in one pass
-BUILT_IN_ROWS = 1_000_000
 RANGES = 1024
 # sampled rows, and how far around the middle of the sample to look first
 GUIDE_ROWS = 50_000
@@ -58,9 +56,7 @@ def round_significant(value: float | None, digits: int = 12) -> float | None:
     return None if value is None else float(f"{value:.{digits - 1}e}")
 
 
-def column_stats(
-    df: DataFrame, columns: list[str], built_in_rows: int = BUILT_IN_ROWS
-) -> dict[str, ColumnStats]:
+def column_stats(df: DataFrame, columns: list[str]) -> dict[str, ColumnStats]:
     """Count, nulls, min, max, mean, population variance and exact median per column.
 
     The columns have to be doubles without NaN or infinities.
@@ -76,11 +72,7 @@ def column_stats(
     for index, name in enumerate(columns):
         known, low, high, mean, variance = rest[5 * index : 5 * index + 5]
         stats[name] = ColumnStats(total, total - known, low, high, mean, variance)
-    medians = (
-        _built_in_medians(df, columns)
-        if total <= built_in_rows
-        else _narrowed_medians(df, stats)
-    )
+    medians = _narrowed_medians(df, stats)
     return {
         name: ColumnStats(
             s.rows, s.nulls, s.minimum, s.maximum,
@@ -90,7 +82,7 @@ def column_stats(
     }
 
 
-def exact_median(df: DataFrame, column: Column, built_in_rows: int = BUILT_IN_ROWS) -> float | None:
+def exact_median(df: DataFrame, column: Column) -> float | None:
     """Median of an expression, halfway between the middle two for an even count.
 
     Infinities take part in the ranking.
@@ -106,8 +98,6 @@ def exact_median(df: DataFrame, column: Column, built_in_rows: int = BUILT_IN_RO
     ).first()
     if not n:
         return None
-    if n <= built_in_rows:
-        return values.agg(F.median("v")).first()[0]
     stats = {"v": ColumnStats(n, 0, least, most, None, None)}
     ranks = {"v": [(n - 1) // 2, n // 2]}
     picked = []
@@ -126,11 +116,6 @@ def exact_median(df: DataFrame, column: Column, built_in_rows: int = BUILT_IN_RO
     return picked[0] if picked[0] == picked[-1] else (picked[0] + picked[-1]) / 2
 
 
-def _built_in_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    row = df.agg(*[F.median(name).alias(f"m{i}") for i, name in enumerate(columns)]).first()
-    return dict(zip(columns, row))
-
-
 def _narrowed_medians(df: DataFrame, stats: dict[str, ColumnStats]) -> dict[str, float | None]:
     ranks = {}
     for name, s in stats.items():

@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 from riskloom import fixed
 from riskloom.operators.features import FEATURE_COLUMNS
 
-# rows the trees draw their samples from when the table is larger than this
-POOL_ROWS = 65_536
 # expected candidates per tree, as a multiple of the sample size
 MARGIN = 1.5
 _HASH_SPAN = float(2**64)
@@ -44,18 +42,15 @@ def tree_samples(
     trees: int = fixed.TREES,
     sample: int = fixed.TREE_SAMPLE,
     seed: int = fixed.SEED,
-    pool: int = POOL_ROWS,
 ) -> DataFrame:
     """Candidate rows per tree, picked by hashes of the key.
 
-    Which rows a tree sees depends on the keys alone, not on partitions or retries.  Only
-    the pool (``pool`` rows expected) is spread over trees, each tree getting about 1.5
-    times its sample; the surplus is cut off where the tree is grown.
+    Which rows a tree sees depends on the keys alone, not on partitions or retries.  Every
+    row of the table is a candidate of every tree, each tree getting about 1.5 times its
+    sample; the surplus is cut off where the tree is grown.
     """
     picked = df.select(F.col(key).cast("string").alias("key"), *FEATURE_COLUMNS)
-    picked = picked.where(_hash_below(F.xxhash64("key", F.lit(seed)), pool / max(rows, 1)))
-    available = min(rows, pool)
-    rate = MARGIN * sample / max(available, 1)
+    rate = MARGIN * sample / max(rows, 1)
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda tree: _hash_below(F.xxhash64(F.col("key"), tree, F.lit(seed + 1)), rate),
@@ -137,7 +132,6 @@ def fit_forest(
     trees: int = fixed.TREES,
     sample: int = fixed.TREE_SAMPLE,
     seed: int = fixed.SEED,
-    pool: int = POOL_ROWS,
 ) -> Forest:
     """Grow the trees as one grouped job on standardized features; ``rows`` is the row count.
 
@@ -156,7 +150,7 @@ def fit_forest(
             {"tree": [tree], "feature": [feature], "threshold": [threshold], "depth": [depth]}
         )
 
-    candidates = tree_samples(df, key, rows, trees, sample, seed, pool)
+    candidates = tree_samples(df, key, rows, trees, sample, seed)
     # cut to the sample before anything is grouped in Python, map tasks first; this holds even
     # if many rows share a key
     place = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "key", *columns))

@@ -10,39 +10,32 @@ from riskloom.operators.clean import select_present
 from riskloom.operators.dedupe import keep_first
 from riskloom.sources.staging import stage
 
-# lookup tables up to this many rows are left to Spark's own choice of join, which
-# broadcasts by measured size
-SMALL_LOOKUP_ROWS = 20_000
 # a key is heavy if it holds at least this share of the rows, so there are at most 1000
 HEAVY_SHARE = 0.001
-HEAVY_ROWS = 1_000_000
 SALTS = 256
 
 
-def _heavy(counts: DataFrame, key: str, share: float, min_rows: int) -> list:
+def _heavy(counts: DataFrame, key: str, share: float) -> list:
     total = counts.agg(F.sum("rows")).first()[0] or 0
-    bar = max(min_rows, total * share, 1)
+    bar = max(total * share, 1)
     keys = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("rows").alias("rows"))
     return sorted(row[0] for row in keys.where(F.col("rows") >= bar).select(key).collect())
 
 
-def heavy_keys(
-    df: DataFrame, key: str, share: float = HEAVY_SHARE, min_rows: int = HEAVY_ROWS
-) -> list:
-    """Keys that hold at least ``share`` of the rows and at least ``min_rows``.
+def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
+    """Keys that hold at least ``share`` of the rows.
 
     Counted with map-side sums over the one column; at most ``1 / share`` values reach the
     driver whatever the size of the table.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return _heavy(stage(counts, "key-counts"), key, share, min_rows)
+    return _heavy(stage(counts, "key-counts"), key, share)
 
 
 def heavy_links(
     transactions: DataFrame,
     account_side: DataFrame,
     share: float = HEAVY_SHARE,
-    min_rows: int = HEAVY_ROWS,
 ) -> tuple[list, list]:
     """Heavy accounts and heavy effective customers of a transaction table.
 
@@ -60,8 +53,8 @@ def heavy_links(
         effective.alias("customer_id_final"), "rows"
     )
     return (
-        _heavy(pairs, "account_id", share, min_rows),
-        _heavy(by_customer, "customer_id_final", share, min_rows),
+        _heavy(pairs, "account_id", share),
+        _heavy(by_customer, "customer_id_final", share),
     )
 
 
@@ -92,10 +85,6 @@ def lookup(
     return salted_facts.join(salted_dimension, [key, "__salt"], "left").drop("__salt")
 
 
-def is_small(df: DataFrame, rows: int = SMALL_LOOKUP_ROWS) -> bool:
-    return df.count() <= rows
-
-
 def _suffixed(dimension: DataFrame, taken: list[str], key: str, suffix: str) -> dict[str, str]:
     return {
         name: name + suffix for name in dimension.columns if name in taken and name != key
@@ -113,7 +102,7 @@ def link(
     customers: DataFrame,
     account_order: list[str] | None = None,
     customer_order: list[str] | None = None,
-    balance: bool | None = None,
+    balance: bool = False,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Transactions with account and customer columns, one row each as before.
@@ -121,12 +110,11 @@ def link(
     Adds ``customer_id_acct``, ``customer_id_final`` and the markers ``orphan_account`` (no
     account-side customer) and ``orphan_customer`` (effective customer unknown).  The
     dimensions are cut to the needed columns and deduplicated first, which is what keeps
-    rows from multiplying.  ``balance`` spreads heavy keys; left out, it is done when a
-    dimension is too large to count on a broadcast.  ``sized_by`` is the table to count keys
-    in (the raw transactions, say, so that nothing upstream runs twice).
+    rows from multiplying.  Spark chooses the join by measured size and splits skewed
+    partitions; ``balance`` spreads heavy keys beforehand, at the cost of counting them.
+    ``sized_by`` is the table to count keys in (the raw transactions, say, so that nothing
+    upstream runs twice).
     """
-    if balance is None:
-        balance = not (is_small(accounts) and is_small(customers))
     account_side = select_present(
         keep_first(accounts, "account_id", account_order), fixed.ACCOUNT_COLUMNS
     )

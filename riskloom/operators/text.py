@@ -26,14 +26,15 @@ def sanitize(
     column: str,
     safe: str = "safe_text",
     flagged: str = "text_flagged",
-    limit: int = fixed.TEXT_LIMIT,
+    limit: int | None = fixed.TEXT_LIMIT,
     strict: bool = False,
 ) -> DataFrame:
     """Add a displayable copy of an untrusted column and whether it looked hostile.
 
     Plain ASCII rows stay in the JVM; only other rows carry text into the Python worker
     (the rest pass it a null).  ``strict`` turns line breaks and tabs into blanks first, so
-    that two words they part cannot fuse and slip past the patterns.
+    that two words they part cannot fuse and slip past the patterns.  Texts are cut to
+    ``limit`` characters, or kept whole without one.
     """
     if column not in df.columns:
         return df.withColumn(safe, F.lit(fixed.TEXT_MISSING)).withColumn(flagged, F.lit(False))
@@ -45,10 +46,10 @@ def sanitize(
     # most places are ruled out by one look at the next character
     hostile = f"(?iu)(?=[{fixed.INJECTION_STARTS}])(?:{injection_pattern()})"
     body = F.trim(F.regexp_replace("__masked", " {2,}", " "))
-    cut = F.when(
-        F.char_length("__body") > limit,
-        F.concat(F.substring("__body", 1, limit), F.lit(fixed.ELLIPSIS)),
-    ).otherwise(F.col("__body"))
+    cut = F.col("__body")
+    if limit is not None:
+        short = F.concat(F.substring("__body", 1, limit), F.lit(fixed.ELLIPSIS))
+        cut = F.when(F.char_length("__body") > limit, short).otherwise(cut)
     return (
         df.withColumn("__raw", raw)
         .withColumn("__folded", fold_printable(F.when(~ascii_only, F.col("__raw"))))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.operators import explore
-from riskloom.operators.link import heavy_keys, is_small
+from riskloom.operators.link import heavy_links
 from riskloom.sources.jsonl import read_jsonl_tolerant, read_report
 from riskloom.sources.tables import read_lookup
 
@@ -25,15 +26,18 @@ def explorer_rows(
     transactions: DataFrame | None,
     accounts: DataFrame | None,
     customers: DataFrame | None,
-    balance: bool | None = None,
+    balance: bool = False,
 ) -> DataFrame:
-    """Explorer rows of tolerantly read lines; large lookups get their heavy keys spread."""
-    if balance is None:
-        balance = any(t is not None and not is_small(t) for t in (accounts, customers))
+    """Explorer rows of tolerantly read lines; ``balance`` spreads heavy accounts and owners.
+
+    The owner that is joined is the account's, an empty one gives way to the transaction's.
+    """
     heavy_accounts = heavy_customers = None
-    if balance and transactions is not None:
-        heavy_accounts = heavy_keys(transactions, "account_id")
-        heavy_customers = heavy_keys(transactions, "customer_id")
+    if balance and transactions is not None and accounts is not None:
+        owners = accounts.select(
+            "account_id", F.nullif(F.col("customer_id"), F.lit("")).alias("customer_id_acct")
+        )
+        heavy_accounts, heavy_customers = heavy_links(transactions, owners)
     return explore.explorer(
         explore.verdict_rows(marked), transactions, accounts, customers,
         heavy_accounts, heavy_customers,

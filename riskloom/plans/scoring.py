@@ -58,7 +58,7 @@ def prepare(
     order_by: list[str] | None = None,
     as_of: str = fixed.AS_OF,
     formats: list[TimestampFormat] | None = None,
-    balance: bool | None = None,
+    balance: bool = False,
 ) -> DataFrame:
     """Raw tables to one cleaned, linked row per transaction (lazy).
 

@@ -6,15 +6,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from riskloom.functions.coerce import strip_text
+from riskloom.sources.staging import stage
 from riskloom.sources.tables import path_missing
 
 
-MAX_BROADCAST_BLOCKS = 1_000_000
-
-
 def parse_document(line: Column) -> Column:
     """One JSON document per line to a variant; null unless the whole line is valid JSON.
 
@@ -68,7 +65,7 @@ def read_jsonl_numbered(spark: SparkSession, path: str) -> DataFrame:
 
     Spark gives rows no number.  A row knows its file and block and its place among the rows
     of its task, so the lines before a block, one small row per block, make up the rest.
-    Reading and counting go over one persisted set of rows, so both see the same blocks.
+    Reading and counting go over one written set of rows, so both see the same blocks.
     """
     rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -76,7 +73,7 @@ def read_jsonl_numbered(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("place"),
         strip_text(F.col("value")).alias("value"),
     )
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = stage(rows, "numbered-lines")
     blocks = rows.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("lines"), F.min("place").alias("start")
     )
@@ -86,9 +83,6 @@ def read_jsonl_numbered(spark: SparkSession, path: str) -> DataFrame:
     offsets = blocks.select(
         "file", "block", "start", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before")
     )
-    # one small row per block of a file; very many small files are left to a shuffled join
-    if offsets.count() <= MAX_BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
     return (
         rows.where(F.col("value") != "")
         .join(offsets, ["file", "block"])

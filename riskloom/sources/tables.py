@@ -17,38 +17,14 @@ def path_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
-def has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether some line has an odd number of quotes, as a quoted line break leaves behind."""
-    lines = spark.read.text(path)
-    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(lines.agg(F.bool_or(quotes % 2 == 1)).first()[0])
-
-
-# a source of so few splits holds some hundred megabytes at most
-FEW_SPLITS = 4
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a source of very few splits out to the cores.
-
-    Any larger table is left alone: nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df if splits > FEW_SPLITS or splits >= cores else df.repartition(cores)
-
-
 def read_raw_table(
-    spark: SparkSession, path: str, multiline: bool | None = None, position: bool = False
+    spark: SparkSession, path: str, multiline: bool = False, position: bool = False
 ) -> DataFrame:
     """A CSV table with a header, every column as text and as it stands in the file.
 
-    Files are split over tasks unless a field holds a line break; ``multiline`` left out
-    finds that out with a scan of the lines.  ``position`` adds a column that sorts rows in
-    file order.
+    Files are split over tasks.  ``multiline`` lets a quoted field hold line breaks; a file is
+    then read by one task.  ``position`` adds a column that sorts rows in file order.
     """
-    if multiline is None:
-        multiline = has_open_quotes(spark, path)
     table = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multiline)
     if not position:
         return table
@@ -64,7 +40,7 @@ def read_table(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    multiline: bool | None = None,
+    multiline: bool = False,
     position: bool = False,
 ) -> DataFrame:
     """A CSV table with missing-value tokens as nulls.
@@ -84,13 +60,15 @@ def read_table(
     )
 
 
-def read_lookup(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+def read_lookup(
+    spark: SparkSession, path: str, key: str, multiline: bool = False
+) -> DataFrame | None:
     """A CSV table with one row per non-empty key, the last in the file; None if unreadable.
 
     Text is kept as it stands: the missing-value tokens mean nothing here.
     """
     try:
-        table = read_raw_table(spark, path, position=True)
+        table = read_raw_table(spark, path, multiline, position=True)
     except AnalysisException:
         return None
     if key not in table.columns:

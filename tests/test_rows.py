@@ -74,7 +74,6 @@ def test_link(spark):
 def test_salted_joins_are_the_same(spark, monkeypatch):
     transactions, accounts, customers = tables(spark)
     plain = link.link(transactions, accounts, customers, balance=False)
-    monkeypatch.setattr(link, "HEAVY_ROWS", 1)
     monkeypatch.setattr(link, "heavy_links", lambda t, a: (["a1", "a9"], ["c1", "c2"]))
     salted = link.link(transactions, accounts, customers, balance=True)
     assert compare.same_rows(plain, salted)
@@ -84,8 +83,8 @@ def test_heavy_keys(spark):
     rng = random.Random(1)
     keys = ["hot"] * 400 + [None] * 300 + [f"k{rng.randint(0, 300)}" for _ in range(500)]
     df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "k string, transaction_id string")
-    assert link.heavy_keys(df, "k", share=0.1, min_rows=1) == ["hot"]
-    assert link.heavy_keys(df, "k") == []
+    assert link.heavy_keys(df, "k", share=0.1) == ["hot"]
+    assert link.heavy_keys(df, "k", share=0.5) == []
     dimension = df.select("k").where("k is not null").distinct().withColumn("v", F.upper("k"))
     plain = link.lookup(df, dimension, "k")
     salted = link.lookup(df, dimension, "k", ["hot"], "transaction_id", salts=8)
@@ -96,7 +95,7 @@ def test_heavy_links(spark):
     transactions, accounts, _ = tables(spark)
     sides = accounts.where("account_id is not null").dropDuplicates(["account_id"])
     sides = sides.withColumnRenamed("customer_id", "customer_id_acct")
-    accounts_found, customers_found = link.heavy_links(transactions, sides, share=0.0, min_rows=2)
+    accounts_found, customers_found = link.heavy_links(transactions, sides, share=0.25)
     assert accounts_found == ["a1", "a9"]
     assert "c2" in customers_found
 

@@ -96,8 +96,7 @@ def test_records_are_checked_as_they_are_written(spark):
         verdict.assert_records(good.withColumn("is_fraud", F.lit("true")))
 
 
-@pytest.mark.parametrize("built_in", [0, 10**6])
-def test_medians(spark, built_in):
+def test_medians(spark):
     rng = np.random.default_rng(3)
     data = {
         "normal": rng.normal(size=4000), "long": np.exp(rng.normal(size=4000) * 8),
@@ -109,7 +108,7 @@ def test_medians(spark, built_in):
     names = list(data)
     rows = [tuple(float(data[n][i]) for n in names) + (None if i % 3 else float(i),) for i in range(3999)]
     df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names + ["sparse"]))
-    stats = ranks.column_stats(df, names + ["sparse"], built_in_rows=built_in)
+    stats = ranks.column_stats(df, names + ["sparse"])
     for i, name in enumerate(names):
         assert stats[name].median == float(np.median([r[i] for r in rows])), name
     assert stats["sparse"].median == float(np.median([r[-1] for r in rows if r[-1] is not None]))
@@ -119,19 +118,18 @@ def test_medians(spark, built_in):
     assert math.isclose(stats["sparse"].imputed_std(stats["sparse"].median), imputed.std(), rel_tol=1e-9)
     for n in (1, 2, 7, 100):
         small = df.limit(n).select("normal", "hot")
-        found = ranks.column_stats(small, ["normal", "hot"], built_in_rows=built_in)
+        found = ranks.column_stats(small, ["normal", "hot"])
         got = small.toPandas()
         assert found["normal"].median == float(np.median(got["normal"]))
 
 
-@pytest.mark.parametrize("built_in", [0, 10**6])
-def test_median_with_infinities(spark, built_in):
+def test_median_with_infinities(spark):
     inf = math.inf
     for values in ([1.0, inf, inf], [-inf, 1.0, 2.0, inf], [-inf, 3.0, 5.0], [inf], [2.0, 4.0, None], []):
         df = spark.createDataFrame([(v,) for v in values], "v double")
         known = [v for v in values if v is not None]
         expected = float(np.median(known)) if known else None
-        assert ranks.exact_median(df, F.col("v"), built_in) == expected
+        assert ranks.exact_median(df, F.col("v")) == expected
 
 
 def feature_frame(spark, points, parts=4):
@@ -184,7 +182,7 @@ def test_samples_do_not_grow_with_the_table(spark):
     df = spark.range(200000).select(
         F.concat(F.lit("k"), "id").alias("k"), *[F.rand(1).alias(c) for c in features.FEATURE_COLUMNS]
     )
-    per_tree = anomaly.tree_samples(df, "k", 200000, pool=20000).groupBy("tree").count().collect()
+    per_tree = anomaly.tree_samples(df, "k", 200000).groupBy("tree").count().collect()
     assert len(per_tree) == 200
     assert all(256 <= r["count"] <= 520 for r in per_tree)
 
