@@ -19,7 +19,7 @@ from riskloom.sources.staging import release, stage
 
 LEAST_ELEMENTS = 5
 BROADCAST_ROWS = 1_000_000
-LEVELS = 2
+LEVELS = 3
 SEEN = 500_000
 U = np.uint64
 
@@ -52,6 +52,18 @@ def fingerprint(grams: np.ndarray) -> int:
     return int(mix(mix(grams ^ U(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True) + U(len(grams))).astype(np.int64)[0])
 
 
+SKETCH = ["s0", "s1", "s2", "s3"]
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """256 bits as four integers: whether the number of elements in each of 256 classes is odd.
+
+    Two sets differ in at least as many elements as their sketches differ in bits.
+    """
+    odd = np.bincount((mix(grams + U(1)) >> U(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """Whether den * |a and b| >= num * |a or b|; both sorted without repeats."""
     if min(len(a), len(b)) * den < num * max(len(a), len(b)):
@@ -138,7 +150,9 @@ def _sizes(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t, words) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets]})
+            out = {"doc_id": b["doc_id"], "n": [len(s) for s in sets], "fp": [fingerprint(s) for s in sets]}
+            bits = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), len(SKETCH))
+            yield pd.DataFrame(out | {name: bits[:, i] for i, name in enumerate(SKETCH)})
 
     return run
 
@@ -221,12 +235,15 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: in
     few, are tested against those on the same or lower levels that are not yet known to be in
     the same component; then they leave the bucket, so the next ones are some times as many. A bucket
     is done when all it still holds is in one component. So large groups need few tests, and
-    no pair whose test could join two components is left out.
+    no pair whose test could join two components is left out. Pairs whose sizes or sketches
+    show that they differ in too many elements are no candidates.
     """
     spark = docs.sparkSession
-    live = buckets(docs, words, num, den)
-    reps = sizes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stage(live.select("fp").distinct().join(reps, "fp"), "wanted")
+    shared = buckets(docs, words, num, den)
+    reps = sizes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ["n", *SKETCH]])
+    live = compact(shared.join(reps, "fp"), "members", shared.count())
+    wanted = stage(live.select("fp", "doc_id").distinct(), "wanted")
+    live = live.drop("doc_id")
     sets = docs.select("doc_id", "text").join(few(wanted), "doc_id").mapInPandas(_sets(words), "fp long, grams binary")
     sets = stage(sets.dropDuplicates(["fp"]), "sets")
     release(spark, wanted)
@@ -236,7 +253,7 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: in
     staged: list[DataFrame] = [live]
     while True:
         now = live.join(labels, live["fp"] == labels["node"], "left_outer")
-        now = now.select("bucket", "fp", "level", F.coalesce("label", "fp").alias("label"))
+        now = now.select("bucket", "fp", "level", "n", *SKETCH, F.coalesce("label", "fp").alias("label"))
         left = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("level").alias("top"))
         live = compact(now.join(left.where("x < y").select("bucket", "top"), "bucket"), "live", rows)
         release(spark, *staged)
@@ -245,8 +262,13 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: in
         if not rows:
             break
         first = F.col("level") > F.col("top") - LEVELS
-        centre = live.where(first).select("bucket", F.col("fp").alias("c"), F.col("label").alias("c_label"))
-        pairs = live.join(centre, "bucket").where((~first | (F.col("fp") < F.col("c"))) & (F.col("label") != F.col("c_label")))
+        centre = live.where(first).select("bucket", F.col("fp").alias("c"), *[F.col(x).alias(f"c_{x}") for x in ["label", "n", *SKETCH]])
+        apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"c_{x}"))) for x in SKETCH), F.lit(0))
+        pairs = live.join(centre, "bucket").where(
+            (~first | (F.col("fp") < F.col("c"))) & (F.col("label") != F.col("c_label"))
+            & (F.least("n", "c_n") * den >= F.greatest("n", "c_n") * num)
+            & (apart * (den + num) <= (F.col("n") + F.col("c_n")) * (den - num))
+        )
         pairs = pairs.select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b")).distinct()
         for known in tested:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
@@ -260,7 +282,7 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: in
             labels = components(links.union(older.select(F.col("node").alias("a"), F.col("label").alias("b"))))
             release(spark, older)
         release(spark, links)
-        live = live.where(~first).select("bucket", "fp", "level")
+        live = live.where(~first).select("bucket", "fp", "level", "n", *SKETCH)
     release(spark, live, sets, *tested)
     return labels
 
@@ -280,7 +302,7 @@ def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = stage(docs.mapInPandas(_sizes(words), "doc_id long, n int, fp long"), "sizes")
+    sizes = stage(docs.mapInPandas(_sizes(words), "doc_id long, n int, fp long, s0 long, s1 long, s2 long, s3 long"), "sizes")
     named = docs.where(F.col("doc_id").isNotNull())
     known = linked_sets(named, sizes.where(F.col("doc_id").isNotNull()), words, num, den)
     reps = sizes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -290,7 +312,7 @@ def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100
     of_set = stage(marked.join(least, "root").select("fp", "component_id"), "set-components")
     release(spark, known)
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return sizes.join(of_set, "fp", "left_outer").select(
+    return sizes.drop(*SKETCH).join(of_set, "fp", "left_outer").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
