@@ -1,18 +1,95 @@
 """SQL with the same results as the queries, over the given tables as views.
 
 Written for an engine with ANSI SQL, RE2 patterns and a JSON type; it shares the statements
-that plant dirt with the queries, and nothing else.
+that plant dirt with the queries, and nothing else: points, reasons, tokens, patterns and field
+names are stated here again.
 """
 
 from __future__ import annotations
 
-from riskloom import fixed
-from riskloom.operators.features import FEATURE_COLUMNS
-from riskloom.operators.rules import RULES
-from riskloom.operators.text import injection_pattern
 from riskloom.plans import virtual
 from riskloom.plans.catalog import LINES_SQL
 
+# --- the values that results have to hold, stated here once more -------------------------------
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+FLAG_COLUMNS = [
+    "is_foreign_transaction", "is_new_device", "is_card_present", "is_weekend",
+]
+REPORTED_FIELDS = [
+    "transaction_id", "account_id", "customer_id", "transaction_timestamp", "amount",
+    "currency", "transaction_type", "channel", "status", "merchant_name", "merchant_category",
+    "auth_method", "device_type", "ip_address", "amount_to_account_avg_ratio",
+    "time_since_prev_txn_mins",
+]
+FEATURE_COLUMNS = [
+    "f_amt", "f_ratio", "f_dist", "f_t24", "f_tsince", "f_hour", "f_foreign", "f_newdev",
+    "f_cardpresent",
+]
+BANNED = [
+    "system:", "assistant:", "user:", "ignore all", "ignore previous", "is_fraud", "not fraud",
+    "confidence:", "confidence=", "{", "}", "```", "<", ">", "override",
+]
+UNTRUSTED = [
+    "merchant_name", "merchant_id", "merchant_category", "merchant_city", "device_id",
+    "ip_address",
+]
+AS_OF, SEED, LIMIT, CUT = "2026-09-19 00:00:00", 42, 60, "\u2026"
+POINTS_AND_REASONS = [
+    (0.28, "amount far above account average"),
+    (0.18, "very large amount"),
+    (0.25, "new device on a foreign transaction"),
+    (0.10, "foreign transaction"),
+    (0.08, "first-time device"),
+    (0.15, "far from home location"),
+    (0.10, "unusual late-night hour"),
+    (0.12, "high transaction velocity in 24h"),
+    (0.12, "rapid successive transactions"),
+    (0.08, "failed/reversed status"),
+    (0.10, "customer rated high risk"),
+    (0.06, "politically exposed customer"),
+    (0.08, "KYC not verified"),
+    (0.06, "corrupt/invalid amount"),
+    (0.05, "invalid timestamp"),
+]
+EXPLORER_TRANSACTION = {
+    "amount": "amount", "currency": "currency", "timestamp": "transaction_timestamp", "type":
+    "transaction_type", "channel": "channel", "status": "status", "merchant_name":
+    "merchant_name", "merchant_category": "merchant_category", "merchant_city": "merchant_city",
+    "is_foreign": "is_foreign_transaction", "is_new_device": "is_new_device", "device_type":
+    "device_type", "distance_km": "distance_from_home_km", "amt_ratio":
+    "amount_to_account_avg_ratio", "txn_24h": "txn_count_last_24h",
+}
+EXPLORER_ACCOUNT = {
+    "account_type": "account_type", "account_status": "account_status", "current_balance":
+    "current_balance", "account_tier": "account_tier",
+}
+EXPLORER_CUSTOMER = {
+    "risk_rating": "risk_rating", "kyc_status": "kyc_status", "customer_segment":
+    "customer_segment", "is_pep": "is_politically_exposed", "cust_city": "city", "cust_state":
+    "state",
+}
+INJECTION = "|".join([
+    r"ignore[ ]+(?:all|previous|above)",
+    r"disregard",
+    r"system[ ]*prompt",
+    r"you[ ]+are[ ]+now",
+    r"\b(?:system|assistant|user)[ ]*:",
+    r"new[ ]+instruction",
+    r"mark[ ]+(?:this|it)[ ]+as",
+    r"(?:not|is)(?:_|[ ])?fraud",
+    r"(?:set[ ]+)?is_fraud",
+    r"confidence[ ]*[:=]",
+    r"\{",
+    r"\}",
+    r"```",
+    r"prompt",
+    r"jailbreak",
+    r"override",
+])
+
 
 def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -22,7 +99,7 @@ def _plain(sql: str) -> str:
     return sql.replace("{{", "{").replace("}}", "}")
 
 
-NA = ", ".join(_quoted(token) for token in fixed.NA_TOKENS)
+NA = ", ".join(_quoted(token) for token in NA_TOKENS)
 TXN = list(virtual._TRANSACTION_COLUMNS)
 ACC = list(virtual._ACCOUNT_COLUMNS)
 CUS = list(virtual._CUSTOMER_COLUMNS)
@@ -77,10 +154,10 @@ STATUS = "coalesce(upper(trim(regexp_replace(status, '\\s+', ' ', 'g'))), 'UNKNO
 
 
 def _cleaned(source: str) -> str:
-    flags = ", ".join(f"{_flag(c)} AS {c}_b" for c in fixed.FLAG_COLUMNS)
+    flags = ", ".join(f"{_flag(c)} AS {c}_b" for c in FLAG_COLUMNS)
     return (
-        f"SELECT * EXCLUDE (given), coalesce(ts > TIMESTAMP '{fixed.AS_OF}', false) AS ts_future, "
-        f"(ts IS NULL OR coalesce(ts > TIMESTAMP '{fixed.AS_OF}', false)) AS ts_invalid, "
+        f"SELECT * EXCLUDE (given), coalesce(ts > TIMESTAMP '{AS_OF}', false) AS ts_future, "
+        f"(ts IS NULL OR coalesce(ts > TIMESTAMP '{AS_OF}', false)) AS ts_invalid, "
         "coalesce(num <= 0, true) AS amount_invalid, "
         "CASE WHEN given BETWEEN 0 AND 23 THEN given ELSE CAST(hour(ts) AS DOUBLE) END AS hour "
         f"FROM (SELECT *, {STAMP} AS ts, {_number('transaction_hour')} AS given, "
@@ -132,11 +209,11 @@ RULE_TESTS = [
     "ts_invalid",
 ]
 _points = " + ".join(
-    f"CASE WHEN {test} THEN {rule.points}::DOUBLE ELSE 0::DOUBLE END"
-    for test, rule in zip(RULE_TESTS, RULES)
+    f"CASE WHEN {test} THEN {rule[0]}::DOUBLE ELSE 0::DOUBLE END"
+    for test, rule in zip(RULE_TESTS, POINTS_AND_REASONS)
 )
 _texts = ", ".join(
-    f"CASE WHEN {test} THEN {_quoted(rule.reason)} END" for test, rule in zip(RULE_TESTS, RULES)
+    f"CASE WHEN {test} THEN {_quoted(rule[1])} END" for test, rule in zip(RULE_TESTS, POINTS_AND_REASONS)
 )
 RULED = (
     f"{FILLED}, scored0 AS (SELECT *, least(0::DOUBLE + {_points}, 1::DOUBLE) AS rule_score, "
@@ -170,7 +247,7 @@ _HALF = "".join(chr(0x21 + i) for i in range(94))
 def _sanitized(source: str, column: str, keys: str, limit: int | None = 60) -> str:
     """Statements for (keys, safe_text, text_flagged) as table ``safe``."""
     folded = f"translate(nfc_normalize({column}), {_quoted(_FULL)}, {_quoted(_HALF)})"
-    pattern = _quoted(injection_pattern(edge="\\b"))
+    pattern = _quoted(INJECTION)
     return (
         f"s1 AS (SELECT *, regexp_replace({folded}, '{_UNPRINTABLE}', '', 'g') AS p FROM {source}), "
         "s2 AS (SELECT *, translate(p, '<>', '  ') AS o FROM s1), "
@@ -212,7 +289,7 @@ INVALID = (
 )
 MISSING = " UNION ALL ".join(
     f"SELECT {i} AS position, '{n}' AS field, count(*) FILTER (WHERE {n} IS NULL) AS missing FROM t0"
-    for i, n in enumerate(fixed.REPORTED_FIELDS)
+    for i, n in enumerate(REPORTED_FIELDS)
 )
 REPORT = (
     f"{DECIDED}, {COUNTS}, {DISTINCT}, {_sanitized('t0', 'merchant_name', 'transaction_id')}, "
@@ -356,11 +433,11 @@ EXPLORER = (
     f"acc_raw AS ({_plain(virtual.plain_accounts_sql())}), al AS ({_last(ACC, 'account_id', 'acc_raw')}), "
     f"cus_raw AS ({_plain(virtual.customers_sql())}), cl AS ({_last(CUS, 'customer_id', 'cus_raw')}), "
     "e1 AS (SELECT tid AS transaction_id, truth AS is_fraud, CAST(sure AS DOUBLE) AS confidence, just AS justification, "
-    f"{_fields(fixed.EXPLORER_TRANSACTION, 'tl', TXN)}, coalesce(tl.account_id, '') AS account_id, "
+    f"{_fields(EXPLORER_TRANSACTION, 'tl', TXN)}, coalesce(tl.account_id, '') AS account_id, "
     "coalesce(tl.customer_id, '') AS own FROM good LEFT JOIN tl ON good.tid = tl.transaction_id), "
-    f"e2 AS (SELECT e1.* EXCLUDE (own), {_fields(fixed.EXPLORER_ACCOUNT, 'al', ACC)}, "
+    f"e2 AS (SELECT e1.* EXCLUDE (own), {_fields(EXPLORER_ACCOUNT, 'al', ACC)}, "
     "coalesce(nullif(al.customer_id, ''), own) AS customer_id FROM e1 LEFT JOIN al ON e1.account_id = al.account_id), "
-    f"explorer AS (SELECT e2.*, {_fields(fixed.EXPLORER_CUSTOMER, 'cl', CUS)} "
+    f"explorer AS (SELECT e2.*, {_fields(EXPLORER_CUSTOMER, 'cl', CUS)} "
     "FROM e2 LEFT JOIN cl ON e2.customer_id = cl.customer_id)"
 )
 _LEADING = (
@@ -408,7 +485,7 @@ def _split(source: str, key: str) -> str:
     return (
         f"SELECT *, CASE WHEN rn <= floor(0.8::DOUBLE * n) THEN 'train' "
         f"WHEN rn <= floor(0.8::DOUBLE * n) + floor(0.1::DOUBLE * n) THEN 'valid' ELSE 'test' END AS split FROM "
-        f"(SELECT *, row_number() OVER (ORDER BY md5('{fixed.SEED}|' || CAST({key} AS STRING))) AS rn, "
+        f"(SELECT *, row_number() OVER (ORDER BY md5('{SEED}|' || CAST({key} AS STRING))) AS rn, "
         f"count(*) OVER () AS n FROM {source})"
     )
 
@@ -417,7 +494,7 @@ def _all(names: list[str]) -> str:
     return ", ".join(names)
 
 
-FLAGS_B = _all([f"{c}_b" for c in fixed.FLAG_COLUMNS])
+FLAGS_B = _all([f"{c}_b" for c in FLAG_COLUMNS])
 
 ORACLES: dict[str, str] = {
     "normalize_missing": f"WITH {RAW} SELECT * FROM t0",
@@ -521,7 +598,7 @@ ORACLES: dict[str, str] = {
         f"WITH {RAW}, {_sanitized('t0', 'merchant_name', 'transaction_id')} SELECT text_flagged, count(*) AS texts, "
         "CAST(sum("
         + " + ".join(
-            f"CASE WHEN contains(lower(safe_text), {_quoted(t)}) THEN 1 ELSE 0 END" for t in fixed.BANNED_TOKENS
+            f"CASE WHEN contains(lower(safe_text), {_quoted(t)}) THEN 1 ELSE 0 END" for t in BANNED
         )
         + ") AS BIGINT) AS leaked FROM safe GROUP BY 1"
     ),
@@ -640,21 +717,21 @@ ORACLES["feature_prompts"] = (
 
 def _registry() -> str:
     steps, source = [], "t0"
-    for n, column in enumerate(fixed.UNTRUSTED_COLUMNS):
+    for n, column in enumerate(UNTRUSTED):
         folded = f"translate(nfc_normalize({column}), {_quoted(_FULL)}, {_quoted(_HALF)})"
-        pattern = _quoted(injection_pattern(edge="\\b"))
+        pattern = _quoted(INJECTION)
         steps += [
             f"p{n} AS (SELECT *, regexp_replace({folded}, '{_UNPRINTABLE}', '', 'g') AS p FROM {source})",
             f"o{n} AS (SELECT *, translate(p, '<>', '  ') AS o FROM p{n})",
             f"m{n} AS (SELECT *, regexp_replace(o, {pattern}, '[redacted]', 'gi') AS m FROM o{n})",
             f"b{n} AS (SELECT *, trim(regexp_replace(m, ' +', ' ', 'g')) AS b FROM m{n})",
             f"r{n} AS (SELECT * EXCLUDE (p, o, m, b), CASE WHEN {column} IS NULL THEN '(none)' "
-            f"WHEN b = '' THEN '(empty)' WHEN length(b) > {fixed.TEXT_LIMIT} THEN "
-            f"substring(b, 1, {fixed.TEXT_LIMIT}) || '{fixed.ELLIPSIS}' ELSE b END AS {column}_safe, "
+            f"WHEN b = '' THEN '(empty)' WHEN length(b) > {LIMIT} THEN "
+            f"substring(b, 1, {LIMIT}) || '{CUT}' ELSE b END AS {column}_safe, "
             f"coalesce(o <> p OR m <> o, false) AS {column}_flagged FROM b{n})",
         ]
         source = f"r{n}"
-    names = [f"{c}_{part}" for part in ("safe", "flagged") for c in fixed.UNTRUSTED_COLUMNS]
+    names = [f"{c}_{part}" for part in ("safe", "flagged") for c in UNTRUSTED]
     return f"WITH {RAW}, {', '.join(steps)} SELECT transaction_id, {_all(names)} FROM {source}"
 
 
