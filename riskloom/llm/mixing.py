@@ -12,7 +12,7 @@ from riskloom.llm.keys import hash_of, words
 from riskloom.sources.staging import stage
 
 WEIGHTS = (3, 1, 2)
-SLICE_ROWS = 32_768
+SLICE_ROWS = 8_192
 ORDER = ["finish", "copy", "key", "doc_id", "tie"]
 
 
