@@ -736,3 +736,31 @@ def _registry() -> str:
 
 
 ORACLES["sanitize_registry"] = _registry()
+
+ORACLES |= {
+    "dashboard_metrics_written": ORACLES["dashboard_metrics"],
+    "numbered_lines": (
+        f"WITH {LINES.split(', l1 AS')[0]} SELECT line, trim(value) AS value FROM "
+        "(SELECT row_number() OVER (ORDER BY line) AS line, value FROM lines) WHERE trim(value) <> ''"
+    ),
+    "lookup_last": (
+        f"WITH {LINKED} SELECT account_id, coalesce(account_type, '') AS account_type, "
+        "coalesce(current_balance, '') AS current_balance FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY account_id ORDER BY account_type DESC NULLS LAST) AS rn FROM acc_raw) WHERE rn = 1"
+    ),
+    "report_written": f"SELECT * EXCLUDE (fraud_rate, missing) FROM ({ORACLES['quality_report']})",
+    "splits_written": ORACLES["split_sizes"],
+    "explorer_written": ORACLES["explorer"],
+    "absent_columns": (
+        "SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS DOUBLE) AS number, CAST(NULL AS DOUBLE) AS not_a_number, "
+        "CAST(NULL AS DOUBLE) AS no_number, CAST(l_linenumber AS VARCHAR) AS said, '?' AS unsaid FROM lineitem"
+    ),
+    "same_row_count": f"WITH {LINKED} SELECT count(*) AS rows, count(DISTINCT transaction_id) AS compared FROM linked",
+    "anomaly_facts": (
+        f"WITH {LINKED} SELECT count(*) AS rows, count(DISTINCT transaction_id) AS ids, count(*) AS in_range, "
+        "CAST(0 AS DOUBLE) AS lowest FROM linked"
+    ),
+    # merchant names are no input of a verdict, and a fit does not depend on how rows are dealt
+    "independence": "SELECT CAST(n AS INTEGER) AS \"case\", CAST(0 AS BIGINT) AS changed FROM range(2) AS r(n)",
+    "determinism": "SELECT CAST(0 AS BIGINT) AS changed",
+}

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import fixed
+from riskloom.functions import coerce
 from riskloom.functions.ranks import column_stats
 from riskloom.operators import (
     clean,
@@ -30,10 +30,13 @@ from riskloom.operators.anomaly import normalize_score, score_range
 from riskloom.plans import labels, report, scoring, virtual
 from riskloom.plans.explorer import explorer_rows
 from riskloom.session import tune
-from riskloom.sources.jsonl import mark_documents, read_jsonl_numbered
+from riskloom.sources import sinks
+from riskloom.sources.jsonl import (
+    mark_documents, read_jsonl_numbered, read_jsonl_tolerant, read_pairs, read_report,
+)
 from riskloom.sources.sinks import write_verdicts
-from riskloom.sources.staging import shared_folder, stage
-from riskloom.sources.tables import read_table
+from riskloom.sources.staging import new_path, stage
+from riskloom.sources.tables import read_lookup, read_table
 
 KEY = scoring.KEY
 Query = Callable[[SparkSession, str], DataFrame]
@@ -520,7 +523,7 @@ def validate_global(spark, sf_dir):
 @query
 def written_verdicts(spark, sf_dir):
     """Verdicts written as JSON lines, read back with line numbers and validated."""
-    path = f"{shared_folder(spark)}/riskloom/verdicts-{uuid.uuid4().hex}"
+    path = new_path(spark, "verdicts")
     write_verdicts(verdict.verdicts(_decided(spark, sf_dir)), path)
     checked = validate.check_lines(read_jsonl_numbered(spark, path))
     ids = validate.ledger(checked, virtual.transactions(spark, sf_dir))
@@ -531,13 +534,118 @@ def written_verdicts(spark, sf_dir):
 @query
 def csv_scan(spark, sf_dir):
     """The transactions written as CSV and read back, missing tokens as nulls."""
-    path = f"{shared_folder(spark)}/riskloom/csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "csv")
     writer = virtual.transactions(spark, sf_dir).write.option("header", True)
     writer = writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False)
     writer.option("ignoreTrailingWhiteSpace", False).csv(path)
     return read_table(spark, path)
 
 
+# --- written and read again --------------------------------------------------------------------
+
+
+@query
+def dashboard_metrics_written(spark, sf_dir):
+    """Headline numbers of lines read tolerantly from a file; a missing file adds nothing."""
+    path = new_path(spark, "lines")
+    _lines(spark, sf_dir).select("value").write.text(path)
+    marked, _ = read_jsonl_tolerant(spark, path)
+    absent, message = read_jsonl_tolerant(spark, f"{path}-absent")
+    assert message is not None
+    return explore.dashboard_metrics(marked.unionByName(absent))
+
+
+@query
+def numbered_lines(spark, sf_dir):
+    """The numbers of the lines that are not blank, in a file of several blocks."""
+    path = new_path(spark, "numbered")
+    lines = _lines(spark, sf_dir).repartition(1).sortWithinPartitions("line")
+    lines.select("value").write.text(path)
+    return read_jsonl_numbered(spark, path).select("line", "value")
+
+
+@query
+def lookup_last(spark, sf_dir):
+    """The last row of each account in a CSV file, its text as it stands."""
+    path = new_path(spark, "accounts")
+    rows = virtual.accounts(spark, sf_dir).select("account_id", "account_type", "current_balance")
+    rows = rows.repartition(1).sortWithinPartitions("account_id", "account_type")
+    rows.write.option("header", True).csv(path)
+    found = read_lookup(spark, path, "account_id")
+    return found.select("account_id", *[F.coalesce(c, F.lit("")).alias(c) for c in rows.columns[1:]])
+
+
+@query
+def report_written(spark, sf_dir):
+    """Counts of the nested report, written as a JSON document and read back."""
+    path = new_path(spark, "report")
+    sinks.write_report(_report(spark, sf_dir), path)
+    doc = read_report(spark, path)
+    assert read_report(spark, f"{path}-absent") is None
+    counts = [
+        F.try_variant_get("doc", f"$.{section}.{name}", "bigint").alias(name)
+        for section, names in quality.REPORT_SECTIONS.items()
+        for name in names
+    ]
+    return doc.select(*counts)
+
+
+@query
+def splits_written(spark, sf_dir):
+    """Prompt pairs written per split and read back, counted per split."""
+    path = new_path(spark, "splits")
+    sinks.write_splits(labels.labelled_splits(stage(_decided(spark, sf_dir), "scored")), path)
+    parts = [
+        read_pairs(spark, f"{path}/split={name}").withColumn("split", F.lit(name))
+        for name in ("train", "valid", "test")
+    ]
+    return dataset.split_sizes(functools.reduce(DataFrame.unionByName, parts))
+
+
+@query
+def explorer_written(spark, sf_dir):
+    """The explorer's rows as a viewer reads them."""
+    path = new_path(spark, "explorer")
+    rows = _explorer(spark, sf_dir)
+    metrics = explore.dashboard_metrics(mark_documents(_lines(spark, sf_dir)))
+    sinks.write_explorer(rows, metrics, None, path)
+    return spark.read.schema(rows.schema).json(f"{path}/rows")
+
+
+@query
+def absent_columns(spark, sf_dir):
+    """Numbers and texts of columns that a frame has or has not."""
+    items = virtual.table(spark, sf_dir, "lineitem")
+    return items.select(
+        "l_orderkey", "l_linenumber",
+        coerce.number_column(items, "l_linenumber").alias("number"),
+        coerce.number_column(items, "l_returnflag").alias("not_a_number"),
+        coerce.number_column(items, "nothing").alias("no_number"),
+        coerce.text_column(items, "l_linenumber").alias("said"),
+        coerce.text_column(items, "nothing", "?").alias("unsaid"),
+    )
+
+
+@query
+def same_row_count(spark, sf_dir):
+    """Rows before and after linking, which must not differ."""
+    linked = stage(_linked(spark, sf_dir), "linked")
+    before = scoring.deduplicated(virtual.transactions(spark, sf_dir))
+    rows = link.assert_same_rows(before, linked)
+    return linked.agg(F.count(F.lit(1)).alias("rows"), F.lit(rows).cast("bigint").alias("compared"))
+
+
+@query
+def anomaly_facts(spark, sf_dir):
+    """What must hold of the learned scores: every row has one from 0 to 1, and the lowest is 0."""
+    scores = anomaly_forest(spark, sf_dir)
+    return scores.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(KEY).alias("ids"),
+        F.count_if(F.col("anom_score").between(0.0, 1.0)).alias("in_range"),
+        F.min("anom_score").alias("lowest"),
+    )
+
+
 # --- explorer ----------------------------------------------------------------------------------
 
 
