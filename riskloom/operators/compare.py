@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.sources.staging import stage
+
 
 def frame_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that are not equally often in both, with how many more the left has.
@@ -35,8 +37,11 @@ def perturb_and_compare(
     texts: list[str],
     keep: list[str],
 ) -> DataFrame:
-    """Per replacement text, how many result rows change if a whole column is set to it."""
-    base = transform(df).select(*keep)
+    """Per replacement text, how many result rows change if a whole column is set to it.
+
+    ``transform`` should fit anew, so that a text that leaks into the fit shows as well.
+    """
+    base = stage(transform(df).select(*keep), "base")
     parts = []
     for number, text in enumerate(texts):
         changed = transform(df.withColumn(column, F.lit(text))).select(*keep)

@@ -8,6 +8,7 @@ statements use only what Spark SQL and ANSI engines share.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _ID = "'TXN_' || lpad(CAST(o_orderkey AS STRING), 10, '0')"
@@ -195,15 +196,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statement = transactions_sql(_copied("{orders}", *_TRANSACTION_COPIES))
+# says which row of a key is first, as the position in a file would
+_POSITION = {"_position": "later"}
+
+
+def transactions(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
+    columns = _TRANSACTION_COLUMNS | (_POSITION if position else {})
+    statement = _select(columns, _copied("{orders}", *_TRANSACTION_COPIES))
     return spark.sql(statement, orders=table(spark, sf_dir, "orders"))
 
 
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    statement = accounts_sql(_copied("{customer}", *_ACCOUNT_COPIES))
+def accounts(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
+    columns = _ACCOUNT_COLUMNS | (_POSITION if position else {})
+    statement = _select(columns, _copied("{customer}", *_ACCOUNT_COPIES))
     return spark.sql(statement, customer=table(spark, sf_dir, "customer"))
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(customers_sql("{customer}"), customer=table(spark, sf_dir, "customer"))
+def customers(spark: SparkSession, sf_dir: str, position: bool = False) -> DataFrame:
+    found = spark.sql(customers_sql("{customer}"), customer=table(spark, sf_dir, "customer"))
+    return found.withColumn("_position", F.lit(0)) if position else found
