@@ -260,6 +260,13 @@ def _sanitized(source: str, column: str, keys: str, limit: int | None = 60) -> s
     )
 
 
+def _hot(statements: str) -> str:
+    """The same statements over transactions of which every third is on one account."""
+    start = "CASE WHEN o_orderkey % 121 = 0 THEN 'ACC_X'"
+    assert start in statements
+    return statements.replace(start, f"CASE WHEN o_orderkey % 3 = 1 THEN 'ACC_00000007'{start[4:]}")
+
+
 def _stack(section: str, source: str, names: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT '{section}' AS section, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM {source}"
@@ -544,7 +551,7 @@ ORACLES: dict[str, str] = {
         "(SELECT count(DISTINCT transaction_id) FROM t0) AS present_keys"
     ),
     "join_chain": f"WITH {LINKED} SELECT {LINK_COLUMNS} FROM linked",
-    "join_chain_balanced": f"WITH {LINKED} SELECT {LINK_COLUMNS} FROM linked",
+    "join_chain_balanced": f"WITH {_hot(LINKED)} SELECT {LINK_COLUMNS} FROM linked",
     "lookup_heavy": (
         "SELECT event_id, user_id, c_name, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey"
     ),
@@ -621,7 +628,8 @@ ORACLES: dict[str, str] = {
     "validate_summary": f"WITH {LEDGER} {SUMMARY}",
     "validate_global": f"WITH {LEDGER} {GLOBAL}",
     "validate_first_failures": (
-        f"WITH {LEDGER} SELECT * FROM (SELECT * FROM failures UNION ALL SELECT NULL AS line, * FROM ({GLOBAL})) "
+        f"WITH {LEDGER} SELECT *, greatest(count(*) OVER () - 25, 0) AS more "
+        f"FROM (SELECT * FROM failures UNION ALL SELECT NULL AS line, * FROM ({GLOBAL})) "
         "ORDER BY line NULLS LAST, \"check\" LIMIT 25"
     ),
     "written_verdicts": (
@@ -749,6 +757,7 @@ ORACLES |= {
         "(PARTITION BY account_id ORDER BY account_type DESC NULLS LAST) AS rn FROM acc_raw) WHERE rn = 1"
     ),
     "report_written": f"SELECT * EXCLUDE (fraud_rate, missing) FROM ({ORACLES['quality_report']})",
+    "explorer_balanced": f"WITH {_hot(EXPLORER)} SELECT * FROM explorer",
     "splits_written": ORACLES["split_sizes"],
     "explorer_written": ORACLES["explorer"],
     "absent_columns": (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import fixed
+from riskloom.sources.staging import stage
 from riskloom.functions.coerce import strip_text
 from riskloom.operators.link import id_ledger
 from riskloom.sources.jsonl import document_keys, parse_document
@@ -173,8 +174,11 @@ def all_failures(checked: DataFrame, ids: DataFrame, with_coverage: bool = True)
 
 
 def first_failures(failures: DataFrame, rows: int = 25) -> DataFrame:
-    """The first failures by line; those of the whole output come last."""
-    return failures.orderBy(F.asc_nulls_last("line"), "check").limit(rows)
+    """The first failures by line, those of the whole output last, and how many ``more`` there are."""
+    failures = stage(failures, "failures")
+    more = max(failures.count() - rows, 0)
+    first = failures.orderBy(F.asc_nulls_last("line"), "check").limit(rows)
+    return first.withColumn("more", F.lit(more).cast("bigint"))
 
 
 def summary(checked: DataFrame, ids: DataFrame, with_coverage: bool = True) -> DataFrame:
