@@ -65,6 +65,7 @@ def lookup(
     heavy: list | None = None,
     salt_by: str | None = None,
     salts: int = SALTS,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Left equi join of many facts to one dimension row each (the key has to be unique).
 
@@ -72,16 +73,28 @@ def lookup(
     small, or shuffles and splits skewed partitions.  With ``heavy`` keys their facts, and
     those with a null key, are spread by a hash of ``salt_by`` over ``salts`` parts, and only
     the dimension rows of those keys are repeated, so no task gets a whole heavy key.
+    A null key finds nothing, or with ``null_safe`` the dimension row whose key is null.
     """
+    same = lambda left, right: left.join(
+        right.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left"
+    ).drop("__key")
     if heavy is None or salt_by is None:
-        return facts.join(dimension, key, "left")
+        return same(facts, dimension) if null_safe else facts.join(dimension, key, "left")
     part = F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")
     spread = F.col(key).isNull() | F.col(key).isin(heavy) if heavy else F.col(key).isNull()
     salted_facts = facts.withColumn("__salt", F.when(spread, part).otherwise(F.lit(0)))
     parts = F.sequence(F.lit(0), F.lit(salts - 1))
     one = F.array(F.lit(0))
-    copies = F.when(F.col(key).isin(heavy), parts).otherwise(one) if heavy else one
+    repeated = F.col(key).isin(heavy) if heavy else F.lit(False)
+    if null_safe:
+        repeated = repeated | F.col(key).isNull()
+    copies = F.when(repeated, parts).otherwise(one)
     salted_dimension = dimension.withColumn("__salt", F.explode(copies))
+    if null_safe:
+        salted_dimension = salted_dimension.withColumnsRenamed({key: "__key", "__salt": "__part"})
+        match = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__part"))
+        joined = salted_facts.join(salted_dimension, match, "left")
+        return joined.drop("__key", "__salt", "__part")
     return salted_facts.join(salted_dimension, [key, "__salt"], "left").drop("__salt")
 
 

@@ -91,6 +91,16 @@ def test_heavy_keys(spark):
     assert compare.same_rows(plain, salted)
 
 
+def test_null_keys_match_if_asked(spark):
+    facts = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("z", 4)], "k string, id long")
+    dimension = spark.createDataFrame([("a", "A"), (None, "none")], "k string, v string")
+    for heavy in (None, [], ["a"]):
+        for null_safe, found in ((False, None), (True, "none")):
+            joined = link.lookup(facts, dimension, "k", heavy, "id", salts=4, null_safe=null_safe)
+            assert joined.columns == ["k", "id", "v"]
+            assert {r["id"]: r["v"] for r in joined.collect()} == {1: "A", 2: found, 3: found, 4: None}
+
+
 def test_heavy_links(spark):
     transactions, accounts, _ = tables(spark)
     sides = accounts.where("account_id is not null").dropDuplicates(["account_id"])
