@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +44,14 @@ def confusion_scores(
     return df.groupBy(*by).agg(*scores) if by else df.agg(*scores)
 
 
-# fixed remarks of the document
-CAVEATS = [
-    "Labels come from the rule engine and have not been verified.",
-    "Scores say how well the rule engine is imitated, not how well fraud is found.",
-    "Few rows are positive: look at fraud_f1, not at agreement alone.",
-]
-
-
 def compare_runs(
-    scores: DataFrame, run: str, base: str = "base", tuned: str = "tuned"
+    scores: DataFrame, run: str, base: str = "base", tuned: str = "tuned",
+    caveats: Sequence[str] = (),
 ) -> DataFrame:
-    """One nested row of two runs and what changed between them, from scores per run."""
+    """One nested row of two runs and what changed between them, from scores per run.
+
+    ``caveats`` are remarks for the reader of the document, kept as they are given.
+    """
     fields = F.struct(*SCORES, "n", "n_fraud_pseudo")
     pick = lambda name: F.max(F.when(F.col(run) == name, fields))
     both = scores.agg(pick(base).alias("base_zero_shot"), pick(tuned).alias("fine_tuned_lora"))
@@ -65,5 +63,5 @@ def compare_runs(
         "fine_tuned_lora",
         change("agreement").alias("delta_agreement"),
         change("fraud_f1").alias("delta_fraud_f1"),
-        F.array(*[F.lit(text) for text in CAVEATS]).alias("caveats"),
+        F.array(*[F.lit(text) for text in caveats]).cast("array<string>").alias("caveats"),
     )

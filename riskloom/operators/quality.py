@@ -153,9 +153,9 @@ REPORT_SECTIONS = {
     "flagged_transactions": ["is_fraud_true", "is_fraud_false"],
 }
 REPORT_NOTES = {
-    "orphaned_relationships": "the customer of an account takes precedence over that of a row",
-    "prompt_injection": "untrusted text is sanitized for display and has no part in a verdict",
-    "flagged_transactions": "verdicts come from rules and an anomaly score; there are no labels",
+    "orphaned_relationships": "counted on the joined rows, owners of accounts first",
+    "prompt_injection": "texts in which something was masked; scores never read them",
+    "flagged_transactions": "share of rows above the threshold, measured against nothing",
 }
 
 
