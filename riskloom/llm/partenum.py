@@ -10,7 +10,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -21,6 +21,8 @@ LEAST_ELEMENTS = 5
 BROADCAST_ROWS = 1_000_000
 LEVELS = 3
 SEEN = 500_000
+HOT_SHARE, HOT_ROWS, HOT_TEXTS, SALTS = 0.001, 32, 16, 256
+SIGNED = "signature long, salt int, fp long"
 U = np.uint64
 
 
@@ -157,7 +159,9 @@ def _sizes(words: int):
     return run
 
 
-def _signatures(words: int, num: int, den: int):
+def _signatures(words: int, num: int, den: int, hot: np.ndarray):
+    """Signatures of each set; those of ``hot`` (sorted) are dealt over salts by the set."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scheme, seen = Scheme(num, den), set()
         for b in batches:
@@ -175,7 +179,9 @@ def _signatures(words: int, num: int, den: int):
                         found.append(scheme.signatures(grams))
                 if found:
                     fps = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
-                    yield pd.DataFrame({"signature": np.concatenate(found), "fp": fps})
+                    signature = np.concatenate(found)
+                    salt = np.where(np.isin(signature, hot), fps % SALTS, 0).astype(np.int32)
+                    yield pd.DataFrame({"signature": signature, "salt": salt, "fp": fps})
 
     return run
 
@@ -208,24 +214,52 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def hot_signatures(docs: DataFrame, words: int, num: int, den: int) -> np.ndarray:
+    """Signatures with at least a thousandth of the rows, so at most 1000; counted over one in ``HOT_TEXTS`` texts.
+
+    They only say what is salted, no result depends on them.
+    """
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(HOT_TEXTS)) == 0)
+    rows = some.mapInPandas(_signatures(words, num, den, np.empty(0, np.int64)), SIGNED)
+    counts = stage(rows.groupBy("signature").count().where(F.col("count") > 1), "signature-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    bar = max(total * HOT_SHARE, HOT_ROWS)
+    hot = np.array(sorted(r[0] for r in counts.where(F.col("count") >= bar).select("signature").collect()), np.int64)
+    release(docs.sparkSession, counts)
+    return hot
+
+
 def buckets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``bucket``, ``fp``, ``level``: the sets that share a signature, if more than one does.
 
-    Signatures shared by the same sets are one bucket, named by a sum over its members. ``level``
+    Signatures shared by the same sets are one bucket, named by the exclusive or of its members' hashes.
+    A set that several tasks have seen counts once. Rows of a signature that very many sets have are
+    dealt over salted parts, whose ends and names are put together afterwards. ``level``
     is a hash of the set with half as many sets on each level as on the one below.
     """
-    rows = docs.select("text").mapInPandas(_signatures(words, num, den), "signature long, fp long")
-    rows.createOrReplaceTempView("_signatures")
-    shared = docs.sparkSession.sql(
-        """SELECT bucket, fp FROM (
-               SELECT fp, sum(xxhash64(fp) % 1000000007 * 4000037) OVER w AS bucket, min(fp) OVER w AS low, max(fp) OVER w AS high
-               FROM _signatures WINDOW w AS (PARTITION BY signature)
-           ) WHERE low < high GROUP BY bucket, fp"""
+    hot = hot_signatures(docs, words, num, den)
+    rows = docs.select("text").mapInPandas(_signatures(words, num, den, hot), SIGNED)
+    # dealt once: equal rows of several tasks and the parts of a signature meet in one place
+    once = rows.repartition("signature", "salt").distinct()
+    part = Window.partitionBy("signature", "salt")
+    name = F.bit_xor(F.xxhash64("fp"))
+    named = once.select(
+        "signature", "fp", name.over(part).alias("bucket"), F.min("fp").over(part).alias("low"), F.max("fp").over(part).alias("high")
     )
-    shared = stage(shared, "buckets")
-    docs.sparkSession.catalog.dropTempView("_signatures")
+    if not len(hot):
+        shared = named.where("low < high")
+    else:
+        keys = docs.sparkSession.createDataFrame(pd.DataFrame({"signature": hot, "hot": True}), "signature long, hot boolean")
+        named = named.join(F.broadcast(keys), "signature", "left_outer")
+        named = stage(named.where("hot OR low < high"), "members")
+        whole = named.where("hot").groupBy("signature").agg(name.alias("bucket"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+        salted = named.where("hot").select("signature", "fp").join(F.broadcast(whole.where("low < high")), "signature")
+        shared = named.where("hot IS NULL").select("bucket", "fp").union(salted.select("bucket", "fp"))
+    out = stage(shared.select("bucket", "fp").distinct(), "buckets")
+    if len(hot):
+        release(docs.sparkSession, named)
     level = F.lit(63) - F.floor(F.log2(F.greatest(F.shiftrightunsigned(F.xxhash64("fp"), 1).cast("double"), F.lit(1.0))))
-    return shared.withColumn("level", level.cast("int"))
+    return out.withColumn("level", level.cast("int"))
 
 
 def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -237,6 +238,34 @@ def test_components(spark):
     assert {r["node"]: r["label"] for r in got} == want and len(got) == len(want)
 
 
+def test_sets_repeated_in_many_tasks(spark, monkeypatch):
+    fps = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 1000)
+
+    def signatures(words, num, den, hot=None):
+        def run(batches):
+            for _ in batches:
+                salt = {} if hot is None else {"salt": np.zeros(2000, np.int32)}
+                yield pd.DataFrame({"signature": np.repeat([7, 8], 1000), "fp": np.r_[fps, fps]} | salt)
+
+        return run
+
+    monkeypatch.setattr(partenum, "_signatures", signatures)
+    docs = spark.range(0, 240, 1, 240).select(F.col("id").cast("string").alias("text"))
+    got = partenum.buckets(docs, 5, 80, 100).select("bucket", "fp").collect()
+    assert len(got) == 1000 and len({r["bucket"] for r in got}) == 1
+
+
+def test_hot_signatures(spark, monkeypatch):
+    docs = frame(spark, [(i, " ".join(f"w{j}" for j in range(12)) + f" v{i % 90}") for i in range(180)]).repartition(6)
+    found = []
+    for rows in (1, 10**9):
+        monkeypatch.setattr(partenum, "HOT_ROWS", rows)
+        monkeypatch.setattr(partenum, "HOT_TEXTS", 1)
+        assert (len(partenum.hot_signatures(docs, 5, 80, 100)) > 0) == (rows == 1)
+        found.append(sorted(tuple(r) for r in partenum.buckets(docs, 5, 80, 100).select("bucket", "fp").collect()))
+    assert found[0] == found[1] and len({fp for _, fp in found[0]}) == 90
+
+
 # --- language model ---
 
 
