@@ -51,13 +51,17 @@ def open_explorer(
     accounts_path: str,
     customers_path: str,
     report_path: str,
+    multiline: bool = False,
 ) -> ExplorerView:
-    """Everything a viewer needs; any input may be missing or broken."""
+    """Everything a viewer needs; any input may be missing or broken.
+
+    ``multiline`` says that quoted fields of the three tables may hold line breaks.
+    """
     marked, message = read_jsonl_tolerant(spark, verdict_path)
     tables = [
-        read_lookup(spark, transactions_path, "transaction_id"),
-        read_lookup(spark, accounts_path, "account_id"),
-        read_lookup(spark, customers_path, "customer_id"),
+        read_lookup(spark, transactions_path, "transaction_id", multiline),
+        read_lookup(spark, accounts_path, "account_id", multiline),
+        read_lookup(spark, customers_path, "customer_id", multiline),
     ]
     there = [table is not None and not table.isEmpty() for table in tables]
     rows = explorer_rows(marked, *tables)

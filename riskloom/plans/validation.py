@@ -25,12 +25,15 @@ def validate_lines(
 
 
 def validate_file(
-    spark: SparkSession, verdict_path: str, transactions_path: str
+    spark: SparkSession, verdict_path: str, transactions_path: str, multiline: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(summary, failures) of a verdict file; an unreadable input table is a failure itself."""
+    """(summary, failures) of a verdict file; an unreadable input table is a failure itself.
+
+    ``multiline`` says that quoted fields of the input table may hold line breaks.
+    """
     lines = read_jsonl_numbered(spark, verdict_path)
     try:
-        inputs = read_table(spark, transactions_path)
+        inputs = read_table(spark, transactions_path, multiline=multiline)
         inputs = inputs.select("transaction_id")
     except AnalysisException:
         inputs = None

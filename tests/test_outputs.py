@@ -153,6 +153,27 @@ def test_explorer(spark, tmp_path):
     assert tuple(empty.metrics.first()) == (0, 0, 0, 0.0, 0.0, 0, False, False, False)
 
 
+def test_jobs_read_quoted_line_breaks(spark, tmp_path):
+    files = {
+        "v.jsonl": "\n".join(
+            f'{{"transaction_id": "{i}", "is_fraud": false, "confidence": 0.5, "justification": "k"}}' for i in ("t1", "t2")
+        ),
+        "t.csv": 'transaction_id,merchant_name,account_id\nt1,"two\nlines",a1\nt2,x,a1\n',
+        "a.csv": 'account_id,note,customer_id\na1,"two\nlines",c1\n',
+        "c.csv": 'customer_id,note,city\nc1,"two\nlines",X\n',
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    at = lambda name: str(tmp_path / name)
+    summary, failures = validation.validate_file(spark, at("v.jsonl"), at("t.csv"), multiline=True)
+    assert summary.first()["passed"] and failures.count() == 0
+    view = explorer_plan.open_explorer(spark, at("v.jsonl"), at("t.csv"), at("a.csv"), at("c.csv"), at("q.json"), multiline=True)
+    got = {r["transaction_id"]: (r["merchant_name"], r["customer_id"], r["cust_city"]) for r in view.rows.collect()}
+    assert got == {"t1": ("two\nlines", "c1", "X"), "t2": ("x", "c1", "X")}
+    torn, _ = validation.validate_file(spark, at("v.jsonl"), at("t.csv"))
+    assert not torn.first()["passed"]
+
+
 def test_leading_numbers(column):
     cases = {"12abc": 12.0, "1,234": 1.0, " 5": 5.0, "": 0.0, "x": 0.0, "-3.5e2y": -350.0, ".5": 0.5, None: 0.0}
     assert column(list(cases), explore.leading_number(F.col("s"))) == list(cases.values())
