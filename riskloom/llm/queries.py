@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, mixing, partenum, pitman_yor, quality, sharding, topk, toxicity, warc
+from riskloom.llm import (
+    ann, bpe, mixing, negatives, partenum, pitman_yor, quality, sharding, topk, toxicity, warc, whitening,
+)
 from riskloom.llm.labelled import held_out
 from riskloom.llm.sql import ORACLES as ORACLES
 
@@ -75,10 +77,22 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    table = _read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    rows = negatives.labelled_vectors(table, "vec_id", "embedding", "label", 256)
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_top_k, op2_warc, op3_source_mixing, op4_sharding, op5_nearest_neighbours, op6_toxicity,
         op7_byte_bpe, op8_quality, op9_ngram_jaccard, op10_pitman_yor,
+        op11_hard_negatives, op12_whitening,
     )
 }

@@ -132,10 +132,35 @@ SELECT doc_id, size, shard, 'bytes' AS law, CAST(NULL AS INTEGER) AS grown_shard
 FROM placed JOIN places USING (virtual_slot)
 """
 
+_NEGATIVES = """
+WITH usable AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+scored AS (
+    SELECT a.id AS anchor_id, c.id AS id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+    FROM usable a JOIN usable c ON a.id % 100 = 0 AND c.id <> a.id AND len(a.v) = len(c.v)
+),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, id AS negative_id, positive_score,
+    score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER best <= 10
+"""
+
 ORACLES = {
     "op2_warc": _WARC,
     "op1_exact_top_k": _TOP_K,
     "op3_source_mixing": _MIXING,
     "op4_sharding": _SHARDING,
     "op5_nearest_neighbours": _NEAREST,
+    "op11_hard_negatives": _NEGATIVES,
 }
