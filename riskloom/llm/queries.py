@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
-    ann, bpe, mixing, negatives, partenum, pitman_yor, quality, sharding, topk, toxicity, warc, whitening,
+    ann, bpe, mixing, negatives, partenum, pii, pitman_yor, quality, sharding, topk, toxicity, warc, whitening,
 )
 from riskloom.llm.labelled import held_out
 from riskloom.llm.sql import ORACLES as ORACLES
@@ -88,11 +88,16 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_top_k, op2_warc, op3_source_mixing, op4_sharding, op5_nearest_neighbours, op6_toxicity,
         op7_byte_bpe, op8_quality, op9_ngram_jaccard, op10_pitman_yor,
-        op11_hard_negatives, op12_whitening,
+        op11_hard_negatives, op12_whitening, op13_private_data,
     )
 }
