@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom import fixed
 from riskloom.operators.features import FEATURE_COLUMNS
+from riskloom.sources.staging import new_path
 
 # expected candidates per tree, as a multiple of the sample size
 MARGIN = 1.5
 _HASH_SPAN = float(2**64)
+VECTOR = "__features"
+# how the library stores a node
+NODE = (
+    "struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: bigint, gain: double, "
+    "leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>"
+)
 
 
 def path_length(rows) -> np.ndarray:
@@ -103,26 +112,68 @@ class Forest:
     sample: int
 
     def score(self, points: np.ndarray) -> np.ndarray:
-        trees = (self.features, self.thresholds, self.depths)
-        return _score(trees, float(path_length(self.sample)), points)
-
-
-def _score(trees: tuple, expected: float, points: np.ndarray) -> np.ndarray:
-    """2 ** (-mean path / expected path) per row: higher is more anomalous."""
-    rows, width = points.shape
-    flat = np.ascontiguousarray(points).ravel()
-    start = np.arange(rows, dtype=np.int64) * width
-    total = np.zeros(rows)
-    inner = trees[0].shape[1]
-    levels = (inner + 1).bit_length() - 1
-    for feature, threshold, depth in zip(*trees):
-        node = np.zeros(rows, dtype=np.int64)
-        for _ in range(levels):
-            right = flat[start + feature[node]] > threshold[node]
-            node = 2 * node + 1 + right
-        total += depth[node - inner]
-    ratio = total / (len(trees[0]) * expected) if expected else np.ones(rows)
-    return np.power(2.0, -ratio)
+        """2 ** (-mean path / expected path) per row: higher is more anomalous."""
+        total = np.zeros(len(points))
+        inner = self.features.shape[1]
+        for feature, threshold, depth in zip(self.features, self.thresholds, self.depths):
+            node = np.zeros(len(points), dtype=np.int64)
+            while node.min(initial=inner) < inner:
+                right = points[np.arange(len(points)), feature[node]] > threshold[node]
+                node = 2 * node + 1 + right
+            total += depth[node - inner]
+        expected = float(path_length(self.sample))
+        ratio = total / len(self.features) / expected if expected else np.ones(len(points))
+        return np.power(2.0, -ratio)
+
+    def nodes(self) -> list[tuple[int, int, float, int, int, int, float | None]]:
+        """Rows (tree, id, path length, left, right, feature, threshold); leaves have no children.
+
+        Ids count the nodes of a tree from its root downwards, left before right.
+        """
+        rows = []
+        inner = self.features.shape[1]
+        for tree, (feature, threshold, depth) in enumerate(zip(self.features, self.thresholds, self.depths)):
+            start = len(rows)
+            pending = [(0, None)]
+            while pending:
+                node, parent = pending.pop()
+                place = len(rows) - start
+                if parent is not None:  # right children come after all that is below the left
+                    rows[parent][4] = place
+                if node < inner and np.isfinite(threshold[node]):
+                    rows.append([tree, place, 0.0, place + 1, -1, int(feature[node]), float(threshold[node])])
+                    pending += [(2 * node + 2, start + place), (2 * node + 1, None)]
+                    continue
+                while node < inner:
+                    node = 2 * node + 1
+                rows.append([tree, place, float(depth[node - inner]), -1, -1, -1, None])
+        return [tuple(row) for row in rows]
+
+
+def tree_model(spark: SparkSession, forest: Forest) -> RandomForestRegressionModel:
+    """The forest as a model of Spark's own library, whose prediction is the mean path length.
+
+    It is written in the library's storage format and loaded, so rows are scored by its compiled
+    trees, which go right where a value exceeds the threshold, as these do.
+    """
+    path = new_path(spark, "forest")
+    about = lambda kind, uid, params, **more: json.dumps(
+        {
+            "class": f"org.apache.spark.ml.regression.{kind}RegressionModel", "timestamp": 0,
+            "sparkVersion": spark.version, "uid": uid, "paramMap": {"featuresCol": VECTOR, "impurity": "variance", **params}, "defaultParamMap": {}, **more,
+        }
+    )
+    trees, width = len(forest.features), len(FEATURE_COLUMNS)
+    whole = about("RandomForest", "isolation", {"numTrees": trees}, numFeatures=width, numTrees=trees)
+    spark.createDataFrame([(whole,)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    parts = [(t, about("DecisionTree", f"isolation-{t}", {}), 1.0) for t in range(trees)]
+    spark.createDataFrame(parts, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
+    rows = [
+        (tree, (at, length, 0.0, [1.0, length, length * length], 1, 0.0, left, right, (feature, [] if cut is None else [cut], -1)))
+        for tree, at, length, left, right, feature, cut in forest.nodes()
+    ]
+    spark.createDataFrame(rows, f"treeID int, nodeData {NODE}").coalesce(1).write.parquet(f"{path}/data")
+    return RandomForestRegressionModel.load(path)
 
 
 def fit_forest(
@@ -177,20 +228,12 @@ def fit_forest(
 
 
 def score_forest(df: DataFrame, forest: Forest, column: str = "anom_raw") -> DataFrame:
-    """Add the raw anomaly score of standardized features.
-
-    Only the nine features travel to Python; the other columns stay where they are.
-    """
-    trees = (forest.features, forest.thresholds, forest.depths)
-    shared = df.sparkSession.sparkContext.broadcast(trees)
+    """Add the raw anomaly score of standardized features; rows do not leave the JVM."""
+    model = tree_model(df.sparkSession, forest).setPredictionCol("__path")
+    held = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol=VECTOR).transform(df)
     expected = float(path_length(forest.sample))
-
-    @F.pandas_udf(T.DoubleType())
-    def raw_score(*series: pd.Series) -> pd.Series:
-        points = np.column_stack([s.to_numpy(dtype=np.float64) for s in series])
-        return pd.Series(_score(shared.value, expected, points))
-
-    return df.withColumn(column, raw_score(*[F.col(name) for name in FEATURE_COLUMNS]))
+    ratio = F.col("__path") / F.lit(expected) if expected else F.lit(1.0)
+    return model.transform(held).withColumn(column, F.pow(F.lit(2.0), -ratio)).drop(VECTOR, "__path")
 
 
 def score_range(df: DataFrame, column: str = "anom_raw") -> tuple[float, float]:

@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.rowhash import row_hashes
+
 
 def drop_exact(df: DataFrame) -> DataFrame:
     """One of each set of identical rows; copies collapse before the shuffle."""
@@ -47,9 +49,10 @@ def keep_last(df: DataFrame, key: str, order_by: list[str] | None = None) -> Dat
 def duplicate_counts(df: DataFrame, key: str) -> DataFrame:
     """One row: all rows, what dedupe drops, and distinct keys with and without null.
 
-    Two levels of grouping, each summed up before its shuffle.
+    Two levels of grouping, each summed up before its shuffle; rows travel as their key and two hashes.
     """
-    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
+    first, second = row_hashes(df)
+    rows = df.groupBy(key, first.alias("__a"), second.alias("__b")).agg(F.count(F.lit(1)).alias("copies"))
     keys = rows.groupBy(key).agg(
         F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("variants")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom import fixed
 from riskloom.operators.clean import select_present
 from riskloom.operators.dedupe import keep_first
+from riskloom.operators.observed import Watch, unwatched
 from riskloom.sources.staging import stage
 
 # a key is heavy if it holds at least this share of the rows, so there are at most 1000
@@ -117,6 +118,7 @@ def link(
     customer_order: list[str] | None = None,
     balance: bool = False,
     sized_by: DataFrame | None = None,
+    watch: Watch = unwatched,
 ) -> DataFrame:
     """Transactions with account and customer columns, one row each as before.
 
@@ -126,11 +128,14 @@ def link(
     rows from multiplying.  Spark chooses the join by measured size and splits skewed
     partitions; ``balance`` spreads heavy keys beforehand, at the cost of counting them.
     ``sized_by`` is the table to count keys in (the raw transactions, say, so that nothing
-    upstream runs twice).
+    upstream runs twice).  ``watch`` sees rows and keys of the dimensions and rows on both sides
+    of the joins (points accounts_raw, accounts, customers_raw, customers, unlinked, linked).
     """
-    account_side = select_present(
-        keep_first(accounts, "account_id", account_order), fixed.ACCOUNT_COLUMNS
-    )
+    rows = F.count(F.lit(1)).alias("rows")
+    transactions = watch("unlinked", transactions, rows)
+    accounts = keep_first(watch("accounts_raw", accounts, rows), "account_id", account_order)
+    accounts = watch("accounts", accounts, F.count("account_id").alias("keys"))
+    account_side = select_present(accounts, fixed.ACCOUNT_COLUMNS)
     renames = _suffixed(account_side, transactions.columns, "account_id", "_acct")
     renames.setdefault("customer_id", "customer_id_acct")
     account_side = account_side.withColumnsRenamed(renames)
@@ -145,19 +150,17 @@ def link(
         "customer_id_final", effective_customer(F.col("customer_id_acct"), own.cast("string"))
     ).withColumn("orphan_account", F.col("customer_id_acct").isNull())
 
+    customers = keep_first(watch("customers_raw", customers, rows), "customer_id", customer_order)
+    customers = watch("customers", customers, F.count("customer_id").alias("keys"))
     customer_side = select_present(
-        keep_first(customers, "customer_id", customer_order),
-        fixed.CUSTOMER_COLUMNS,
-        {"customer_id": "customer_id_final"},
+        customers, fixed.CUSTOMER_COLUMNS, {"customer_id": "customer_id_final"}
     )
     customer_side = customer_side.withColumnsRenamed(
         _suffixed(customer_side, joined.columns, "customer_id_final", "_cust")
     ).withColumn("__known", F.lit(True))
-    return (
-        lookup(joined, customer_side, "customer_id_final", heavy_customers, "transaction_id")
-        .withColumn("orphan_customer", F.col("__known").isNull())
-        .drop("__known")
-    )
+    joined = lookup(joined, customer_side, "customer_id_final", heavy_customers, "transaction_id")
+    linked = joined.withColumn("orphan_customer", F.col("__known").isNull()).drop("__known")
+    return watch("linked", linked, rows)
 
 
 def orphan_counts(linked: DataFrame) -> DataFrame:
@@ -170,8 +173,20 @@ def orphan_counts(linked: DataFrame) -> DataFrame:
 
 
 def assert_same_rows(before: DataFrame, after: DataFrame) -> int:
-    """Fail if a step changed the number of rows; returns the number."""
-    expected, got = before.count(), after.count()
+    """Fail if a step changed the number of rows; returns the number.
+
+    For frames that are at hand.  A job that writes the linked rows can check them without counting
+    anything again: see ``assert_watched``.
+    """
+    return _same_number(before.count(), after.count())
+
+
+def assert_watched(values: dict[str, dict]) -> int:
+    """Fail if linking changed the number of rows, by what was observed at its points."""
+    return _same_number(values["unlinked"]["rows"], values["linked"]["rows"])
+
+
+def _same_number(expected: int, got: int) -> int:
     if expected != got:
         raise AssertionError(f"row count went from {expected} to {got}")
     return got

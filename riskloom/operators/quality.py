@@ -78,14 +78,19 @@ def invalid_counts(cleaned: DataFrame) -> DataFrame:
     return cleaned.agg(*_invalid())
 
 
-def linked_counts(linked: DataFrame) -> DataFrame:
-    """One row of all counts over linked rows: invalid values, orphans and rows."""
-    return linked.agg(
+def linked_expressions() -> list[Column]:
+    """All counts over linked rows: invalid values, orphans and rows."""
+    return [
         *_invalid(),
         F.count_if("orphan_account").alias("txn_account_id_not_in_accounts"),
         F.count_if("orphan_customer").alias("txn_customer_id_not_in_customers"),
         F.count(F.lit(1)).alias("transactions_final"),
-    )
+    ]
+
+
+def linked_counts(linked: DataFrame) -> DataFrame:
+    """One row of all counts over linked rows."""
+    return linked.agg(*linked_expressions())
 
 
 def _missing(fields: list[str]) -> list[Column]:
@@ -111,12 +116,17 @@ def missing_by_field(raw: DataFrame, fields: list[str] | None = None) -> DataFra
     return counts.select(F.inline(F.array(*entries))).where(F.col("missing") > 0)
 
 
+def raw_text_expressions(columns: list[str]) -> list[Column]:
+    """Counts over raw rows with a flag for hostile merchants: those, and missing values by field."""
+    fields = [name for name in fixed.REPORTED_FIELDS if name in columns]
+    return [F.count_if("__flagged").alias("merchant_strings_flagged"), *_missing(fields)]
+
+
 def raw_text_counts(raw: DataFrame) -> DataFrame:
     """Metric rows of one pass over raw rows: missing values, and merchants that look hostile."""
-    fields = [name for name in fixed.REPORTED_FIELDS if name in raw.columns]
     safe = sanitize(raw, "merchant_name", "__safe", "__flagged")
-    hostile = F.count_if("__flagged").alias("merchant_strings_flagged")
-    counts = safe.agg(hostile, *_missing(fields))
+    counts = safe.agg(*raw_text_expressions(raw.columns))
+    fields = [name for name in counts.columns if name != "merchant_strings_flagged"]
     rows = metric_rows(
         counts,
         {"prompt_injection": ["merchant_strings_flagged"], "missing_values_by_field": fields},

@@ -28,6 +28,7 @@ from riskloom.operators.features import (
     scales,
 )
 from riskloom.operators.link import link
+from riskloom.operators.observed import Watch, unwatched
 from riskloom.operators.rules import apply_rules
 from riskloom.operators.verdict import decide, verdicts
 from riskloom.sources.staging import stage
@@ -59,14 +60,18 @@ def prepare(
     as_of: str = fixed.AS_OF,
     formats: list[TimestampFormat] | None = None,
     balance: bool = False,
+    watch: Watch = unwatched,
 ) -> DataFrame:
     """Raw tables to one cleaned, linked row per transaction (lazy).
 
     ``order_by`` names the columns, common to the three tables, that say which row of a key
-    is first.
+    is first.  ``watch`` sees the points of ``link`` and those named raw and kept: the
+    transactions before and after deduplication.
     """
     raw = normalize_na(transactions)
-    cleaned = clean_transactions(deduplicated(transactions, order_by), as_of, formats)
+    first = keep_first(watch("raw", raw), KEY, order_by)
+    kept = watch("kept", first, F.count(KEY).alias("keys"))
+    cleaned = clean_transactions(kept, as_of, formats)
     return link(
         cleaned,
         normalize_na(accounts),
@@ -75,6 +80,7 @@ def prepare(
         customer_order=order_by,
         balance=balance,
         sized_by=raw,
+        watch=watch,
     )
 
 
@@ -142,6 +148,23 @@ def transform(linked: DataFrame, model: ScoringModel) -> DataFrame:
     return finish(raw_scores(linked, model), model)
 
 
+def score_linked(
+    linked: DataFrame, keep: list[str] | None = None, **forest_options
+) -> tuple[DataFrame, ScoringModel]:
+    """Fit on a linked frame and score it; returns scored rows and the model.
+
+    Raw scores are staged, so the trees run over the rows once, although the last step needs
+    the range of all scores.  ``keep`` names the columns wanted beside the scores.
+    """
+    model = fit_trees(linked, **forest_options)
+    raw = raw_scores(linked, model)
+    if keep is not None:
+        raw = raw.select(*keep, "rule_score", "reasons", "anom_raw")
+    raw = stage(raw, "raw")
+    model = with_range(model, raw)
+    return finish(raw, model), model
+
+
 def score(
     transactions: DataFrame,
     accounts: DataFrame,
@@ -159,14 +182,7 @@ def score(
     if keep is not None:
         wanted = set(SCORING_COLUMNS) | set(keep)
         linked = linked.select(*[name for name in linked.columns if name in wanted])
-    linked = stage(linked, "linked")
-    model = fit_trees(linked)
-    raw = raw_scores(linked, model)
-    if keep is not None:
-        raw = raw.select(*keep, "rule_score", "reasons", "anom_raw")
-    raw = stage(raw, "raw")
-    model = with_range(model, raw)
-    return finish(raw, model), model
+    return score_linked(stage(linked, "linked"), keep)
 
 
 def score_verdicts(
