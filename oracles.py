@@ -742,7 +742,39 @@ def _registry() -> str:
 
 ORACLES["sanitize_registry"] = _registry()
 
+# a third of the lines name one transaction
+_PLAIN_LINES = LINES.split(", l1 AS")[0]
+
+
+def _hot_lines(statement: str) -> str:
+    hot = _PLAIN_LINES.replace("lines AS", "given_lines AS", 1) + (
+        ", lines AS (SELECT line, CASE WHEN line % 3 = 1 THEN "
+        "regexp_replace(value, 'TXN_[0-9]{10}', 'TXN_0000000030', 'g') ELSE value END AS value FROM given_lines)"
+    )
+    assert _PLAIN_LINES in statement
+    return statement.replace(_PLAIN_LINES, hot)
+
+
 ORACLES |= {
+    "explorer_sorted": f"WITH {EXPLORER} " + " UNION ALL ".join(
+        f"SELECT '{name}' AS view, row_number() OVER (ORDER BY {order}, transaction_id) AS place, transaction_id FROM explorer"
+        for name, order in [
+            ("confidence", "coalesce(confidence, -1) DESC"), ("account_type", "account_type"),
+            ("transaction_id", "transaction_id DESC"), ("merchant_city", "merchant_city DESC"),
+        ]
+    ),
+    "explorer_stretch": (
+        f"WITH {EXPLORER} SELECT * FROM (SELECT row_number() OVER (ORDER BY coalesce(confidence, -1) DESC, transaction_id) AS place, "
+        "transaction_id, confidence, is_fraud FROM explorer) WHERE place BETWEEN 101 AND 150"
+    ),
+    "anomaly_outliers": (
+        f"WITH {LINKED}, far AS (SELECT count(*) AS n FROM linked WHERE CAST(substr(transaction_id, 5) AS BIGINT) % 997 = 5) "
+        "SELECT n AS planted, n AS above FROM far"
+    ),
+    "approximate_medians": (
+        "SELECT name AS \"column\", (SELECT count(*) FROM lineitem) AS rows, true AS within FROM "
+        "(VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) AS v(name)"
+    ),
     "dashboard_metrics_written": ORACLES["dashboard_metrics"],
     "numbered_lines": (
         f"WITH {LINES.split(', l1 AS')[0]} SELECT line, trim(value) AS value FROM "
@@ -754,7 +786,7 @@ ORACLES |= {
         "(PARTITION BY account_id ORDER BY account_type DESC NULLS LAST) AS rn FROM acc_raw) WHERE rn = 1"
     ),
     "report_written": f"SELECT * EXCLUDE (fraud_rate, missing) FROM ({ORACLES['quality_report']})",
-    "explorer_balanced": f"WITH {_hot(EXPLORER)} SELECT * FROM explorer",
+    "explorer_balanced": f"WITH {_hot_lines(_hot(EXPLORER))} SELECT * FROM explorer",
     "splits_written": ORACLES["split_sizes"],
     "explorer_written": ORACLES["explorer"],
     "absent_columns": (

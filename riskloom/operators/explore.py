@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import fixed
 from riskloom.functions.coerce import ASCII_NUMBER, strip_text, to_number
 from riskloom.functions.numfmt import double_text
 from riskloom.operators.link import lookup
+from riskloom.sources.staging import new_path, stage
 
 
 def shown_value(document: Column, name: str, absent: str = "") -> Column:
@@ -82,7 +83,7 @@ def _dimension(table: DataFrame | None, key: str, fields: dict[str, str]) -> Dat
 
 def _attach(
     rows: DataFrame, side: DataFrame | None, key: str, fields: list[str],
-    heavy: list | None, salt_by: str | None,
+    heavy: list | None, salt_by: str | Column | None,
 ) -> DataFrame:
     if side is None:
         return rows.withColumns({name: F.lit("") for name in fields})
@@ -97,20 +98,24 @@ def explorer(
     customers: DataFrame | None,
     heavy_accounts: list | None = None,
     heavy_customers: list | None = None,
+    heavy_ids: list | None = None,
 ) -> DataFrame:
     """Thirty-one fields per verdict; what is not found is an empty text.
 
     The lookup tables need unique keys (``keep_last``).  The account's customer is preferred,
-    an empty one gives way to that of the transaction.
+    an empty one gives way to that of the transaction.  Rows of heavy keys are spread by their
+    number within their task, as verdicts that repeat an id may be equal in everything else.
     """
-    salt_by = "transaction_id"
+    salt_by = "__row"
+    if heavy_ids is not None or heavy_accounts is not None or heavy_customers is not None:
+        verdicts = verdicts.withColumn(salt_by, F.monotonically_increasing_id())
     transaction_fields = {
         **fixed.EXPLORER_TRANSACTION, "account_id": "account_id", "__own": "customer_id",
     }
     account_fields = {**fixed.EXPLORER_ACCOUNT, "__owner": "customer_id"}
     rows = _attach(
         verdicts, _dimension(transactions, "transaction_id", transaction_fields),
-        "transaction_id", list(transaction_fields), None, None,
+        "transaction_id", list(transaction_fields), heavy_ids, salt_by,
     )
     rows = _attach(
         rows, _dimension(accounts, "account_id", account_fields),
@@ -191,6 +196,17 @@ def default_descending(column: str) -> bool:
     return column not in ("transaction_id", "merchant_name")
 
 
+def sort_key(rows: DataFrame, column: str) -> Column:
+    """What a view sorts by: a missing confidence as -1, amounts by their number, text by language rules."""
+    if column == "confidence":
+        return F.coalesce(F.col(column), F.lit(-1.0))
+    if column == "amount":
+        return leading_number(F.col(column))
+    if rows.schema[column].dataType.simpleString() == "string":
+        return F.collate(F.col(column), "UNICODE")
+    return F.col(column)
+
+
 def sort_rows(
     rows: DataFrame, column: str = "confidence", descending: bool | None = None
 ) -> DataFrame:
@@ -200,17 +216,82 @@ def sort_rows(
     """
     if descending is None:
         descending = default_descending(column)
-    if column == "confidence":
-        key = F.coalesce(F.col(column), F.lit(-1.0))
-    elif column == "amount":
-        key = leading_number(F.col(column))
-    elif rows.schema[column].dataType.simpleString() == "string":
-        key = F.collate(F.col(column), "UNICODE")
-    else:
-        key = F.col(column)
+    key = sort_key(rows, column)
     return rows.orderBy(key.desc() if descending else key.asc(), F.asc("transaction_id"))
 
 
 def detail(rows: DataFrame, transaction_id: str) -> DataFrame:
     """The one row of a transaction."""
     return rows.where(F.col("transaction_id") == transaction_id)
+
+
+def write_clustered(rows: DataFrame, path: str, group_bytes: int | None = None) -> None:
+    """The view as a table in which single transactions are found quickly.
+
+    Rows are sorted into ranges of the id, so a file's and a row group's least and greatest id
+    rule most of them out; a bloom filter of the ids in each row group rules out nearly all others.
+    ``group_bytes`` sets the size of a row group.
+    """
+    writer = rows.repartitionByRange("transaction_id").sortWithinPartitions("transaction_id").write
+    writer = writer.option("parquet.bloom.filter.enabled#transaction_id", "true")
+    if group_bytes is not None:
+        writer = writer.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
+
+
+def read_detail(spark: SparkSession, path: str, transaction_id: str) -> DataFrame:
+    """One transaction from the clustered table; the id is compared in the scan."""
+    return detail(spark.read.parquet(path), transaction_id)
+
+
+class SortedView:
+    """Rows in the order of a view, written once, so that any stretch is read without sorting again.
+
+    The rows lie in ranges of the sort key, each sorted; how many rows come before each range
+    gives every row its place (from 1).
+    """
+
+    def __init__(self, rows: DataFrame, before: DataFrame):
+        self.rows, self.before = rows, before
+
+    def placed(self) -> DataFrame:
+        """All rows with their ``place``; one small row per range is sent to the tasks."""
+        joined = self.rows.join(F.broadcast(self.before), "__range")
+        place = (F.col("__before") + F.col("__within") + 1).alias("place")
+        return joined.select(*[c for c in self.rows.columns if not c.startswith("__")], place)
+
+    def stretch(self, first: int, rows: int) -> DataFrame:
+        """The rows at places ``first`` and on; files of other ranges are not opened."""
+        end = first + rows - 1
+        met = self.before.where((F.col("__before") < end) & (F.col("__before") + F.col("__rows") >= first))
+        ranges = [r[0] for r in met.select("__range").collect()]
+        part = SortedView(self.rows.where(F.col("__range").isin(ranges)), self.before).placed()
+        return part.where(F.col("place").between(first, end)).orderBy("place")
+
+
+def sorted_view(
+    rows: DataFrame, column: str = "confidence", descending: bool | None = None, ranges: int | None = None
+) -> SortedView:
+    """The rows in the order of ``sort_rows``, dealt over ranges (as many as shuffle partitions).
+
+    Ranges are cut at sampled keys; places do not depend on the cuts.  The table of ranges has one
+    row each, summed up in one small window.
+    """
+    if descending is None:
+        descending = default_descending(column)
+    key = sort_key(rows, column)
+    order = [key.desc() if descending else key.asc(), F.asc("transaction_id")]
+    spark = rows.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    placed = dealt.select(
+        "*", F.shiftright(number, 33).cast("int").alias("__range"), number.bitwiseAND(F.lit(2**33 - 1)).alias("__within")
+    )
+    path = new_path(spark, "sorted-view")
+    placed.write.partitionBy("__range").parquet(path)
+    kept = spark.read.schema(placed.schema).parquet(path)
+    sizes = kept.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    return SortedView(kept, stage(before, "view-ranges"))

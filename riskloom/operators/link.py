@@ -2,61 +2,70 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import fixed
+from riskloom.functions.sketches import frequent
 from riskloom.operators.clean import select_present
 from riskloom.operators.dedupe import keep_first
 from riskloom.operators.observed import Watch, unwatched
-from riskloom.sources.staging import stage
 
-# a key is heavy if it holds at least this share of the rows, so there are at most 1000
+# a key is heavy if it holds at least this share of the rows, so there are at most about 1000
 HEAVY_SHARE = 0.001
-SALTS = 256
+# parts that a key with all rows would be spread over; a heavy key gets its share of them
+SALTS = 1024
+
 
+class HeavyKeys(list):
+    """Keys in order; ``shares`` says what part of the rows each holds."""
 
-def _heavy(counts: DataFrame, key: str, share: float) -> list:
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    bar = max(total * share, 1)
-    keys = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("rows").alias("rows"))
-    return sorted(row[0] for row in keys.where(F.col("rows") >= bar).select(key).collect())
+    def __init__(self, shares: dict):
+        super().__init__(sorted(shares))
+        self.shares = dict(shares)
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
-    """Keys that hold at least ``share`` of the rows.
+def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> HeavyKeys:
+    """Keys that hold at least ``share`` of the rows, with their shares.
 
-    Counted with map-side sums over the one column; at most ``1 / share`` values reach the
-    driver whatever the size of the table.
+    They come from a sketch, one pass over the one column; nothing is grouped by key, and at
+    most about ``1 / share`` values reach the driver whatever the size of the table.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return _heavy(stage(counts, "key-counts"), key, share)
+    return HeavyKeys(frequent(df, key, share))
 
 
 def heavy_links(
     transactions: DataFrame,
     account_side: DataFrame,
     share: float = HEAVY_SHARE,
-) -> tuple[list, list]:
-    """Heavy accounts and heavy effective customers of a transaction table.
+) -> tuple[HeavyKeys, HeavyKeys]:
+    """Heavy accounts and heavy effective customers of a transaction table, with their shares.
 
-    The transactions are counted per (account, customer) pair first; only those counts are
-    joined to the accounts to find the effective customers.
+    For the customers the two key columns alone are looked up in the accounts, heavy ones spread.
     """
+    accounts = heavy_keys(transactions, "account_id", share)
     own = F.col("customer_id") if "customer_id" in transactions.columns else F.lit(None)
-    pairs = transactions.groupBy("account_id", own.cast("string").alias("own")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    pairs = stage(pairs, "pair-counts")
+    salt_by = "transaction_id" if "transaction_id" in transactions.columns else "account_id"
+    narrow = transactions.select("account_id", own.cast("string").alias("own"), F.col(salt_by).alias("__by"))
     owners = account_side.select("account_id", "customer_id_acct")
     effective = effective_customer(F.col("customer_id_acct"), F.col("own"))
-    by_customer = pairs.join(owners, "account_id", "left").select(
-        effective.alias("customer_id_final"), "rows"
-    )
-    return (
-        _heavy(pairs, "account_id", share),
-        _heavy(by_customer, "customer_id_final", share),
-    )
+    looked_up = lookup(narrow, owners, "account_id", accounts, "__by")
+    return accounts, heavy_keys(looked_up.select(effective.alias("c")), "c", share)
+
+
+def _parts(key: str, heavy: list, salts: int) -> Column:
+    """How many parts the rows of a key are spread over: in proportion to its share, 1 if it is not heavy.
+
+    Keys of a plain list, whose shares are not known, are spread over all parts.
+    """
+    shares = heavy.shares if isinstance(heavy, HeavyKeys) else dict.fromkeys(heavy, 1.0)
+    counts = {k: max(2, math.ceil(share * salts)) for k, share in shares.items()}
+    if not counts:
+        return F.lit(1)
+    known = F.map_from_arrays(F.array(*[F.lit(k) for k in counts]), F.array(*[F.lit(n) for n in counts.values()]))
+    return F.coalesce(F.element_at(known, F.col(key)), F.lit(1))
 
 
 def lookup(
@@ -64,16 +73,17 @@ def lookup(
     dimension: DataFrame,
     key: str,
     heavy: list | None = None,
-    salt_by: str | None = None,
+    salt_by: str | Column | None = None,
     salts: int = SALTS,
     null_safe: bool = False,
 ) -> DataFrame:
     """Left equi join of many facts to one dimension row each (the key has to be unique).
 
     Without ``heavy`` it is a plain join: Spark broadcasts a side it has measured to be
-    small, or shuffles and splits skewed partitions.  With ``heavy`` keys their facts, and
-    those with a null key, are spread by a hash of ``salt_by`` over ``salts`` parts, and only
-    the dimension rows of those keys are repeated, so no task gets a whole heavy key.
+    small, or shuffles and splits skewed partitions.  With ``heavy`` keys and their shares
+    the facts of a key are spread by a hash of ``salt_by`` over as many of ``salts`` parts as
+    its share asks for, those with a null key over all, and only the dimension rows of those
+    keys are repeated, so every part has about the same number of rows.
     A null key finds nothing, or with ``null_safe`` the dimension row whose key is null.
     """
     same = lambda left, right: left.join(
@@ -81,16 +91,10 @@ def lookup(
     ).drop("__key")
     if heavy is None or salt_by is None:
         return same(facts, dimension) if null_safe else facts.join(dimension, key, "left")
-    part = F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")
-    spread = F.col(key).isNull() | F.col(key).isin(heavy) if heavy else F.col(key).isNull()
-    salted_facts = facts.withColumn("__salt", F.when(spread, part).otherwise(F.lit(0)))
-    parts = F.sequence(F.lit(0), F.lit(salts - 1))
-    one = F.array(F.lit(0))
-    repeated = F.col(key).isin(heavy) if heavy else F.lit(False)
-    if null_safe:
-        repeated = repeated | F.col(key).isNull()
-    copies = F.when(repeated, parts).otherwise(one)
-    salted_dimension = dimension.withColumn("__salt", F.explode(copies))
+    parts = F.when(F.col(key).isNull(), F.lit(salts)).otherwise(_parts(key, heavy, salts))
+    salted_facts = facts.withColumn("__salt", F.pmod(F.xxhash64(salt_by), parts).cast("int"))
+    copies = parts if null_safe else F.coalesce(_parts(key, heavy, salts), F.lit(1))
+    salted_dimension = dimension.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     if null_safe:
         salted_dimension = salted_dimension.withColumnsRenamed({key: "__key", "__salt": "__part"})
         match = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__part"))
@@ -126,8 +130,8 @@ def link(
     account-side customer) and ``orphan_customer`` (effective customer unknown).  The
     dimensions are cut to the needed columns and deduplicated first, which is what keeps
     rows from multiplying.  Spark chooses the join by measured size and splits skewed
-    partitions; ``balance`` spreads heavy keys beforehand, at the cost of counting them.
-    ``sized_by`` is the table to count keys in (the raw transactions, say, so that nothing
+    partitions; ``balance`` spreads heavy keys beforehand, at the cost of sketching them.
+    ``sized_by`` is the table to look for them in (the raw transactions, say, so that nothing
     upstream runs twice).  ``watch`` sees rows and keys of the dimensions and rows on both sides
     of the joins (points accounts_raw, accounts, customers_raw, customers, unlinked, linked).
     """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskloom import fixed
 from riskloom.functions import coerce
 from riskloom.functions.ranks import column_stats
+from riskloom.functions.sketches import quantile_sketches, quantiles, rank_error
 from riskloom.operators import (
     clean,
     compare,
@@ -33,7 +34,8 @@ from riskloom.plans.explorer import explorer_rows
 from riskloom.session import tune
 from riskloom.sources import sinks
 from riskloom.sources.jsonl import (
-    mark_documents, read_jsonl_numbered, read_jsonl_tolerant, read_pairs, read_report,
+    index_lines, lines_before, mark_documents, read_jsonl_numbered, read_jsonl_tolerant, read_pairs,
+    read_report,
 )
 from riskloom.sources.sinks import write_verdicts
 from riskloom.sources.staging import new_path, stage
@@ -574,19 +576,22 @@ def dashboard_metrics_written(spark, sf_dir):
 
 @query
 def numbered_lines(spark, sf_dir):
-    """The numbers of the lines that are not blank, in a file of several blocks."""
+    """The numbers of the lines that are not blank, counted on over files written by many tasks."""
     path = new_path(spark, "numbered")
-    lines = _lines(spark, sf_dir).repartition(1).sortWithinPartitions("line")
+    lines = _lines(spark, sf_dir).repartitionByRange(8, "line").sortWithinPartitions("line")
     lines.select("value").write.text(path)
-    return read_jsonl_numbered(spark, path).select("line", "value")
+    index = index_lines(spark, path)
+    numbered = read_jsonl_numbered(spark, path, index)
+    placed = numbered.join(F.broadcast(lines_before(index)), "file")
+    return placed.select((F.col("before") + F.col("line")).alias("line"), "value")
 
 
 @query
 def lookup_last(spark, sf_dir):
-    """The last row of each account in a CSV file, its text as it stands."""
+    """The last row of each account in a folder of CSV files, its text as it stands."""
     path = new_path(spark, "accounts")
     rows = virtual.accounts(spark, sf_dir).select("account_id", "account_type", "current_balance")
-    rows = rows.repartition(1).sortWithinPartitions("account_id", "account_type")
+    rows = rows.repartitionByRange(8, "account_id", "account_type").sortWithinPartitions("account_id", "account_type")
     rows.write.option("header", True).csv(path)
     found = read_lookup(spark, path, "account_id")
     return found.select("account_id", *[F.coalesce(c, F.lit("")).alias(c) for c in rows.columns[1:]])
@@ -666,6 +671,54 @@ def anomaly_facts(spark, sf_dir):
     )
 
 
+@query
+def anomaly_outliers(spark, sf_dir):
+    """Rows planted far out in seven features, and how many of them score above 99 of 100 others."""
+    linked = _linked(spark, sf_dir)
+    number = F.substring(KEY, 5, 10).cast("bigint")
+    planted = number % 997 == 5
+    far = {
+        "amount": F.lit(9e8), "amount_to_account_avg_ratio": F.lit("800"), "distance_from_home_km": F.lit("19000"),
+        "txn_count_last_24h": F.lit("400"), "time_since_prev_txn_mins": F.lit("90000"),
+        "is_foreign_transaction_b": F.lit(1.0), "is_new_device_b": F.lit(1.0), "amount_invalid": F.lit(False),
+    }
+    moved = linked.withColumns({name: F.when(planted, value).otherwise(F.col(name)) for name, value in far.items()})
+    scored, _ = scoring.score_linked(stage(moved, "linked"), [KEY])
+    return outlier_facts(scored.select(planted.alias("planted"), "anom_score"))
+
+
+def outlier_facts(scored: DataFrame) -> DataFrame:
+    """How many rows are planted, and how many of them score above the 99th percentile of the others."""
+    others = quantile_sketches(scored.where("NOT planted"), ["anom_score"])
+    bar = quantiles(others, ["anom_score"], 0.99)["anom_score"]
+    return scored.agg(
+        F.count_if("planted").alias("planted"),
+        F.count_if(F.col("planted") & (F.col("anom_score") > F.lit(bar))).alias("above"),
+    )
+
+
+@query
+def approximate_medians(spark, sf_dir):
+    """Medians of lineitem columns from stored sketches per ship mode, and whether their ranks are as exact as stated."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    lineitem = virtual.table(spark, sf_dir, "lineitem").select("l_returnflag", *names)
+    found = quantiles(stage(quantile_sketches(lineitem, names, ["l_returnflag"]), "sketches"), names)
+    ranks = lineitem.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(F.col(n) < F.lit(found[n])).alias(f"{n}_below") for n in names],
+        *[F.count_if(F.col(n) <= F.lit(found[n])).alias(f"{n}_upto") for n in names],
+    )
+    error = rank_error()
+    entries = [
+        F.struct(
+            F.lit(n).alias("column"), F.col("rows"),
+            ((F.col(f"{n}_below") <= (0.5 + error) * F.col("rows")) & (F.col(f"{n}_upto") >= (0.5 - error) * F.col("rows"))).alias("within"),
+        )
+        for n in names
+    ]
+    return ranks.select(F.inline(F.array(*entries)))
+
+
 # --- explorer ----------------------------------------------------------------------------------
 
 
@@ -686,10 +739,13 @@ def explorer(spark, sf_dir):
 
 @query
 def explorer_balanced(spark, sf_dir):
-    """The view with a third of all transactions on one account and its owner."""
+    """The view with a third of all lines on one transaction, a third of all transactions on one account."""
     transactions, accounts, customers = _tables(spark, sf_dir)
+    lines = _lines(spark, sf_dir)
+    again = F.regexp_replace("value", r"TXN_[0-9]{10}", "TXN_0000000030")
+    lines = lines.withColumn("value", F.when(F.col("line") % 3 == 1, again).otherwise(F.col("value")))
     return explorer_rows(
-        mark_documents(_lines(spark, sf_dir)),
+        mark_documents(lines),
         dedupe.keep_last(_hot(transactions), KEY),
         dedupe.keep_last(accounts, "account_id"),
         dedupe.keep_last(customers, "customer_id"),
@@ -705,9 +761,34 @@ def explorer_page(spark, sf_dir):
     return page.select(KEY, "is_fraud", "confidence", "amount", "merchant_name")
 
 
+@query
+def explorer_sorted(spark, sf_dir):
+    """The place of every row in four views, each read from its written order."""
+    rows = _explorer(spark, sf_dir)
+    views = [
+        ("confidence", None), ("account_type", False), ("transaction_id", True), ("merchant_city", True),
+    ]
+    rows = stage(rows.select(KEY, "confidence", "account_type", "merchant_city"), "explorer")
+    parts = [
+        explore.sorted_view(rows, column, down).placed().select(F.lit(column).alias("view"), "place", KEY)
+        for column, down in views
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query
+def explorer_stretch(spark, sf_dir):
+    """Rows 101 to 150 of the view by confidence, read from its written order."""
+    view = explore.sorted_view(_explorer(spark, sf_dir))
+    return view.stretch(101, 50).select("place", KEY, "confidence", "is_fraud")
+
+
 @query
 def explorer_detail(spark, sf_dir):
-    return explore.detail(_explorer(spark, sf_dir), "TXN_0000000030")
+    """One transaction, looked up in the written view."""
+    path = new_path(spark, "explorer-by-id")
+    explore.write_clustered(_explorer(spark, sf_dir), path)
+    return explore.read_detail(spark, path, "TXN_0000000030")
 
 
 @query

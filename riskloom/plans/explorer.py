@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import explore
-from riskloom.operators.link import heavy_links
+from riskloom.operators.link import heavy_keys, heavy_links, lookup
 from riskloom.sources.jsonl import read_jsonl_tolerant, read_report
 from riskloom.sources.tables import read_lookup
 
@@ -28,19 +28,28 @@ def explorer_rows(
     customers: DataFrame | None,
     balance: bool = False,
 ) -> DataFrame:
-    """Explorer rows of tolerantly read lines; ``balance`` spreads heavy accounts and owners.
+    """Explorer rows of tolerantly read lines; ``balance`` spreads heavy ids, accounts and owners.
 
     The owner that is joined is the account's, an empty one gives way to the transaction's.
+    What is heavy is measured on the verdicts: an id that they repeat makes its account and
+    owner heavy too.
     """
-    heavy_accounts = heavy_customers = None
-    if balance and transactions is not None and accounts is not None:
-        owners = accounts.select(
-            "account_id", F.nullif(F.col("customer_id"), F.lit("")).alias("customer_id_acct")
-        )
-        heavy_accounts, heavy_customers = heavy_links(transactions, owners)
+    rows = explore.verdict_rows(marked)
+    heavy_accounts = heavy_customers = heavy_ids = None
+    if balance and transactions is not None:
+        heavy_ids = heavy_keys(rows, "transaction_id")
+        if accounts is not None:
+            owners = accounts.select(
+                "account_id", F.nullif(F.col("customer_id"), F.lit("")).alias("customer_id_acct")
+            )
+            keys = transactions.select("transaction_id", "account_id", "customer_id")
+            ids = rows.select("transaction_id").withColumn("__row", F.monotonically_increasing_id())
+            met = lookup(ids, keys, "transaction_id", heavy_ids, "__row")
+            heavy_accounts, heavy_customers = heavy_links(
+                met.withColumn("transaction_id", F.col("__row")), owners
+            )
     return explore.explorer(
-        explore.verdict_rows(marked), transactions, accounts, customers,
-        heavy_accounts, heavy_customers,
+        rows, transactions, accounts, customers, heavy_accounts, heavy_customers, heavy_ids
     )
 
 

@@ -60,34 +60,61 @@ def mark_documents(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_jsonl_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines as (file, line, value) with 1-based line numbers per file.
-
-    Spark gives rows no number.  A row knows its file and block and its place among the rows
-    of its task, so the lines before a block, one small row per block, make up the rest.
-    Reading and counting go over one written set of rows, so both see the same blocks.
-    """
-    rows = spark.read.text(path).select(
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their block, and a number that counts on within each task."""
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("written"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
-        strip_text(F.col("value")).alias("value"),
+        "value",
     )
-    rows = stage(rows, "numbered-lines")
-    blocks = rows.groupBy("file", "block").agg(
-        F.count(F.lit(1)).alias("lines"), F.min("place").alias("start")
+
+
+def index_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A small table of the blocks of text files: file, written, block, start, lines, first.
+
+    ``first`` is the number of the block's first line in its file, from 1.  One pass counts the
+    lines; no text is kept.  The table can be stored and used as long as files and split
+    settings stay what they are.
+    """
+    blocks = _placed_lines(spark, path).groupBy("file", "written", "block").agg(
+        F.min("place").alias("start"), F.count(F.lit(1)).alias("lines")
     )
     before = Window.partitionBy("file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = blocks.select(
-        "file", "block", "start", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before")
-    )
-    return (
-        rows.where(F.col("value") != "")
-        .join(offsets, ["file", "block"])
-        .select("file", (F.col("before") + F.col("place") - F.col("start") + 1).alias("line"), "value")
-    )
+    first = F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1
+    return stage(blocks.withColumn("first", first), "line-index")
+
+
+def read_jsonl_numbered(
+    spark: SparkSession, path: str, index: DataFrame | None = None
+) -> DataFrame:
+    """Non-blank lines as (file, line, value) with 1-based line numbers per file.
+
+    Spark gives rows no number.  A row knows its file and block and its place among the rows
+    of its task; the line index says which line a block starts with.  The text is read as it
+    lies, neither shuffled nor written again.  A line that its index cannot place, because a file
+    or the way files are split has changed since, fails the read.
+    """
+    index = index_lines(spark, path) if index is None else index
+    keys = ["file", "written", "block"]
+    rows = _placed_lines(spark, path).join(F.broadcast(index), keys, "left")
+    within = F.col("place") - F.col("start")
+    fits = F.coalesce((within >= 0) & (within < F.col("lines")), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("the line index does not fit "), F.col("file")))
+    # the check goes into the value, which is what filters and readers look at
+    checked = F.when(fits, strip_text(F.col("value"))).otherwise(wrong.cast("string"))
+    numbered = rows.select("file", (F.col("first") + within).alias("line"), checked.alias("value"))
+    return numbered.where(F.col("value") != "")
+
+
+def lines_before(index: DataFrame) -> DataFrame:
+    """Per file, the lines of all files before it in the order of their names: ``file``, ``before``."""
+    files = index.groupBy("file").agg(F.sum("lines").alias("lines"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("file", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame | None:
