@@ -17,8 +17,8 @@ from riskloom.llm.pii_rules import KINDS, Span, base_spans, plausible, text_of
 
 DOCUMENTS = 20_000
 PIECES, PROSE = 400, 3_000
-EXAMPLES, WINDOW = 4_500, 80
-CHARACTERS = 2_000_000
+EXAMPLES, WINDOW = 6_000, 80
+CHARACTERS = 4_000_000
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 DOMAINS = ("com", "org", "net", "de", "fr", "es", "io", "co.uk")
 

@@ -58,6 +58,11 @@ def _gate(x: np.ndarray) -> np.ndarray:
     return np.clip(0.25 * x + 0.5, 0, 1)
 
 
+def _squash(x: np.ndarray) -> np.ndarray:
+    """Between -1 and 1, without an exponential; its slope is (1 - |result|) squared."""
+    return x / (1 + np.abs(x))
+
+
 def _slope(gate: np.ndarray) -> np.ndarray:
     return ((gate > 0) & (gate < 1)).astype(gate.dtype) * F32(0.25)
 
@@ -83,10 +88,10 @@ def _run(x: np.ndarray, table: np.ndarray, step: np.ndarray) -> tuple[np.ndarray
     c, out, kept = h, np.empty((*x.shape, n), table.dtype), []
     for t in range(len(x)):
         z = table[x[t]] + h @ step
-        gates, g = _gate(z[:, : 3 * n]), np.tanh(z[:, 3 * n :])
+        gates, g = _gate(z[:, : 3 * n]), _squash(z[:, 3 * n :])
         i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
         before, c = c, f * c + i * g
-        tc = np.tanh(c)
+        tc = _squash(c)
         kept.append((h, before, i, f, o, g, tc))
         h = out[t] = o * tc
     return out, kept
@@ -99,8 +104,8 @@ def _back(x, kept, step, d_out, classes) -> tuple[np.ndarray, np.ndarray]:
     for t in reversed(range(len(x))):
         _, before, i, f, o, g, tc = kept[t]
         dh = dh + d_out[t]
-        dc = dc + dh * o * (1 - tc * tc)
-        dz = np.hstack([dc * g * _slope(i), dc * before * _slope(f), dh * tc * _slope(o), dc * i * (1 - g * g)])
+        dc = dc + dh * o * (1 - np.abs(tc)) ** 2
+        dz = np.hstack([dc * g * _slope(i), dc * before * _slope(f), dh * tc * _slope(o), dc * i * (1 - np.abs(g)) ** 2])
         all_dz[t], dh, dc = dz, dz @ step.T, dc * f
     flat = all_dz.reshape(-1, step.shape[1])
     states = np.concatenate([k[0] for k in kept])
@@ -152,7 +157,7 @@ def legal_start(kind=F32) -> np.ndarray:
 
 
 def fit(
-    x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 14, batch: int = 256, rate: float = 0.04, seed: int = 0
+    x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 18, batch: int = 256, rate: float = 0.04, seed: int = 0
 ) -> dict[str, np.ndarray]:
     """Weights for windows ``x`` and their tags ``y`` (both window, time), by Adam with a falling rate."""
     p, draw = initial(hidden, seed), np.random.default_rng(seed)
@@ -180,21 +185,28 @@ def _half(x, lengths, table, step, out, e, order) -> None:
     h, c = (np.zeros((n, x.shape[1]), F32) for _ in range(2))
     full = bool((lengths == len(x)).all())
     gates, work = np.empty((4 * n, x.shape[1]), F32), np.empty((4 * n, x.shape[1]), F32)
+    size = np.empty((n, x.shape[1]), F32)
     for t in order:
         np.take(table, x[t], axis=1, out=gates, mode="clip")
         gates += np.matmul(step, h, out=work)
         # the weights hold the gates' factor and half already
         np.clip(gates[: 3 * n], 0, 1, out=gates[: 3 * n])
-        np.tanh(gates[3 * n :], out=gates[3 * n :])
+        new = gates[3 * n :]
+        np.abs(new, out=size)
+        size += 1
+        new /= size
+        new *= gates[:n]
         c *= gates[n : 2 * n]
-        c += gates[:n] * gates[3 * n :]
-        np.tanh(c, out=h)
+        c += new
+        np.abs(c, out=size)
+        size += 1
+        np.divide(c, size, out=h)
         h *= gates[2 * n : 3 * n]
         if not full:  # behind the end of a text nothing is remembered
             there = t < lengths
             h *= there
             c *= there
-        e[t] += out @ h
+        e[t] += np.matmul(out, h, out=work[: len(out)])
 
 
 class Tagger:
@@ -271,28 +283,33 @@ def windows(length: int) -> list[tuple[int, int]]:
     return [(a, min(a + WIDTH, length)) for a in starts] if length else []
 
 
-def tag(tagger: Tagger, texts: Sequence[str], chunk: int = 2048) -> list[list[tuple[int, int, int, float]]]:
+def tag(tagger: Tagger, texts: Sequence[str], chunk: int = 8192, batch: int = 1024) -> list[list[tuple[int, int, int, float]]]:
     """The pieces found in each whole text, from windows that overlap; each with its score.
 
-    Windows of all texts are scored ``chunk`` at a time, so memory does not depend on their length. A piece that a
-    window cuts at an inner edge is left to the window that holds it whole, if it is that short.
+    Windows of all texts are gathered ``chunk`` at a time and scored in batches of similar length, so memory does not
+    depend on the texts' length. A piece that a window cuts at an inner edge is left to the window that holds it
+    whole, if it is that short.
     """
     found: list[list] = [[] for _ in texts]
     held: list[tuple[int, int, int, np.ndarray]] = []
 
-    def flush() -> None:
-        held.sort(key=lambda w: len(w[3]))
-        lengths = np.array([len(w[3]) for w in held])
-        x = np.zeros((lengths[-1], len(held)), np.uint8)
-        for j, w in enumerate(held):
+    def score(some: list) -> None:
+        lengths = np.array([len(w[3]) for w in some])
+        x = np.zeros((lengths.max(), len(some)), np.intp)
+        for j, w in enumerate(some):
             x[: len(w[3]), j] = w[3]
         e = tagger.scores(x, lengths)
         for j in tagger.busy(e, lengths):
-            i, start, size, _ = held[j]
+            i, start, size, _ = some[j]
             for kind, a, z, score in tagger.window_spans(e[: lengths[j], :, j]):
                 cut = (a == 0 and start > 0) or (z == lengths[j] and start + z < size)
                 if not cut or z - a > WIDTH - STRIDE:
                     found[i].append((kind, start + a, start + z, score))
+
+    def flush() -> None:
+        held.sort(key=lambda w: len(w[3]))
+        for start in range(0, len(held), batch):
+            score(held[start : start + batch])
         held.clear()
 
     for i, text in enumerate(texts):
