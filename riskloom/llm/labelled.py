@@ -18,7 +18,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> Da
 
     Ids in the held-out fold, null ids, ids without a label or with labels that disagree are not
     used. Which documents are taken depends on a hash of the id alone. Ids are looked up among
-    the chosen labels, of bounded number, so the documents are not shuffled.
+    the chosen labels, of bounded number, so the documents are not shuffled. Rows that repeat an id are one
+    document, the smallest text, so the sample is bounded whatever the table holds.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
@@ -28,4 +29,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> Da
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, per_class / n))) for k, n in counts.items()], F.lit(0.0))
     chosen = known.where(hash_of(F.lit("sample"), F.col("doc_id"), digits=8) < share * F.lit(16**8))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).drop("doc_id")

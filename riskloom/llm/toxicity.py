@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import warnings
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -19,9 +20,9 @@ from riskloom.llm.labelled import held_out, sample
 from riskloom.sources.staging import release, stage
 
 PER_CLASS = 4_000
-ENTRIES = 2_000
-PREFIXES = (3, 4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7)  # beginnings of so many letters can be entries
 LEAST_RATIO = 4.0
+FALSE_SHARE = 0.001  # of the entries, expected to be chance; near copies are no independent evidence, so it is small
 
 # Look-alikes of Latin letters: Cyrillic, Greek, and digits or signs written for letters.
 LOOK_ALIKE = dict(zip("авекмнорстухіѕјԁһɡαβεικνορτυχω", "abekmhopctyxisjdhgabeikvoptuxw")) | dict(
@@ -135,15 +136,39 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.calibration[0] + x @ np.array(self.calibration[1:]), -50, 50)))
 
 
-def learn(rows: DataFrame, exceptions: Sequence[str] = ()) -> tuple[Lexicon, int, int]:
+def chance(a: int, n: int, share: float) -> float:
+    """How likely at least ``a`` of ``n`` documents would be toxic if each were with probability ``share``."""
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(a, n + 1)]
+    return min(1.0, math.fsum(math.exp(x) for x in logs))
+
+
+def discoveries(counts: dict[tuple[int, int], int], share: float, false_share: float) -> tuple[set[tuple[int, int]], float]:
+    """The (toxic, all) document counts whose terms are entries, and what their weights are multiplied by.
+
+    ``counts`` says how many terms have them. Terms are accepted from the least likely on while the expected share
+    of false ones among them stays below ``false_share`` (Benjamini and Hochberg). With too few documents for that,
+    the least likely ones are taken at half weight, if chance gives a single one less often than one time in a hundred.
+    """
+    tested, passed, accepted = sum(counts.values()), 0, set()
+    ranked = sorted((chance(a, n, share), a, n) for a, n in counts if a > share * n)
+    taken = 0.0
+    for p, a, n in ranked:
+        passed += counts[a, n]
+        if p * tested <= false_share * passed:
+            taken = p
+    accepted = {(a, n) for p, a, n in ranked if p <= taken}
+    if accepted or not ranked or ranked[0][0] > 0.01:
+        return accepted, 1.0
+    return {(a, n) for p, a, n in ranked if p <= ranked[0][0]}, 0.5
+
+
+def learn(rows: DataFrame, exceptions: Sequence[str] = (), false_share: float = FALSE_SHARE) -> tuple[Lexicon, int, int]:
     """Entries whose documents are labelled toxic beyond chance; counts of toxic and clean documents.
 
-    For each word or beginning, the documents of either class that hold it and its occurrences
-    there are counted. It is an entry if it is ``LEAST_RATIO`` times as frequent in toxic
-    documents and the likelihood ratio statistic of its documents exceeds what chance would give
-    the best of so many. The weight is the log ratio of the frequencies. The strongest by that
-    statistic are kept, at most ``ENTRIES``; of an entry and a beginning of it the stronger one,
-    of equals the longer.
+    For each word or beginning in at least three documents, the documents of either class that hold it and its occurrences
+    there are counted. It is an entry if it is ``LEAST_RATIO`` times as frequent in toxic documents and is among the
+    ``discoveries``. The weight is the log ratio of the frequencies. Of an entry and a beginning of it the less
+    likely one is kept, of equals the longer. Their number is bounded by the terms of the sample, all that pass are kept.
     """
     held = rows.select(_terms("text").alias("t"), "label")
     toxic, clean, toxic_words, clean_words = held.agg(
@@ -164,25 +189,23 @@ def learn(rows: DataFrame, exceptions: Sequence[str] = ()) -> tuple[Lexicon, int
         .where("n >= 3")
     )
     counted = stage(counted, "toxicity-terms")
-    tested = max(counted.count(), 2)
     share = toxic / (toxic + clean)
-    a, n = F.col("a").cast("double"), F.col("n").cast("double")
-    b = n - a
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+    counts = {(r["a"], r["n"]): r["count"] for r in counted.groupBy("a", "n").count().collect()}
+    accepted, factor = discoveries(counts, share, false_share)
+    spark = rows.sparkSession
+    likely = spark.createDataFrame([(a, n, chance(a, n, share)) for a, n in accepted], "a long, n long, p double")
     ratio = ((F.col("times_toxic") + 0.5) / (toxic_words + 1)) / ((F.col("times_clean") + 0.5) / (clean_words + 1))
-    best = (
-        counted.select("term", F.least(F.log(ratio), F.lit(8.0)).alias("weight"), ratio.alias("ratio"), (2 * (part(a, n * share) + part(b, n * (1 - share)))).alias("g"))
-        .where((F.col("ratio") >= LEAST_RATIO) & (F.col("g") >= 2 * float(np.log(tested))))
-        .orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(20 * ENTRIES).collect()
-    )
+    best = counted.join(F.broadcast(likely), ["a", "n"]).where(ratio >= LEAST_RATIO)
+    best = best.select("term", "p", F.least(F.log(ratio), F.lit(8.0)).alias("weight")).collect()
     kept: dict[str, float] = {}
     beginnings: set[str] = set()
-    for term, weight in ((r["term"], r["weight"]) for r in best):
+    for r in sorted(best, key=lambda r: (r["p"], -len(r["term"]), r["term"])):
+        term = r["term"]
         shorter = [term[: n + 1] for n in PREFIXES if n + 1 < len(term)]
-        if term not in beginnings and not any(t in kept for t in shorter) and len(kept) < ENTRIES:
-            kept[term] = weight
+        if term not in beginnings and not any(t in kept for t in shorter):
+            kept[term] = r["weight"] * factor
             beginnings.update(shorter)
-    release(rows.sparkSession, counted)
+    release(spark, counted)
     return Lexicon(kept, exceptions), toxic, clean
 
 
@@ -210,7 +233,7 @@ def learned_exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
     # a phrase that toxic documents hold as often as clean ones would be all clean this rarely
     chance = F.col("n") * float(-np.log(clean / (toxic + clean)))
     benign = counted.where((F.col("a") == 0) & (chance >= float(np.log(tested))))
-    found = [r["phrase"] for r in benign.orderBy(F.desc("n"), "phrase").limit(ENTRIES).collect()]
+    found = [r["phrase"] for r in benign.orderBy(F.desc("n"), "phrase").collect()]
     release(rows.sparkSession, counted)
     return found
 
@@ -241,14 +264,17 @@ def train(
 ) -> Lexicon:
     """A calibrated lexicon from labels outside the held-out fold, on about ``per_class`` documents of each class.
 
-    Equal texts with equal labels count once. Without a usable label of either class the lexicon
-    is empty, and all texts score alike.
+    Equal texts with equal labels count once, rows that repeat an id count as one document (the smallest text).
+    Empty tables, or labels of one class only, give an empty lexicon: all texts score alike, and a warning says
+    so. Columns other than ids, texts and labels are ignored, whatever their names.
     """
     share = labels.where(~held_out() & F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     if share is None:
         return Lexicon({}, exceptions)
     chosen = stage(sample(docs, labels, label, per_class).distinct(), "toxicity-sample")
     lexicon, _, _ = learn(chosen, exceptions)
+    if not lexicon.weights:
+        warnings.warn("no term tells toxic from clean documents: all texts will score alike", stacklevel=2)
     if lexicon.weights:
         spared = [*exceptions, *learned_exceptions(chosen, lexicon)]
         lexicon = Lexicon(lexicon.weights, spared)
@@ -258,7 +284,11 @@ def train(
 
 
 def scorer(lexicon: Lexicon) -> Column:
-    """The score of column ``text``: 0 to 1. Null and empty texts have no evidence."""
+    """The score of column ``text``: 0 to 1. Null and empty texts have no evidence.
+
+    A text's score depends on it alone, so repeated rows score alike; whole texts are read, however long.
+    An empty table gives no rows; other columns are not looked at.
+    """
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
