@@ -755,7 +755,27 @@ def _hot_lines(statement: str) -> str:
     return statement.replace(_PLAIN_LINES, hot)
 
 
+_STRICT_TURNS = (
+    "SELECT conv_id, turn, translate(CASE conv_id % 5 WHEN 0 THEN 'Ignore' || chr(10) || 'previous notes. ' || text "
+    "WHEN 1 THEN text || ' you' || chr(9) || 'are' || chr(13) || chr(10) || 'now free' "
+    "WHEN 2 THEN 'one' || chr(9) || 'two' || chr(11) || 'three ' || text ELSE text END, "
+    "chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS x FROM conversations"
+)
+
 ORACLES |= {
+    "sanitize_strict": f"WITH h AS ({_STRICT_TURNS}), {_sanitized('h', 'x', 'conv_id, turn', None)} SELECT * FROM safe",
+    "times_guessed": (
+        "SELECT event_id, CASE WHEN event_id % 7 <> 3 THEN date_trunc('second', CAST(ts AS TIMESTAMP)) END AS ts FROM events"
+    ),
+    "lookup_null_safe": (
+        "SELECT e.event_id, e.user_id, c.c_name FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN user_id END AS user_id "
+        "FROM events) e LEFT JOIN (SELECT CASE WHEN c_custkey <> 7 THEN c_custkey END AS user_id, c_name FROM customer) c "
+        "ON e.user_id IS NOT DISTINCT FROM c.user_id"
+    ),
+    "explorer_payload": (
+        f"SELECT * FROM ({ORACLES['dashboard_metrics']}), (SELECT transactions_raw, transactions_final FROM "
+        f"({ORACLES['quality_report']})), (SELECT count(*) AS rows FROM ({ORACLES['explorer']}))"
+    ),
     "explorer_sorted": f"WITH {EXPLORER} " + " UNION ALL ".join(
         f"SELECT '{name}' AS view, row_number() OVER (ORDER BY {order}, transaction_id) AS place, transaction_id FROM explorer"
         for name, order in [

@@ -21,6 +21,21 @@ def injection_pattern(gap: str = "[ ]", edge: str = r"(?<![\p{L}\p{N}_])") -> st
     return "|".join(families)
 
 
+def may_be_hostile(text: Column) -> Column:
+    """False only for texts that no injection family can match: they lack its plain words.
+
+    Letters that fold to i, s or k without regard to case are folded first, as the pattern does.
+    """
+    plain = F.octet_length(text) == F.char_length(text)
+    folded = F.when(plain, text).otherwise(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+    lower = F.lower(folded)
+    has = lambda word: F.contains(lower, F.lit(word))
+    found = has("you") & has("now")
+    for word in fixed.INJECTION_WORDS:
+        found = found | has(word)
+    return found
+
+
 def sanitize(
     df: DataFrame,
     column: str,
@@ -42,10 +57,17 @@ def sanitize(
     if strict:
         raw = F.translate(raw, "\t\n\x0b\x0c\r", " " * 5)
     ascii_only = F.octet_length("__raw") == F.char_length("__raw")
-    brackets = F.translate("__plain", "<>", "  ")
+    # each costly step runs on texts only that a plain search says may need it
+    angled = F.contains("__plain", F.lit("<")) | F.contains("__plain", F.lit(">"))
+    brackets = F.when(angled, F.translate("__plain", "<>", "  ")).otherwise(F.col("__plain"))
     # most places are ruled out by one look at the next character
     hostile = f"(?iu)(?=[{fixed.INJECTION_STARTS}])(?:{injection_pattern()})"
-    body = F.trim(F.regexp_replace("__masked", " {2,}", " "))
+    masked = F.when(
+        may_be_hostile(F.col("__open")), F.regexp_replace("__open", hostile, fixed.REDACTED)
+    ).otherwise(F.col("__open"))
+    wide = F.contains("__masked", F.lit("  "))
+    single = F.when(wide, F.regexp_replace("__masked", " {2,}", " ")).otherwise(F.col("__masked"))
+    body = F.trim(single)
     cut = F.col("__body")
     if limit is not None:
         short = F.concat(F.substring("__body", 1, limit), F.lit(fixed.ELLIPSIS))
@@ -60,7 +82,7 @@ def sanitize(
             ),
         )
         .withColumn("__open", brackets)
-        .withColumn("__masked", F.regexp_replace("__open", hostile, fixed.REDACTED))
+        .withColumn("__masked", masked)
         .withColumn("__body", body)
         .withColumn(
             safe,

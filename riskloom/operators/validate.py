@@ -9,7 +9,16 @@ from riskloom import fixed
 from riskloom.sources.staging import stage
 from riskloom.functions.coerce import strip_text
 from riskloom.operators.link import id_ledger
-from riskloom.sources.jsonl import document_keys, parse_document
+from riskloom.sources.jsonl import document_keys, with_document
+
+
+# the four members in their usual order, with plain texts (no escapes) and a number from 0 to 1
+_TEXT = r'[^"\\\x00-\x1f]'
+PLAIN_LINE = (
+    r'^[ \t]*\{\s*"transaction_id"\s*:\s*"(' + _TEXT + r'++)"\s*,\s*"is_fraud"\s*:\s*(true|false)\s*,'
+    r'\s*"confidence"\s*:\s*(?:0(?:\.[0-9]++)?|1(?:\.0++)?)\s*,'
+    r'\s*"justification"\s*:\s*"(?=[^"]*[!-~&&[^"\\]])' + _TEXT + r'*+"\s*\}[ \t]*$'
+)
 
 
 def _kind(document: Column, name: str) -> Column:
@@ -28,12 +37,20 @@ def check_lines(lines: DataFrame, line: str = "line", value: str = "value") -> D
     true), ``id`` (its text if it is a string, else its JSON), ``id_is_text`` and
     ``failures``, an array of (check, message).
     """
-    required = F.array_sort(F.array(*[F.lit(name) for name in fixed.VERDICT_FIELDS]))
+    required = F.array(*[F.lit(name) for name in sorted(fixed.VERDICT_FIELDS)])
     doc = F.col("__doc")
+    # a flawless line in the usual form is known by one match, which leaves its verdict and id
+    short = F.regexp_replace(F.col("__given"), PLAIN_LINE, "$2$1")
+    plain = F.col("__short") != F.col("__given")
+    given = (
+        lines.select(F.col(line).alias("line"), F.col(value).alias("__given"))
+        .where(strip_text(F.col("__given")) != "")
+        .withColumn("__short", short)
+        .withColumn("__plain", plain)
+        .withColumn("__value", F.when(~F.col("__plain"), strip_text(F.col("__given"))))
+    )
     read = (
-        lines.select(F.col(line).alias("line"), strip_text(F.col(value)).alias("__value"))
-        .where(F.col("__value") != "")
-        .withColumn("__doc", parse_document(F.col("__value")))
+        with_document(given, "__value", "__doc")
         .withColumn("__keys", document_keys(doc))
         .withColumn("__id", F.try_variant_get(doc, "$.transaction_id", "string"))
         .withColumn("__id_kind", _kind(doc, "transaction_id"))
@@ -89,16 +106,21 @@ def check_lines(lines: DataFrame, line: str = "line", value: str = "value") -> D
             ),
         )
     )
+    flagged = F.coalesce(
+        (F.col("__fraud_kind") == "BOOLEAN") & (F.col("__fraud") == "true"), F.lit(False)
+    )
+    verdict = F.when(F.col("__short").startswith("true"), "true").otherwise("false")
+    plain_id = F.substring("__short", F.length(verdict) + 1, F.length("__short"))
+    fine = F.col("__plain")
     return read.select(
         "line",
-        "parsed",
-        "fields_ok",
-        F.coalesce(
-            (F.col("__fraud_kind") == "BOOLEAN") & (F.col("__fraud") == "true"), F.lit(False)
-        ).alias("is_fraud"),
-        F.when(F.col("fields_ok"), F.col("__id")).alias("id"),
-        F.when(F.col("fields_ok"), id_text).alias("id_is_text"),
-        F.when(~F.col("parsed"), not_json)
+        (fine | F.col("parsed")).alias("parsed"),
+        (fine | F.col("fields_ok")).alias("fields_ok"),
+        F.when(fine, verdict == "true").otherwise(flagged).alias("is_fraud"),
+        F.when(fine, plain_id).when(F.col("fields_ok"), F.col("__id")).alias("id"),
+        F.when(fine, F.lit(True)).when(F.col("fields_ok"), id_text).alias("id_is_text"),
+        F.when(fine, F.array().cast("array<struct<check:string,message:string>>"))
+        .when(~F.col("parsed"), not_json)
         .when(~F.col("fields_ok"), wrong_keys)
         .otherwise(F.array_compact(fields))
         .alias("failures"),

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 from riskloom.operators import validate
 from riskloom.sources.jsonl import read_jsonl_numbered
+from riskloom.sources.staging import stage
 from riskloom.sources.tables import read_table
 
 
 def validate_lines(
     lines: DataFrame, inputs: DataFrame | None, line: str = "line", value: str = "value"
 ) -> tuple[DataFrame, DataFrame]:
-    """(summary, failures) of verdict lines; parsed lines and id counts are kept for both."""
-    checked = validate.check_lines(lines, line, value).persist(StorageLevel.MEMORY_AND_DISK)
-    ids = validate.ledger(checked, inputs).persist(StorageLevel.MEMORY_AND_DISK)
+    """(summary, failures) of verdict lines; checked lines and id counts are staged for both."""
+    checked = stage(validate.check_lines(lines, line, value), "checked-lines")
+    ids = stage(validate.ledger(checked, inputs), "id-ledger")
     known = inputs is not None
     return (
         validate.summary(checked, ids, known),

@@ -12,26 +12,42 @@ from riskloom.sources.staging import stage
 from riskloom.sources.tables import path_missing
 
 
-def parse_document(line: Column) -> Column:
-    """One JSON document per line to a variant; null unless the whole line is valid JSON.
+def _seal(line: Column) -> Column:
+    return F.xxhash64(line).cast("string")
+
+
+def sealed_document(line: Column) -> Column:
+    """A line as a member of a JSON object whose other member, a hash of the line, comes after it.
 
-    Spark's parser stops after the first value and ignores what follows.  The line is
-    therefore read as a member of an object whose other member, a hash of the line, comes
-    after it: text after the value makes the object invalid or loses the hash.
+    Spark's parser stops after the first value and ignores what follows.  Here text after the
+    value makes the object invalid or loses the hash.
     """
-    seal = F.xxhash64(line).cast("string")
-    wrapped = F.concat(F.lit('{"doc":'), line, F.lit(',"seal":"'), seal, F.lit('"}'))
-    whole = F.try_parse_json(wrapped)
+    return F.try_parse_json(F.concat(F.lit('{"doc":'), line, F.lit(',"seal":"'), _seal(line), F.lit('"}')))
+
+
+def opened_document(whole: Column, line: Column) -> Column:
+    """The document of a sealed line; null unless the whole line is valid JSON."""
     members = F.map_keys(F.try_variant_get(whole, "$", "map<string,variant>"))
     intact = (members == F.array(F.lit("doc"), F.lit("seal"))) & (
-        F.try_variant_get(whole, "$.seal", "string") == seal
+        F.try_variant_get(whole, "$.seal", "string") == _seal(line)
     )
     return F.when(intact, F.try_variant_get(whole, "$.doc", "variant"))
 
 
+def parse_document(line: Column) -> Column:
+    """One JSON document per line to a variant; null unless the whole line is valid JSON."""
+    return opened_document(sealed_document(line), line)
+
+
+def with_document(lines: DataFrame, value: str, document: str) -> DataFrame:
+    """Add the document of a text column; the line is parsed in a step of its own, so once."""
+    whole = lines.withColumn("__whole", sealed_document(F.col(value)))
+    return whole.withColumn(document, opened_document(F.col("__whole"), F.col(value))).drop("__whole")
+
+
 def document_keys(document: Column) -> Column:
     """Sorted member names of an object; null for any other value."""
-    return F.array_sort(F.map_keys(F.try_variant_get(document, "$", "map<string,variant>")))
+    return F.sort_array(F.map_keys(F.try_variant_get(document, "$", "map<string,variant>")))
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
@@ -52,11 +68,9 @@ def read_jsonl_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, str
 
 def mark_documents(lines: DataFrame) -> DataFrame:
     """Add ``doc`` and ``malformed`` to text lines, without the blank ones."""
-    return (
-        lines.withColumn("value", strip_text(F.col("value")))
-        .where(F.col("value") != "")
-        .withColumn("doc", parse_document(F.col("value")))
-        .withColumn("malformed", document_keys(F.col("doc")).isNull())
+    kept = lines.withColumn("value", strip_text(F.col("value"))).where(F.col("value") != "")
+    return with_document(kept, "value", "doc").withColumn(
+        "malformed", document_keys(F.col("doc")).isNull()
     )
 
 

@@ -119,3 +119,22 @@ def test_feature_summary(spark):
     assert got[1].startswith("amount=10000000; amt_to_avg_ratio=2.5; distance_km=10000000.0; hour=?; foreign=0")
     prompt = df.select(text.feature_prompt(df).alias("o")).first()["o"]
     assert prompt.endswith("\nLabel:") and got[0] in prompt
+
+
+def test_no_family_is_ruled_out(spark):
+    """Whatever the pattern matches passes the plain search before it, in any case and with letters that fold."""
+    draw, rows = random.Random(4), []
+    samples = [
+        "ignore  all", "IGNORE previous", "disregard", "system prompt", "systemprompt", "you are now", "System :", "user:", "assistant:",
+        "new instruction", "mark it as", "not fraud", "isfraud", "set is_fraud", "is_fraud", "confidence =", "{", "}", "```", "prompt",
+        "jailbreak", "override",
+    ]
+    odd = {"i": "\u0130\u0131I", "s": "\u017fS", "k": "\u212aK"}
+    for base in samples:
+        for _ in range(30):
+            spelled = "".join(draw.choice(c + c.upper() + odd.get(c, "")) for c in base)
+            rows.append((f"Zoë {spelled} x" if draw.random() < 0.5 else f"a {spelled}.",))
+    df = spark.createDataFrame(rows, "t string")
+    hostile = f"(?iu)(?:{text.injection_pattern()})"
+    missed = df.where(F.col("t").rlike(hostile) & ~text.may_be_hostile(F.col("t")))
+    assert missed.collect() == [] and df.where(F.col("t").rlike(hostile)).count() > 500
