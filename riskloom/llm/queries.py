@@ -37,6 +37,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), 40)
 
 
+def slot_map_rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job that edits the slot map of op4 for one more shard: where each document was, and where it goes."""
+    return sharding.rebalanced(_read(spark, sf_dir, "documents"), 40, 41)
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
@@ -98,6 +103,6 @@ QUERIES = {
     for f in (
         op1_exact_top_k, op2_warc, op3_source_mixing, op4_sharding, op5_nearest_neighbours, op6_toxicity,
         op7_byte_bpe, op8_quality, op9_ngram_jaccard, op10_pitman_yor,
-        op11_hard_negatives, op12_whitening, op13_private_data,
+        op11_hard_negatives, op12_whitening, op13_private_data, slot_map_rebalanced,
     )
 }

@@ -99,6 +99,44 @@ class SlotMap:
     def read(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/version={version}")
 
+    def edit(self, version: int, shards: int) -> DataFrame:
+        """Add the version that follows ``version``, with few slots moved to suit the new shard count."""
+        rows = self.read(version).collect()  # a row per slot, a fixed number
+        sizes = sorted((r["virtual_slot"], r["bytes"], r["rows"]) for r in rows)
+        current = {r["virtual_slot"]: r["shard"] for r in rows}
+        return self.write(version + 1, rebalance(current, sizes, shards), sizes)
+
+
+def placed_by(df: DataFrame, versions: SlotMap, version: int, slots: int = SLOTS) -> DataFrame:
+    """Documents with ``shard`` and ``slot`` by one version of a stored map, and their ``virtual_slot``.
+
+    A document whose virtual slot is on no map (it was not there when the map was made) has a null shard.
+    """
+    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    placed = slots_of(df, slots).join(F.broadcast(versions.read(version)), "virtual_slot", "left")
+    return placed.withColumn("slot", F.col("first_row") + rank - 1)
+
+
+def rebalanced(df: DataFrame, shards: int, later: int, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """Both placements when ``shards`` become ``later``: doc_id, size, text_crc32, shard, slot, next_shard, next_slot.
+
+    Version 0 of the map is made and stored, read again, edited and stored as version 1; records move with their slots
+    only. Null texts count as empty, null ids as an id; repeated rows are placed one by one, an empty table gives an
+    empty result, other columns are ignored. Texts are read once per placement and not shuffled.
+    """
+    spark = df.sparkSession
+    sizes = measure(slots_of(df, slots))
+    versions = SlotMap(spark, path or new_path(spark, "slot-map"))
+    versions.write(0, assign(sizes, shards), sizes)
+    versions.edit(0, later)
+    new = versions.read(1).select("virtual_slot", F.col("shard").alias("next_shard"), F.col("first_row").alias("next_first"))
+    old = placed_by(df, versions, 0, slots)
+    both = old.join(F.broadcast(new), "virtual_slot")
+    return both.select(
+        "doc_id", "size", "text_crc32", "shard", "slot", "next_shard",
+        (F.col("next_first") + F.col("slot") - F.col("first_row")).alias("next_slot"),
+    )
+
 
 def shard(df: DataFrame, shards: int, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Documents in ``shards`` shards of nearly equal bytes: law ``bytes``.

@@ -149,3 +149,24 @@ def test_archive_layout():
     for file in (with_it, without):
         file.seek(0)
         assert [f["WARC-Record-ID"] for f, _ in warc.read_archive(file)] == [f"<urn:page:{i}>" for i in range(200)]
+
+
+def test_rebalanced_placement(spark, rows, tmp_path):
+    """Version 1 is the edited version 0: records move with their slots, into shards that need them only."""
+    path = str(tmp_path / "map")
+    got = sharding.rebalanced(frame(spark, rows), 5, 6, slots=64, path=path).collect()
+    assert len(got) == len(rows)
+    for shard, slot in (("shard", "slot"), ("next_shard", "next_slot")):
+        places = defaultdict(list)
+        for r in got:
+            places[r[shard]].append(r[slot])
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    load, total = Counter(), sum(r["size"] for r in got)
+    for r in got:
+        load[r["next_shard"]] += r["size"]
+    moved = {(r["shard"], r["next_shard"]) for r in got if r["shard"] != r["next_shard"]}
+    assert moved and set(load) == set(range(6)) and all(b == 5 for _, b in moved)
+    assert load[5] <= total / 6
+    old, new = ({r["virtual_slot"]: r["shard"] for r in sharding.SlotMap(spark, path).read(v).collect()} for v in (0, 1))
+    assert old.keys() == new.keys() and sum(old[s] != new[s] for s in old) < len(old) / 2
+    assert sharding.rebalanced(frame(spark, rows[:0]), 5, 6).collect() == []
