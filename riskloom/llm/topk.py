@@ -23,7 +23,10 @@ HITS = "query_id long, vec_id long, score long"
 
 
 def scaled(v: str, scale: int) -> Column:
-    """floor(scale * x) of every component, held within a range whose inner products fit a long."""
+    """floor(scale * x) of every component, held within a range whose inner products fit a long.
+
+    That range lies within 32 bits, which is how components are packed.
+    """
     most = F.floor(F.sqrt(F.lit(2.0**61) / F.size(v)))
     return F.transform(v, lambda x: F.greatest(-most, F.least(most, F.floor(scale * x))))
 
@@ -31,7 +34,7 @@ def scaled(v: str, scale: int) -> Column:
 def _tiles(row) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Scores of a few queries at a time against one candidate block, exact; own ids masked."""
     q_ids, c_ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.c_ids, np.int64)
-    q, c = matrix_of(row.q_matrix, q_ids, "<i8"), matrix_of(row.c_matrix, c_ids, "<i8")
+    q, c = matrix_of(row.q_matrix, q_ids, "<i4"), matrix_of(row.c_matrix, c_ids, "<i4")
     bound = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
     kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
     q, c = q.astype(kind), c.astype(kind).T
@@ -142,7 +145,7 @@ def top_k(
     """
     rows = usable_vectors(df, id_column, vector_column)
     queries, candidates, qn, cn = staged_blocks(
-        rows, is_query, scaled("v", scale), "<i8", query_rows, candidate_rows
+        rows, is_query, scaled("v", scale), "<i4", query_rows, candidate_rows
     )
     tiles = grid(queries, candidates, qn, cn)
     where = rows.where(is_query).select(
