@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from riskloom.llm.components import compact, components
+from riskloom.operators.link import heavy_keys, lookup
 from riskloom.sources.staging import release, stage
 
 LEAST_ELEMENTS = 5
-BROADCAST_ROWS = 1_000_000
 LEVELS = 3
 SEEN = 500_000
 HOT_SHARE, HOT_ROWS, HOT_TEXTS, SALTS = 0.001, 32, 16, 256
+PART_SETS = 10_000  # members of a bucket that are compared in one task, about
 SIGNED = "signature long, salt int, fp long"
 U = np.uint64
 
@@ -209,9 +210,13 @@ def _links(num: int, den: int):
     return run
 
 
-def few(df: DataFrame) -> DataFrame:
-    """Broadcast a staged table of ids if it is counted to be small, else leave it to be shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for start in range(0, len(b), 256):
+            part = b.iloc[start : start + 256]
+            sets = [np.frombuffer(g, np.int64) for g in part["grams"]]
+            fps = np.repeat(part["fp"].to_numpy(np.int64), [len(g) for g in sets])
+            yield pd.DataFrame({"gram": np.concatenate(sets) if sets else np.empty(0, np.int64), "fp": fps})
 
 
 def hot_signatures(docs: DataFrame, words: int, num: int, den: int) -> np.ndarray:
@@ -230,13 +235,14 @@ def hot_signatures(docs: DataFrame, words: int, num: int, den: int) -> np.ndarra
 
 
 def buckets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``bucket``, ``fp``, ``level``: the sets that share a signature, if more than one does.
+    """``bucket``, ``parts``, ``fp``: the sets that share a signature, if more than one does.
 
     Signatures shared by the same sets are one bucket, named by the exclusive or of its members' hashes.
     A set that several tasks have seen counts once. Rows of a signature that very many sets have are
-    dealt over salted parts, whose ends and names are put together afterwards. ``level``
-    is a hash of the set with half as many sets on each level as on the one below.
+    dealt over salted parts, whose ends, names and counts are put together afterwards. ``parts`` is how many tasks the
+    members of the bucket are to be compared in.
     """
+    spark = docs.sparkSession
     hot = hot_signatures(docs, words, num, den)
     rows = docs.select("text").mapInPandas(_signatures(words, num, den, hot), SIGNED)
     # dealt once: equal rows of several tasks and the parts of a signature meet in one place
@@ -244,66 +250,99 @@ def buckets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     part = Window.partitionBy("signature", "salt")
     name = F.bit_xor(F.xxhash64("fp"))
     named = once.select(
-        "signature", "fp", name.over(part).alias("bucket"), F.min("fp").over(part).alias("low"), F.max("fp").over(part).alias("high")
+        "signature", "fp", name.over(part).alias("bucket"), F.min("fp").over(part).alias("low"),
+        F.max("fp").over(part).alias("high"), F.count("fp").over(part).alias("sets"),
     )
-    if not len(hot):
-        shared = named.where("low < high")
-    else:
-        keys = docs.sparkSession.createDataFrame(pd.DataFrame({"signature": hot, "hot": True}), "signature long, hot boolean")
-        named = named.join(F.broadcast(keys), "signature", "left_outer")
-        named = stage(named.where("hot OR low < high"), "members")
-        whole = named.where("hot").groupBy("signature").agg(name.alias("bucket"), F.min("fp").alias("low"), F.max("fp").alias("high"))
-        salted = named.where("hot").select("signature", "fp").join(F.broadcast(whole.where("low < high")), "signature")
-        shared = named.where("hot IS NULL").select("bucket", "fp").union(salted.select("bucket", "fp"))
-    out = stage(shared.select("bucket", "fp").distinct(), "buckets")
-    if len(hot):
-        release(docs.sparkSession, named)
-    level = F.lit(63) - F.floor(F.log2(F.greatest(F.shiftrightunsigned(F.xxhash64("fp"), 1).cast("double"), F.lit(1.0))))
-    return out.withColumn("level", level.cast("int"))
+    keys = spark.createDataFrame(pd.DataFrame({"signature": hot, "hot": np.ones(len(hot), bool)}), "signature long, hot boolean")
+    named = named.join(F.broadcast(keys), "signature", "left_outer")
+    named = stage(named.where("hot OR low < high").select("hot", F.when(F.col("hot"), F.col("signature")).alias("signature"), "bucket", "sets", "fp"), "members")
+    whole = named.where("hot").groupBy("signature").agg(
+        name.alias("bucket"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("fp").alias("sets")
+    )
+    salted = named.where("hot").select("signature", "fp").join(F.broadcast(whole.where("low < high")), "signature")
+    shared = named.where("hot IS NULL").select("bucket", "sets", "fp").union(salted.select("bucket", "sets", "fp"))
+    parts = (F.floor(F.col("sets") / PART_SETS) + 1).cast("int").alias("parts")
+    out = stage(shared.select("bucket", parts, "fp").distinct(), "buckets")
+    release(spark, named)
+    return out
+
+
+def lonely(sets: DataFrame) -> DataFrame:
+    """``fp``, ``lone``: how many elements of each set no other of the ``sets`` has; sets without any are left out."""
+    grams = sets.mapInPandas(_grams, "gram long, fp long")
+    alone = grams.groupBy("gram").agg(F.count("fp").alias("holders"), F.min("fp").alias("fp")).where("holders = 1")
+    return stage(alone.groupBy("fp").agg(F.count("gram").cast("int").alias("lone")), "lonely")
+
+
+def _not_apart(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a``, ``b`` whose sketches do not show that they differ in too many elements."""
+    for side in "ab":
+        names = {"fp": side} | {c: f"{side}_{c}" for c in ("n", *SKETCH)}
+        pairs = pairs.join(sketches.withColumnsRenamed(names), side)
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH), F.lit(0))
+    return pairs.where(apart * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b")
 
 
 def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``node`` (fp), ``label``: components of the sets that are similar to another one.
 
-    Pairs of a bucket are tested in rounds. In each, the sets on its highest ``LEVELS`` levels, a
-    few, are tested against those on the same or lower levels that are not yet known to be in
-    the same component; then they leave the bucket, so the next ones are some times as many. A bucket
-    is done when all it still holds is in one component. So large groups need few tests, and
-    no pair whose test could join two components is left out. Pairs whose sizes or sketches
-    show that they differ in too many elements are no candidates.
+    Elements that no other candidate has differ in every pair. A set with more of them than a similar pair may
+    differ in altogether is out; two sets that both have more than half of that are never compared. So a group of
+    copies whose own edits take them below the threshold costs nothing, however large it is.
+
+    Pairs of a bucket are tested in rounds. In each, the centres, which are the sets on its highest ``LEVELS``
+    levels, a few, are tested against those on the same or lower levels that are not yet known to be in
+    the same component; then they leave the bucket, so the next ones are some times as many. There are half as many
+    sets on each level as on the one below, by a hash; sets with many lone elements are on none and only met by centres.
+    A bucket is done when all it still holds is in one component, or no centre is left. So large groups need few tests, and
+    no pair whose test could join two components is left out. Pairs whose sizes, lone elements or sketches
+    show that they differ in too many elements are no candidates. Members of a large bucket are dealt over its
+    parts, its centres and its state are sent to all of them.
     """
     spark = docs.sparkSession
     shared = buckets(docs, words, num, den)
     reps = sizes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ["n", *SKETCH]])
-    live = compact(shared.join(reps, "fp"), "members", shared.count())
-    wanted = stage(live.select("fp", "doc_id").distinct(), "wanted")
-    live = live.drop("doc_id")
-    sets = docs.select("doc_id", "text").join(few(wanted), "doc_id").mapInPandas(_sets(words), "fp long, grams binary")
+    reps = stage(reps.join(shared.select("fp").distinct(), "fp"), "candidates")
+    sketches = reps.select("fp", "n", *SKETCH)
+    sets = docs.select("doc_id", "text").join(reps.select("fp", "doc_id"), "doc_id").mapInPandas(_sets(words), "fp long, grams binary")
     sets = stage(sets.dropDuplicates(["fp"]), "sets")
-    release(spark, wanted)
+    alone = lonely(sets)
+    # members are many: they carry what a pair is first judged by, and no more
+    reps = reps.select("fp", "n").join(alone, "fp", "left_outer").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    reps = reps.where((F.col("n") - F.col("lone")) * den >= F.col("n") * num)
+    half = F.col("lone") * (den + num) <= F.col("n") * (den - num)
+    level = F.lit(63) - F.floor(F.log2(F.greatest(F.shiftrightunsigned(F.xxhash64("fp"), 1).cast("double"), F.lit(1.0))))
+    reps = reps.withColumn("level", F.when(half, level.cast("int")).otherwise(F.lit(-LEVELS)))
+    held = ["bucket", "parts", "part", "fp", "level", "n", "lone"]
+    live = shared.join(reps, "fp").withColumn("part", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts")).cast("int"))
+    live = compact(live.select(*held), "members", shared.count())
+    release(spark, shared, alone)
     labels = spark.createDataFrame([], "node long, label long")
     rows = live.count()
     tested: list[DataFrame] = []
     staged: list[DataFrame] = [live]
+    to_all_parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     while True:
         now = live.join(labels, live["fp"] == labels["node"], "left_outer")
-        now = now.select("bucket", "fp", "level", "n", *SKETCH, F.coalesce("label", "fp").alias("label"))
-        left = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("level").alias("top"))
-        live = compact(now.join(left.where("x < y").select("bucket", "top"), "bucket"), "live", rows)
+        now = now.select(*held, F.coalesce("label", "fp").alias("label"))
+        left = now.groupBy("bucket", "parts").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("level").alias("top"))
+        left = left.where("x < y AND top >= 0").select("bucket", "top", to_all_parts)
+        live = compact(now.join(left, ["bucket", "part"]), "live", rows)
         release(spark, *staged)
         staged = [live]
         rows = live.count()
         if not rows:
             break
-        first = F.col("level") > F.col("top") - LEVELS
-        centre = live.where(first).select("bucket", F.col("fp").alias("c"), *[F.col(x).alias(f"c_{x}") for x in ["label", "n", *SKETCH]])
-        apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"c_{x}"))) for x in SKETCH), F.lit(0))
-        pairs = live.join(centre, "bucket").where(
+        first = (F.col("level") >= 0) & (F.col("level") > F.col("top") - LEVELS)
+        centre = live.where(first).select("bucket", to_all_parts, F.col("fp").alias("c"), *[F.col(x).alias(f"c_{x}") for x in ["label", "n", "lone"]])
+        room = (F.col("n") + F.col("c_n")) * (den - num)
+        pairs = live.join(centre, ["bucket", "part"]).where(
             (~first | (F.col("fp") < F.col("c"))) & (F.col("label") != F.col("c_label"))
             & (F.least("n", "c_n") * den >= F.greatest("n", "c_n") * num)
-            & (apart * (den + num) <= (F.col("n") + F.col("c_n")) * (den - num))
+            & ((F.col("lone") + F.col("c_lone")) * (den + num) <= room)
         )
         pairs = pairs.select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b")).distinct()
+        pairs = _not_apart(pairs, sketches, num, den)
         for known in tested:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = compact(pairs, "pairs", 4 * rows)
@@ -316,7 +355,7 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: in
             labels = components(links.union(older.select(F.col("node").alias("a"), F.col("label").alias("b"))))
             release(spark, older)
         release(spark, links)
-        live = live.where(~first).select("bucket", "fp", "level", "n", *SKETCH)
+        live = live.where(~first).select(*held)
     release(spark, live, sets, *tested)
     return labels
 
@@ -346,7 +385,10 @@ def near_duplicates(df: DataFrame, words: int = 5, num: int = 80, den: int = 100
     of_set = stage(marked.join(least, "root").select("fp", "component_id"), "set-components")
     release(spark, known)
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return sizes.drop(*SKETCH).join(of_set, "fp", "left_outer").select(
+    rows = sizes.drop(*SKETCH)
+    # copies of one text, and texts without words, are one set each, however many they are
+    placed = lookup(rows, of_set, "fp", heavy_keys(rows, "fp"), "doc_id")
+    return placed.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
@@ -356,4 +398,4 @@ def one_of_each(df: DataFrame, **options) -> DataFrame:
     """The documents without those that link, directly or not, to one with a smaller id. Rows without an id stay."""
     groups = near_duplicates(df, **options)
     dropped = stage(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    return df.join(few(dropped), "doc_id", "left_anti").select(*df.columns)
+    return df.join(dropped, "doc_id", "left_anti").select(*df.columns)

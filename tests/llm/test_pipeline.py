@@ -52,6 +52,18 @@ def test_stages(spark, tmp_path):
     assert Counter(map(tuple, pipeline.run(spark, SF).collect())) == Counter(map(tuple, outs[5]))
 
 
+def test_clashing_columns_are_carried(spark):
+    """Columns named like those that the operators add come out of every filtering stage with their values."""
+    clash = ["size", "target", "copies", "taken", "key", "tie", "n", "fp", "score", "component_id", "kept_text", "slice", "label"]
+    rows = [(i, f"The {i % 3} walks under a green window, as it did before. And {i} more." * 3, "en", f"s{i % 2}", 9) for i in range(6)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in clash])
+    for number, (_, step) in enumerate(pipeline.STAGES[:4]):
+        out = step(spark, docs, SF)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in clash), number
+
+
 def test_odd_documents(spark):
     """Empty tables, and documents without text, id or source, pass every stage."""
     odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id", "en", None, 5), (3, "x y z", "en", "a", 5), (3, "x y z", "en", "a", 5)]
