@@ -274,15 +274,6 @@ def lonely(sets: DataFrame) -> DataFrame:
     return stage(alone.groupBy("fp").agg(F.count("gram").cast("int").alias("lone")), "lonely")
 
 
-def _not_apart(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``a``, ``b`` whose sketches do not show that they differ in too many elements."""
-    for side in "ab":
-        names = {"fp": side} | {c: f"{side}_{c}" for c in ("n", *SKETCH)}
-        pairs = pairs.join(sketches.withColumnsRenamed(names), side)
-    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH), F.lit(0))
-    return pairs.where(apart * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b")
-
-
 def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``node`` (fp), ``label``: components of the sets that are similar to another one.
 
@@ -303,17 +294,15 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: in
     shared = buckets(docs, words, num, den)
     reps = sizes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in ["n", *SKETCH]])
     reps = stage(reps.join(shared.select("fp").distinct(), "fp"), "candidates")
-    sketches = reps.select("fp", "n", *SKETCH)
     sets = docs.select("doc_id", "text").join(reps.select("fp", "doc_id"), "doc_id").mapInPandas(_sets(words), "fp long, grams binary")
     sets = stage(sets.dropDuplicates(["fp"]), "sets")
     alone = lonely(sets)
-    # members are many: they carry what a pair is first judged by, and no more
-    reps = reps.select("fp", "n").join(alone, "fp", "left_outer").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    reps = reps.drop("doc_id").join(alone, "fp", "left_outer").withColumn("lone", F.coalesce("lone", F.lit(0)))
     reps = reps.where((F.col("n") - F.col("lone")) * den >= F.col("n") * num)
     half = F.col("lone") * (den + num) <= F.col("n") * (den - num)
     level = F.lit(63) - F.floor(F.log2(F.greatest(F.shiftrightunsigned(F.xxhash64("fp"), 1).cast("double"), F.lit(1.0))))
     reps = reps.withColumn("level", F.when(half, level.cast("int")).otherwise(F.lit(-LEVELS)))
-    held = ["bucket", "parts", "part", "fp", "level", "n", "lone"]
+    held = ["bucket", "parts", "part", "fp", "level", "n", "lone", *SKETCH]
     live = shared.join(reps, "fp").withColumn("part", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts")).cast("int"))
     live = compact(live.select(*held), "members", shared.count())
     release(spark, shared, alone)
@@ -334,15 +323,16 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, words: int, num: int, den: in
         if not rows:
             break
         first = (F.col("level") >= 0) & (F.col("level") > F.col("top") - LEVELS)
-        centre = live.where(first).select("bucket", to_all_parts, F.col("fp").alias("c"), *[F.col(x).alias(f"c_{x}") for x in ["label", "n", "lone"]])
+        centre = live.where(first).select("bucket", to_all_parts, F.col("fp").alias("c"), *[F.col(x).alias(f"c_{x}") for x in ["label", "n", "lone", *SKETCH]])
+        apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"c_{x}"))) for x in SKETCH), F.lit(0))
         room = (F.col("n") + F.col("c_n")) * (den - num)
         pairs = live.join(centre, ["bucket", "part"]).where(
             (~first | (F.col("fp") < F.col("c"))) & (F.col("label") != F.col("c_label"))
             & (F.least("n", "c_n") * den >= F.greatest("n", "c_n") * num)
             & ((F.col("lone") + F.col("c_lone")) * (den + num) <= room)
+            & (apart * (den + num) <= room)
         )
         pairs = pairs.select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b")).distinct()
-        pairs = _not_apart(pairs, sketches, num, den)
         for known in tested:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = compact(pairs, "pairs", 4 * rows)
