@@ -11,7 +11,7 @@ from riskloom.operators.link import assert_watched
 from riskloom.operators.observed import Counts
 from riskloom.operators.text import sanitize
 from riskloom.operators.verdict import verdict_rate
-from riskloom.plans.scoring import prepare
+from riskloom.plans.scoring import prepare, scoring_columns
 
 
 def report_metrics(
@@ -74,12 +74,13 @@ def quality_report(
 
 
 def link_counted(
-    transactions: DataFrame, accounts: DataFrame, customers: DataFrame, **options
+    transactions: DataFrame, accounts: DataFrame, customers: DataFrame, keep: list[str] | None = None, **options
 ) -> tuple[DataFrame, dict[str, dict]]:
     """Linked rows, staged, and all counts of the report that can be taken while they are written.
 
     Raw rows, kept rows, dimensions and linked rows are observed as they pass; that linking kept
-    the number of rows is checked.
+    the number of rows is checked.  ``keep`` cuts the staged rows down to what scoring reads and
+    these columns; the counts are those of all columns.
     """
     counts = Counts()
 
@@ -92,7 +93,8 @@ def link_counted(
         return seen.drop("__safe", "__flagged")
 
     linked = prepare(transactions, accounts, customers, watch=watch, **options)
-    linked = counts.stage(counts.watch("result", linked, *quality.linked_expressions()), "linked")
+    linked = counts.watch("result", linked, *quality.linked_expressions())
+    linked = counts.stage(linked if keep is None else scoring_columns(linked, keep), "linked")
     assert_watched(counts.values)
     return linked, counts.values
 

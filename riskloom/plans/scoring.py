@@ -84,6 +84,15 @@ def prepare(
     )
 
 
+def scoring_columns(linked: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """What scoring reads of linked rows, and the columns to keep beside it.
+
+    Cut before rows are staged, this spares the shuffles below all other columns too.
+    """
+    wanted = set(SCORING_COLUMNS) | set(keep or [])
+    return linked.select(*[name for name in linked.columns if name in wanted])
+
+
 @dataclass(frozen=True)
 class ScoringModel:
     """Everything that was learned from a batch; frozen, it scores any other rows alike."""
@@ -180,8 +189,7 @@ def score(
     """
     linked = prepare(transactions, accounts, customers, **options)
     if keep is not None:
-        wanted = set(SCORING_COLUMNS) | set(keep)
-        linked = linked.select(*[name for name in linked.columns if name in wanted])
+        linked = scoring_columns(linked, keep)
     return score_linked(stage(linked, "linked"), keep)
 
 

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom import fixed
 from riskloom.functions import ranks
 from riskloom.operators import anomaly, compare, features, rules, verdict
-from riskloom.plans import scoring, virtual
+from riskloom.plans import catalog, report, scoring, virtual
 
 SF = "/root/testdata/sf0.001"
 
@@ -242,3 +243,16 @@ def test_whole_job(spark):
     assert [r["transaction_id"] for r in first] == [f"TXN_{i:010d}" for i in range(3)]
     ranges = scored.agg(F.min("anom_score"), F.max("anom_score")).first()
     assert ranges[0] == 0.0 and 0.999 < ranges[1] <= 1.0
+
+
+def test_only_what_scoring_reads_is_staged(spark):
+    """The queries stage no column that nothing reads, at the same rows."""
+    for got, kept in ((catalog._to_score(spark, SF), []), (catalog._to_score(spark, SF, "merchant_name"), ["merchant_name"])):
+        assert set(got.columns) == set(scoring.SCORING_COLUMNS) | set(kept)
+    whole = catalog._linked(spark, SF).select(*got.columns)
+    assert compare.same_rows(got, whole)
+    assert set(catalog._to_label(spark, SF).columns) == set(catalog._PROMPT_COLUMNS)
+    tables = catalog._positioned(spark, SF)
+    linked, values = report.link_counted(*tables, keep=[], order_by=["_position"])
+    _, all_values = report.link_counted(*tables, order_by=["_position"])
+    assert set(linked.columns) == set(scoring.SCORING_COLUMNS) and values == all_values
