@@ -60,6 +60,9 @@ def tree_samples(
     """
     picked = df.select(F.col(key).cast("string").alias("key"), *FEATURE_COLUMNS)
     rate = MARGIN * sample / max(rows, 1)
+    hashed = [F.xxhash64(F.col("key"), F.lit(tree), F.lit(seed + 1)) for tree in range(trees)]
+    # few rows are picked for any tree: compiled code passes over the others
+    picked = picked.where(_hash_below(F.least(*hashed) if trees > 1 else hashed[0], rate))
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda tree: _hash_below(F.xxhash64(F.col("key"), tree, F.lit(seed + 1)), rate),

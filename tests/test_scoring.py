@@ -256,3 +256,14 @@ def test_only_what_scoring_reads_is_staged(spark):
     linked, values = report.link_counted(*tables, keep=[], order_by=["_position"])
     _, all_values = report.link_counted(*tables, order_by=["_position"])
     assert set(linked.columns) == set(scoring.SCORING_COLUMNS) and values == all_values
+
+
+def test_rows_no_tree_takes_are_passed_over(spark):
+    """The candidates of every tree are those that its own hash picks, and the test of all hashes is compiled."""
+    df = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("k"), *[F.rand(1).alias(c) for c in features.FEATURE_COLUMNS])
+    found = anomaly.tree_samples(df, "k", 20000, trees=5, sample=16)
+    assert "least(xxhash64" in found._jdf.queryExecution().optimizedPlan().toString()
+    bound = int(anomaly.MARGIN * 16 / 20000 * 2.0**64) - 2**63
+    trees = df.select("k", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("tree"))
+    want = trees.where(F.xxhash64("k", "tree", F.lit(fixed.SEED + 1)) < F.lit(bound)).collect()
+    assert sorted(found.select("key", "tree").collect()) == sorted(want) and len(want) > 50
