@@ -82,6 +82,13 @@ def column_stats(df: DataFrame, columns: list[str]) -> dict[str, ColumnStats]:
     }
 
 
+def exact_ranks(df: DataFrame, column: Column, ranks: list[int]) -> list[float]:
+    """The values at 0-based ranks of an expression that is finite in every row."""
+    values = df.select(column.cast("double").alias("v"))
+    n, least, most = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    return _select_ranks(values, {"v": ColumnStats(n, 0, least, most, None, None)}, {"v": ranks})["v"]
+
+
 def exact_median(df: DataFrame, column: Column) -> float | None:
     """Median of an expression, halfway between the middle two for an even count.
 

@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.labelled import held_out, sample
+from riskloom.functions.ranks import exact_ranks
+from riskloom.llm.labelled import held_out, known_labels
+from riskloom.sources.staging import release, stage
 
-PER_CLASS = 4_000
+KNOTS = [0.0, 0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98, 1.0]
+# at least so many preference pairs, and documents of the smaller class in a group to draw from
 PAIRS = 20_000
+GROUP = 64
+# pairs worked on at once, and tasks whose sums go to the driver
+STRETCH = 2_000
+TASKS = 256
 ACCEPTED = 0.7
 
 # classes of bytes: 0 other, 1 blank, 2 line end, 3 lower, 4 upper, 5 digit, 6 end of sentence,
@@ -84,64 +91,110 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(at, -50, 50)))
 
 
-def fit(rows: DataFrame, share_good: float, pairs: int = PAIRS, ridge: float = 1.0) -> Model:
-    """Fit on rows ``x`` (features), ``label``: bounded in number, so they go to the driver.
+def learned_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id``, ``x`` (features) and ``label`` of every document that may be learned from.
 
-    Preference pairs set a good document against a bad one, every document of either class about
-    equally often. The strengths minimise the logistic loss of their differences, by Newton
-    steps. The threshold is the quantile of all strengths, each class weighted by its true
-    share, below which as many documents lie as are labelled bad.
+    Rows that repeat an id are one document, that of the smallest features. Features are joined
+    with the labels, so no text is shuffled.
     """
-    data = rows.select("x", "label").collect()
-    x = np.array([r["x"] for r in data], float).reshape(len(data), FEATURES)
-    y = np.array([r["label"] for r in data], int)
-    knots = np.quantile(x, [0.0, 0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98, 1.0], axis=0).T if len(x) else np.zeros((FEATURES, 9))
-    model = Model(knots, np.zeros(FEATURES * 8), 0.0, 1.0)
-    order = np.lexsort(x.T)  # whatever order the rows came in
-    x, y = x[order], y[order]
-    good, bad = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
-    if not len(good) or not len(bad):
-        model.threshold = -np.inf if len(good) else np.inf
-        return model
-    z = model.expand(x)
-    draw = np.random.default_rng(0)
-    left = np.concatenate([draw.permutation(good) for _ in range(-(-pairs // len(good)))])[:pairs]
-    right = np.concatenate([draw.permutation(bad) for _ in range(-(-pairs // len(bad)))])[:pairs]
-    diff = z[left] - z[right]
-    w = model.weights
+    found = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", feature_vector("text").alias("x"))
+    joined = found.join(known_labels(labels, label), "doc_id")
+    return joined.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("label").alias("label"))
+
+
+def preference_pairs(rows: DataFrame, counts: dict[int, int], least: int = PAIRS) -> DataFrame:
+    """Pairs ``good``, ``bad`` of features: every document of the larger class against one of the other.
+
+    The smaller class is dealt by hash into groups of about ``GROUP``, of which a pair takes one
+    document by another hash, so its documents are used about equally often. The larger class
+    goes round until there are ``least`` pairs.
+    """
+    fewer, more = sorted((0, 1), key=lambda k: (counts[k], k))
+    groups, rounds = max(1, counts[fewer] // GROUP), -(-max(least, counts[more]) // counts[more])
+    held = rows.where(F.col("label") == fewer).groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group"))
+    held = held.agg(F.array_sort(F.collect_list(F.struct("doc_id", "x"))).alias("others"))
+    round_of = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
+    taken = rows.where(F.col("label") == more).select("doc_id", "x", round_of)
+    taken = taken.withColumn("group", F.pmod(F.xxhash64("round", "doc_id"), F.lit(groups)))
+    at = F.pmod(F.xxhash64("doc_id", "round"), F.size("others")).cast("int")
+    met = taken.join(held, "group").select("x", F.get("others", at)["x"].alias("other"))
+    good, bad = ("other", "x") if fewer == 1 else ("x", "other")
+    return met.select(F.col(good).alias("good"), F.col(bad).alias("bad"))
+
+
+def _slopes(model: Model):
+    """Sums of gradient and curvature of the logistic loss over pairs, one row per task."""
+    size = len(model.weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gradient, curve = np.zeros(size), np.zeros((size, size))
+        for b in batches:
+            for start in range(0, len(b), STRETCH):
+                good, bad = (np.stack(b[c].iloc[start : start + STRETCH].tolist()).astype(float) for c in ("good", "bad"))
+                diff = model.expand(good) - model.expand(bad)
+                p = 1 / (1 + np.exp(np.clip(diff @ model.weights, -50, 50)))
+                gradient += diff.T @ p
+                curve += (diff * (p * (1 - p))[:, None]).T @ diff
+        yield pd.DataFrame({"sums": [np.r_[gradient, curve[np.triu_indices(size)]]]})
+
+    return run
+
+
+def fit(rows: DataFrame, least_pairs: int = PAIRS, ridge: float = 1.0) -> Model:
+    """Fit on all rows ``doc_id``, ``x`` (features), ``label``; staged, as they are read several times.
+
+    Preference pairs set a good document against a bad one. The strengths minimise the logistic
+    loss of their differences, by Newton steps whose sums over the pairs are worked out where
+    these lie: the driver gets at most ``TASKS`` rows a step. Knots are ranks of all rows, off by
+    at most a ten-thousandth. The threshold is the exact quantile of all strengths below which as
+    many documents lie as are labelled bad.
+    """
+    spark = rows.sparkSession
+    found = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = {k: found.get(k, 0) for k in (0, 1)}
+    size = FEATURES * (len(KNOTS) - 1)
+    if not counts[0] or not counts[1]:
+        return Model(np.zeros((FEATURES, len(KNOTS))), np.zeros(size), -np.inf if counts[1] else np.inf, 1.0)
+    knots = rows.agg(*[F.percentile_approx(F.col("x")[i], KNOTS, 10_000).alias(f"k{i}") for i in range(FEATURES)]).first()
+    model = Model(np.array([list(k) for k in knots], float), np.zeros(size), 0.0, 1.0)
+    pairs = stage(preference_pairs(rows, counts, least_pairs), "quality-pairs")
+    upper = np.triu_indices(size)
     for _ in range(15):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -50, 50)))
-        gradient = diff.T @ p - ridge * w
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, gradient)
-        w = w + step
+        parts = pairs.coalesce(TASKS).mapInPandas(_slopes(model), "sums array<double>").collect()
+        total = np.sum([r["sums"] for r in parts], axis=0)
+        curve = np.zeros((size, size))
+        curve[upper] = total[size:]
+        curve = curve + np.triu(curve, 1).T + ridge * np.eye(size)
+        step = np.linalg.solve(curve, total[:size] - ridge * model.weights)
+        model.weights = model.weights + step
         if np.abs(step).max() < 1e-6:
             break
-    model.weights = w
-    strength = z @ w
-    mass = np.where(y == 1, share_good / len(good), (1 - share_good) / len(bad))
-    by = np.argsort(strength, kind="stable")
-    upto = np.cumsum(mass[by])
-    at = np.searchsorted(upto, 1 - share_good)
-    near = strength[by][max(at - 1, 0) : at + 1]
-    model.threshold = float(near.mean())
+    release(spark, pairs)
+
+    @F.pandas_udf("double")
+    def strength(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(model.strength(np.array(b.tolist(), float).reshape(len(b), FEATURES)))
+
+    strengths = stage(rows.select(strength("x").alias("s")), "quality-strengths")
+    model.threshold = sum(exact_ranks(strengths, F.col("s"), [counts[0] - 1, counts[0]])) / 2
+    release(spark, strengths)
     return model
 
 
-def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Column:
+def scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Column:
     """A column of quality scores of ``text`` for frames with the rows of ``docs``.
 
-    Learned from labels outside the held-out fold, on about ``per_class`` documents of each
-    class. Scores lie in 0..1 and are ``ACCEPTED`` at the threshold. Null and empty texts have
-    all features 0 and are scored like any other. Without any usable label all scores are 0.5;
-    with one class only, all are near that class.
+    Learned from all labelled documents outside the held-out fold. Scores lie in 0..1 and are
+    ``ACCEPTED`` at the threshold. Null and empty texts have all features 0 and are scored like
+    any other. Without any usable label all scores are 0.5; with one class only, all are near
+    that class.
     """
-    learned = labels.where(~held_out() & F.col(label).isin(0, 1))
-    good = learned.agg(F.avg(label)).first()[0]
-    if good is None:
+    if known_labels(labels, label).isEmpty():
         return F.lit(0.5)
-    chosen = sample(docs, labels, label, per_class)
-    model = fit(chosen.select(feature_vector("text").alias("x"), "label"), float(good))
+    rows = stage(learned_rows(docs, labels, label), "quality-rows")
+    model = fit(rows)
+    release(docs.sparkSession, rows)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

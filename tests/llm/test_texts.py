@@ -185,6 +185,24 @@ def test_quality(spark, labelled):
     assert all((r["s"] >= 0.7) == bool(good[r["doc_id"]]) for r in checked)
 
 
+def test_quality_learns_from_every_label(spark):
+    """All labelled documents take part, each of the larger class in a pair, those of the other about equally often."""
+    rows = [(i, [float(i)] * quality.FEATURES, int(i % 10 == 0)) for i in range(30_000)]
+    learned = spark.createDataFrame(rows, "doc_id long, x array<float>, label int")
+    pairs = quality.preference_pairs(learned, {0: 27_000, 1: 3_000}).select(F.col("good")[0], F.col("bad")[0]).collect()
+    assert sorted(bad for _, bad in pairs) == [i for i in range(30_000) if i % 10]
+    used = Counter(good for good, _ in pairs)
+    assert all(good % 10 == 0 for good in used) and len(used) > 2_950 and max(used.values()) < 40
+    few = [(i, "Good words stand here. " * 3 if i % 2 else "bad|bad|bad !!", i % 2) for i in range(400)]
+    docs = frame(spark, [(i, x) for i, x, _ in few] + [(3, "zz")])
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in few], "doc_id long, quality int, toxic int")
+    assert quality.learned_rows(docs, labels, "quality").count() == sum(not held(i) for i in range(400))
+    rows = spark.createDataFrame([(i, [i / 10] * quality.FEATURES, int(i >= 70)) for i in range(100)], "doc_id long, x array<float>, label int")
+    model = quality.fit(rows)
+    x = np.array([[i / 10] * quality.FEATURES for i in range(100)])
+    assert ((model.score(x) >= quality.ACCEPTED) == (np.arange(100) >= 70)).all()
+
+
 def test_classifiers_without_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     schema = "doc_id long, quality int, toxic int"
