@@ -695,7 +695,7 @@ def explorer_payload(spark, sf_dir):
     path, report_path = new_path(spark, "payload"), new_path(spark, "report")
     sinks.write_report(_report(spark, sf_dir), report_path)
     metrics = explore.dashboard_metrics(mark_documents(_lines(spark, sf_dir)))
-    sinks.write_explorer(_explorer(spark, sf_dir), metrics, read_report(spark, report_path), path)
+    sinks.write_explorer(_explorer(spark, sf_dir), metrics, read_report(spark, report_path), path, compression="gzip")
     shown = spark.read.schema(metrics.schema).json(f"{path}/metrics")
     doc = read_report(spark, f"{path}/report").select(
         *[

@@ -30,9 +30,13 @@ def write_explorer(
     report: DataFrame | None,
     path: str,
     mode: str = "errorifexists",
+    compression: str | None = None,
 ) -> None:
-    """What a viewer shows, as JSON: ``rows``, ``metrics`` and, if there is one, ``report``."""
-    rows.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/rows")
+    """What a viewer shows, as JSON: ``rows``, ``metrics`` and, if there is one, ``report``.
+
+    ``compression`` is that of the rows, whose field names fill most of a file; Spark reads it as it is.
+    """
+    rows.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/rows", compression=compression)
     metrics.coalesce(1).write.mode(mode).json(f"{path}/metrics")
     if report is not None:
         text = report.select(F.to_json("doc").alias("value"))

@@ -151,6 +151,19 @@ def test_explorer_payload(spark, tmp_path):
     assert lines_of(tmp_path / "out" / "report") == ['{"x":1}']
 
 
+def test_compressed_explorer_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(f"t{i}", None, "x" * 50) for i in range(200)], "transaction_id string, confidence double, said string")
+    metrics = spark.createDataFrame([(1,)], "total bigint")
+    sizes = {}
+    for compression in (None, "gzip"):
+        out = tmp_path / str(compression)
+        sinks.write_explorer(rows, metrics, None, str(out), compression=compression)
+        assert sorted(spark.read.schema(rows.schema).json(f"{out}/rows").collect()) == sorted(rows.collect())
+        assert lines_of(out / "metrics") == ['{"total":1}']
+        sizes[compression] = sum(p.stat().st_size for p in (out / "rows").glob("part-*"))
+    assert sizes["gzip"] < sizes[None] / 2
+
+
 def test_staging(spark):
     df = spark.range(5).withColumn("x", F.lit("a"))
     staged = staging.stage(df, "test")
