@@ -449,3 +449,43 @@ def test_seating():
     mean = (weights * np.arange(1, n + 1)).sum() / weights.sum()
     beyond = pitman_yor.seat(np.full(4_000, n + 1), np.full(4_000, q), d, table, draw)
     assert abs(beyond.mean() - mean) < 0.3
+
+
+def test_word_pairs_are_learned(spark):
+    """Two words of one class have restaurants of their own, and scores are those of the three levels by brute force."""
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choice(["anew york", "knew pork", "b c", "c"]) for _ in range(draw.randrange(1, 12)))) for i in range(60)]
+    asked = [(100, "anew york"), (101, "anew pork"), (102, "knew york b zz anew c"), (103, None)]
+    training = F.col("doc_id") < 100
+    docs = frame(spark, rows + asked)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, training).collect()}
+    few = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, training, head_words=2).collect()}
+    assert got[100] > got[101] + 1
+
+    model, totals = pitman_yor.train(docs.where(training).select("doc_id", "text"))
+    words = {r["word"]: r for r in model.collect()}
+    pairs = {(r["prev"], r["word"]): r for r in totals.pairs.collect()}
+    want = Counter((a, b) for _, t in rows for hashes, before, _ in [pitman_yor.tokens([t])] for a, b in zip(before.tolist(), hashes.tolist()))
+    assert {k: r["n"] for k, r in pairs.items()} == want and all(1 <= r["t"] <= r["n"] for r in pairs.values())
+    new_table = np.array([totals.new_table(s) for s, _ in totals.samples])
+
+    def chance(prev, word):
+        k = prev % pitman_yor.CONTEXTS
+        r = words.get(word)
+        of_class = totals.unseen()[k]
+        if r:
+            of_class = (np.array(r["roots"]) @ new_table / len(new_table))[k]
+            if k in r["context"]:
+                of_class = r["p"][r["context"].index(k)]
+        n = sum(c for (u, _), c in want.items() if u == prev)
+        tables = sum(r["t"] for (u, _), r in pairs.items() if u == prev)
+        held = pairs.get((prev, word))
+        own = held["n"] - totals.d_pairs * held["t"] if held else 0
+        return (own + (1 + totals.d_pairs * tables) * of_class) / (1 + n)
+
+    for i, t in rows[:10] + asked:
+        hashes, before, _ = pitman_yor.tokens([t])
+        expected = sum(math.log10(chance(a, b)) for a, b in zip(before.tolist(), hashes.tolist()))
+        assert abs(got[i] - expected) < 1e-4 and abs(few[i] - expected) < 1e-4
+    for prev in {a for a, _ in want}:
+        assert np.isclose(sum(chance(prev, w) for w in words) + chance(prev, 16), 1)
