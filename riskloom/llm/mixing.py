@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,16 +53,19 @@ def _finish(copy: Column) -> Column:
     return F.coalesce(F.try_divide(upto.cast("double"), F.col("target")), F.lit(0.0))
 
 
-def mix(df: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` per document."""
-    return queue(df, (), **options)
+def _place(seed: int) -> list[Column]:
+    """What orders the documents of a source: ``key``, a seeded hash, then the id, then ``tie``, a digest of the text."""
+    return [
+        hash_of(F.lit(f"mix{seed}"), F.col("doc_id")).alias("key"), F.col("doc_id"),
+        F.md5(F.coalesce("text", F.lit(""))).alias("tie"),
+    ]
 
 
-def queue(
-    df: DataFrame, carry: Sequence[str] = (), weights: Sequence[int] = WEIGHTS, share: float = 1.5,
-    repeats: int = 2, seed: int = 0, slice_rows: int = SLICE_ROWS, size: Column | None = None,
+def mix(
+    df: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 0,
+    slice_rows: int = SLICE_ROWS, size: Column | None = None,
 ) -> DataFrame:
-    """Documents with their ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` per document.
 
     Documents (``doc_id``, ``text``, ``source``) are shuffled by a seeded hash. A copy of a
     document finishes when its source's words up to it, over the source's target, say so; a
@@ -75,18 +79,23 @@ def queue(
     Equal keys are ordered by id and text; rows equal in all are interchangeable.
 
     Null and empty texts have size 0, are in no source's way and take nothing. A null source is a
-    source, a null id an id. An empty table gives an empty result. ``carry`` names columns
-    to keep, as ``kept_`` and their name; other columns are ignored.
+    source, a null id an id. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = df.select(
-        "doc_id", "source", (words("text") if size is None else size).alias("size"),
-        hash_of(F.lit(f"mix{seed}"), F.col("doc_id")).alias("key"),
-        F.md5(F.coalesce("text", F.lit(""))).alias("tie"),
-        *[F.col(c).alias(f"kept_{c}") for c in carry],
+    timed, taken = queue(df, weights, share, repeats, seed, slice_rows, size)
+    copies = sum(t.cast("int") for t in taken)
+    return timed.withColumn("copies", copies).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
     )
-    if not carry:  # else the texts would be written twice; they are read again instead
-        rows = stage(rows, "mix-sizes")
-    n = df.count()
+
+
+def queue(
+    df: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 0,
+    slice_rows: int = SLICE_ROWS, size: Column | None = None,
+) -> tuple[DataFrame, list[Column]]:
+    """Documents without their texts, with finish times of their source, and for each copy whether it is taken."""
+    rows = df.select("source", (words("text") if size is None else size).alias("size"), *_place(seed))
+    rows = stage(rows, "mix-sizes")
+    n = rows.count()
     slices = max(1, math.ceil(n / slice_rows))
     width = 16**15 // slices + 1
     rows = rows.withColumn("slice", F.expr(f"key div {width}")).withColumn(
@@ -122,29 +131,53 @@ def queue(
         .where(F.col("through") > budget).orderBy("range").first()
     )
     if cut is None:
-        taken = F.lit(repeats)
-    else:
-        running = F.sum("size").over(Window.partitionBy("range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
-        end = (
-            ordered.where(F.col("range") == cut["range"]).withColumn("running", running + F.lit(cut["through"] - cut["words"]))
-            .where(F.col("running") > budget).orderBy("running").first()
-        )
-        kinds = dict(ordered.dtypes)
-        last = F.struct(*[F.lit(end[c]).cast(kinds[c]).alias(c) for c in ORDER])
-        taken = sum(
-            (
-                F.struct(_finish(F.lit(c)).alias("finish"), F.lit(c).alias("copy"), "key", "doc_id", "tie") < last
-            ).cast("int")
-            for c in range(repeats)
-        )
-    return timed.withColumn("copies", taken).select(
-        "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("size") * F.col("copies")).alias("taken"), *[f"kept_{c}" for c in carry],
+        return timed, [F.lit(True)] * repeats
+    running = F.sum("size").over(Window.partitionBy("range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    end = (
+        ordered.where(F.col("range") == cut["range"]).withColumn("running", running + F.lit(cut["through"] - cut["words"]))
+        .where(F.col("running") > budget).orderBy("running").first()
     )
+    kinds = dict(ordered.dtypes)
+    last = F.struct(*[F.lit(end[c]).cast(kinds[c]).alias(c) for c in ORDER])
+    return timed, [
+        F.struct(_finish(F.lit(c)).alias("finish"), F.lit(c).alias("copy"), "key", "doc_id", "tie") < last
+        for c in range(repeats)
+    ]
+
 
+def mixture(df: DataFrame, seed: int = 0, **options) -> DataFrame:
+    """The documents of the mix themselves, each as often as it is taken, with the columns of ``df``.
 
-def mixture(df: DataFrame, **options) -> DataFrame:
-    """The documents of the mix themselves, each as often as it is taken, with the columns of ``df``."""
-    chosen = queue(df, df.columns, **options).where(F.col("copies") > 0)
+    Finish times grow with a document's place in its source, so of each copy a source gives its first places. The last
+    of them, one row per source, are joined to the documents, whose texts are neither shuffled nor written again.
+    Rows equal in place, so in id and text, are interchangeable: if the mix takes some of them, they are counted out.
+    """
+    timed, taken = queue(df, seed=seed, **options)
+    copies = range(len(taken))
+    place = F.struct("key", "doc_id", "tie").alias("place")
+    timed = timed.select(F.col("source").alias("of"), place, *[t.alias(f"taken{c}") for c, t in enumerate(taken)])
+    lasts = timed.groupBy("of").agg(*[F.max(F.when(F.col(f"taken{c}"), F.col("place"))).alias(f"last{c}") for c in copies])
+    lasts = stage(lasts, "mix-lasts")
+    at = [F.coalesce(F.col("place") == F.col(f"last{c}"), F.lit(False)) for c in copies]
+    equal = timed.join(lasts.withColumnRenamed("of", "source"), F.col("of").eqNullSafe(F.col("source"))).groupBy("of").agg(
+        *[F.count_if(at[c]).alias(f"equal{c}") for c in copies],
+        *[F.count_if(at[c] & F.col(f"taken{c}")).alias(f"first{c}") for c in copies],
+    )
+    equal = equal.withColumnRenamed("of", "__of")
+    ends = lasts.join(equal, lasts["of"].eqNullSafe(equal["__of"])).drop("__of")
+    ends = stage(ends, "mix-ends")
+
+    kept = [F.col(c).alias(f"kept_{c}") for c in df.columns]
+    rows = df.select("source", *_place(seed), *kept).select("source", place, *[f"kept_{c}" for c in df.columns])
+    rows = rows.join(ends, rows["source"].eqNullSafe(ends["of"]))
+    parted = reduce(Column.__or__, [at[c] & (F.col(f"first{c}") < F.col(f"equal{c}")) for c in copies])
+    upto = [F.coalesce(F.col("place") <= F.col(f"last{c}"), F.lit(False)).cast("int") for c in copies]
+    chosen = rows.where(~parted).withColumn("copies", sum(upto))
+    if not ends.where(reduce(Column.__or__, [F.col(f"first{c}") < F.col(f"equal{c}") for c in copies])).isEmpty():
+        number = F.row_number().over(Window.partitionBy("source", "place").orderBy(F.lit(0)))
+        some = rows.where(parted).withColumn("number", number)
+        first = [F.when(at[c], (F.col("number") <= F.col(f"first{c}")).cast("int")).otherwise(upto[c]) for c in copies]
+        chosen = chosen.unionByName(some.withColumn("copies", sum(first)).drop("number"))
+    chosen = chosen.where(F.col("copies") > 0)
     repeated = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(*[F.col(f"kept_{c}").alias(c) for c in df.columns])

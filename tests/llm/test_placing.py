@@ -67,6 +67,23 @@ def test_mixture_repeats_whole_rows(spark, rows):
     assert mixing.mixture(frame(spark, [(1, None, None)])).count() in (0, 1, 2)
 
 
+def test_mixture_leaves_texts_where_they_are(spark, rows, tmp_path):
+    frame(spark, rows).write.parquet(str(tmp_path / "docs"))
+    plan = mixing.mixture(spark.read.parquet(str(tmp_path / "docs")))._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    assert not shuffles
+
+
+def test_mixture_counts_equal_rows_out(spark):
+    rows = [(1, "a b c", "s0")] * 7 + [(2, "d e", "s1")] * 9 + [(None, "f", None)] * 5
+    df = frame(spark, rows)
+    copies = Counter()
+    for r in mixing.mix(df).collect():
+        copies[r["doc_id"]] += r["copies"]
+    assert 0 < copies[2] % 9  # some of the equal rows are taken once more than others
+    assert Counter(r["doc_id"] for r in mixing.mixture(df).collect()) == +copies
+
+
 def test_shard(spark, rows):
     got = sharding.shard(frame(spark, rows), 7, slots=512).collect()
     texts = {(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows}
