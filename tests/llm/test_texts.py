@@ -339,6 +339,22 @@ def test_lone_elements(spark):
     assert {r["fp"]: r["lone"] for r in got.collect()} == {1: 1, 2: 2, 3: 1}
 
 
+def test_only_sets_of_pairs_are_moved(spark, monkeypatch):
+    keys = spark.range(20_000).select((F.col("id") * 7919 - 500_000).alias("k"), F.col("id").alias("v"))
+    wanted = keys.where("v % 50 = 0").select(F.col("k").alias("a")).union(spark.createDataFrame([(None,), (3,)], "a long"))
+    got = {r["v"] for r in partenum.among(keys, "k", wanted, 402).collect()}
+    assert got >= set(range(0, 20_000, 50)) and len(got) < 4_000
+    assert partenum.among(keys, "k", wanted.limit(0), 0).count() == 0
+
+    asked, original = [], partenum.among
+    monkeypatch.setattr(partenum, "among", lambda df, key, few, rows: asked.append((key, rows)) or original(df, key, few, rows))
+    alike = [(i, " ".join(f"w{j}" for j in range(200)) + f" e{i % 5}") for i in range(20)]
+    other = [(100 + i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(20)]
+    found = {r["doc_id"]: r["component_id"] for r in partenum.near_duplicates(frame(spark, alike + alike + other)).collect()}
+    assert found == {i: 0 for i in range(20)} | {i: i for i in range(100, 120)}
+    assert [key for key, _ in asked[:3]] == ["doc_id", "fp", "fp"] and max(rows for _, rows in asked) <= 10
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(500, 500), (300, 7)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
