@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom import fixed
+from riskloom.functions.compiled import java_function
 from riskloom.operators.features import FEATURE_COLUMNS
-from riskloom.sources.staging import new_path
 
 # expected candidates per tree, as a multiple of the sample size
 MARGIN = 1.5
 _HASH_SPAN = float(2**64)
 VECTOR = "__features"
-# how the library stores a node
-NODE = (
-    "struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, rawCount: bigint, gain: double, "
-    "leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>>"
-)
 
 
 def path_length(rows) -> np.ndarray:
@@ -128,55 +122,74 @@ class Forest:
         ratio = total / len(self.features) / expected if expected else np.ones(len(points))
         return np.power(2.0, -ratio)
 
-    def nodes(self) -> list[tuple[int, int, float, int, int, int, float | None]]:
-        """Rows (tree, id, path length, left, right, feature, threshold); leaves have no children.
 
-        Ids count the nodes of a tree from its root downwards, left before right.
-        """
-        rows = []
-        inner = self.features.shape[1]
-        for tree, (feature, threshold, depth) in enumerate(zip(self.features, self.thresholds, self.depths)):
-            start = len(rows)
-            pending = [(0, None)]
-            while pending:
-                node, parent = pending.pop()
-                place = len(rows) - start
-                if parent is not None:  # right children come after all that is below the left
-                    rows[parent][4] = place
-                if node < inner and np.isfinite(threshold[node]):
-                    rows.append([tree, place, 0.0, place + 1, -1, int(feature[node]), float(threshold[node])])
-                    pending += [(2 * node + 2, start + place), (2 * node + 1, None)]
-                    continue
-                while node < inner:
-                    node = 2 * node + 1
-                rows.append([tree, place, float(depth[node - inner]), -1, -1, -1, None])
-        return [tuple(row) for row in rows]
-
-
-def tree_model(spark: SparkSession, forest: Forest) -> RandomForestRegressionModel:
-    """The forest as a model of Spark's own library, whose prediction is the mean path length.
-
-    It is written in the library's storage format and loaded, so rows are scored by its compiled
-    trees, which go right where a value exceeds the threshold, as these do.
-    """
-    path = new_path(spark, "forest")
-    about = lambda kind, uid, params, **more: json.dumps(
-        {
-            "class": f"org.apache.spark.ml.regression.{kind}RegressionModel", "timestamp": 0,
-            "sparkVersion": spark.version, "uid": uid, "paramMap": {"featuresCol": VECTOR, "impurity": "variance", **params}, "defaultParamMap": {}, **more,
+# Each row goes down all trees; four at a time, as each step waits for the one before.  Sums are taken in
+# the order of the trees.
+TREE_WALK = """
+package riskloom;
+
+public final class TreeWalk implements org.apache.spark.sql.api.java.UDF1 {
+    private int trees;
+    private int levels;
+    private byte[] features;
+    private double[] thresholds;
+    private double[] depths;
+
+    public void load(int trees, int levels, byte[] features, byte[] thresholds, byte[] depths) {
+        this.trees = trees;
+        this.levels = levels;
+        this.features = features;
+        this.thresholds = doubles(thresholds);
+        this.depths = doubles(depths);
+    }
+
+    private static double[] doubles(byte[] packed) {
+        double[] out = new double[packed.length / 8];
+        java.nio.ByteBuffer.wrap(packed).asDoubleBuffer().get(out);
+        return out;
+    }
+
+    public Object call(Object held) {
+        double[] row = ((org.apache.spark.ml.linalg.Vector) held).toArray();
+        int inner = (1 << levels) - 1;
+        double total = 0.0;
+        int tree = 0;
+        for (; tree + 4 <= trees; tree += 4) {
+            int a = tree * inner, b = a + inner, c = b + inner, d = c + inner;
+            int i = 0, j = 0, k = 0, l = 0;
+            for (int level = 0; level < levels; level++) {
+                i = 2 * i + (row[features[a + i]] <= thresholds[a + i] ? 1 : 2);
+                j = 2 * j + (row[features[b + j]] <= thresholds[b + j] ? 1 : 2);
+                k = 2 * k + (row[features[c + k]] <= thresholds[c + k] ? 1 : 2);
+                l = 2 * l + (row[features[d + l]] <= thresholds[d + l] ? 1 : 2);
+            }
+            int leaf = tree * (inner + 1) - inner;
+            total += depths[leaf + i];
+            total += depths[leaf + (inner + 1) + j];
+            total += depths[leaf + 2 * (inner + 1) + k];
+            total += depths[leaf + 3 * (inner + 1) + l];
+        }
+        for (; tree < trees; tree++) {
+            int root = tree * inner, node = 0;
+            for (int level = 0; level < levels; level++) {
+                node = 2 * node + (row[features[root + node]] <= thresholds[root + node] ? 1 : 2);
+            }
+            total += depths[tree * (inner + 1) - inner + node];
         }
+        return Double.valueOf(total / trees);
+    }
+}
+"""
+
+
+def mean_path(spark: SparkSession, forest: Forest) -> Callable[[Column], Column]:
+    """The mean path length of a vector of features, as a compiled function that holds the trees as arrays."""
+    trees, inner = forest.features.shape
+    packed = lambda values, kind: values.astype(kind).tobytes()
+    return java_function(
+        spark, "riskloom.TreeWalk", TREE_WALK, trees, (inner + 1).bit_length() - 1,
+        packed(forest.features, "i1"), packed(forest.thresholds, ">f8"), packed(forest.depths, ">f8"),
     )
-    trees, width = len(forest.features), len(FEATURE_COLUMNS)
-    whole = about("RandomForest", "isolation", {"numTrees": trees}, numFeatures=width, numTrees=trees)
-    spark.createDataFrame([(whole,)], "value string").coalesce(1).write.text(f"{path}/metadata")
-    parts = [(t, about("DecisionTree", f"isolation-{t}", {}), 1.0) for t in range(trees)]
-    spark.createDataFrame(parts, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
-    rows = [
-        (tree, (at, length, 0.0, [1.0, length, length * length], 1, 0.0, left, right, (feature, [] if cut is None else [cut], -1)))
-        for tree, at, length, left, right, feature, cut in forest.nodes()
-    ]
-    spark.createDataFrame(rows, f"treeID int, nodeData {NODE}").coalesce(1).write.parquet(f"{path}/data")
-    return RandomForestRegressionModel.load(path)
 
 
 def fit_forest(
@@ -232,11 +245,11 @@ def fit_forest(
 
 def score_forest(df: DataFrame, forest: Forest, column: str = "anom_raw") -> DataFrame:
     """Add the raw anomaly score of standardized features; rows do not leave the JVM."""
-    model = tree_model(df.sparkSession, forest).setPredictionCol("__path")
     held = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol=VECTOR).transform(df)
     expected = float(path_length(forest.sample))
-    ratio = F.col("__path") / F.lit(expected) if expected else F.lit(1.0)
-    return model.transform(held).withColumn(column, F.pow(F.lit(2.0), -ratio)).drop(VECTOR, "__path")
+    path = mean_path(df.sparkSession, forest)(F.col(VECTOR))
+    ratio = path / F.lit(expected) if expected else F.lit(1.0)
+    return held.withColumn(column, F.pow(F.lit(2.0), -ratio)).drop(VECTOR)
 
 
 def score_range(df: DataFrame, column: str = "anom_raw") -> tuple[float, float]:

@@ -10,6 +10,7 @@ from riskloom import fixed
 from riskloom.functions import ranks
 from riskloom.operators import anomaly, compare, features, rules, verdict
 from riskloom.plans import catalog, report, scoring, virtual
+from riskloom.sources import staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -267,3 +268,19 @@ def test_rows_no_tree_takes_are_passed_over(spark):
     trees = df.select("k", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("tree"))
     want = trees.where(F.xxhash64("k", "tree", F.lit(fixed.SEED + 1)) < F.lit(bound)).collect()
     assert sorted(found.select("key", "tree").collect()) == sorted(want) and len(want) > 50
+
+
+@pytest.mark.parametrize("trees", [1, 2, 4, 7])
+def test_trees_are_walked_as_arrays(spark, trees):
+    """Scoring stages no model, and any number of trees adds up as node by node, on cut values too."""
+    points = np.round(np.random.default_rng(5).normal(size=(400, 9)), 1)
+    df = feature_frame(spark, points)
+    forest = anomaly.fit_forest(df, "k", 400, trees=trees, sample=64)
+    cuts = forest.thresholds[np.isfinite(forest.thresholds)][:20]
+    points = np.concatenate([points, np.repeat(cuts[:, None], 9, axis=1)])
+    staged = len(staging._paths)
+    scored = anomaly.score_forest(feature_frame(spark, points), forest)
+    assert len(staging._paths) == staged
+    by_key = {r["k"]: r["anom_raw"] for r in scored.collect()}
+    for i, point in enumerate(points):
+        assert math.isclose(by_key[f"k{i:05d}"], walk(forest, point), rel_tol=1e-14)
