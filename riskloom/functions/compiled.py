@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
-from pyspark.sql import types as T
 
 _classes: dict[tuple[str, str], object] = {}
 
@@ -32,15 +33,15 @@ def _java_class(spark: SparkSession, name: str, source: str):
     return _classes[key]
 
 
-def java_function(spark: SparkSession, name: str, source: str, *given):
-    """A function of one column, without nulls in its double result.
+def java_function(spark: SparkSession, name: str, source: str, kind: str, *given) -> Callable[[Column], Column]:
+    """A function of one column without nulls, with results of type ``kind`` and none of them null.
 
     The class implements ``UDF1`` and is told what it works with by its method ``load``.
     """
     made = _java_class(spark, name, source).newInstance()
     made.load(*given)
-    kind = spark._jvm.org.apache.spark.sql.types.DataType.fromJson(T.DoubleType().json())
-    function = spark._jvm.org.apache.spark.sql.functions.udf(made, kind).asNonNullable()
+    returned = spark._jvm.org.apache.spark.sql.types.DataType.fromDDL(kind)
+    function = spark._jvm.org.apache.spark.sql.functions.udf(made, returned).asNonNullable()
 
     def call(column: Column) -> Column:
         return Column(function.apply(spark._jvm.PythonUtils.toSeq([column._jc])))

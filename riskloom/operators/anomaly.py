@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,31 @@ from riskloom.operators.features import FEATURE_COLUMNS
 # expected candidates per tree, as a multiple of the sample size
 MARGIN = 1.5
 _HASH_SPAN = float(2**64)
-VECTOR = "__features"
+
+# the least of xxhash64(key, tree, seed) over all trees, from xxhash64(key): a hash goes on from the one before
+LEAST_HASH = """
+package riskloom;
+
+public final class LeastHash implements org.apache.spark.sql.api.java.UDF1 {
+    private int trees;
+    private int seed;
+
+    public void load(int trees, int seed) {
+        this.trees = trees;
+        this.seed = seed;
+    }
+
+    public Object call(Object key) {
+        long start = ((Long) key).longValue();
+        long least = Long.MAX_VALUE;
+        for (int tree = 0; tree < trees; tree++) {
+            long hash = org.apache.spark.sql.catalyst.expressions.XXH64.hashInt(tree, start);
+            least = Math.min(least, org.apache.spark.sql.catalyst.expressions.XXH64.hashInt(seed, hash));
+        }
+        return Long.valueOf(least);
+    }
+}
+"""
 
 
 def path_length(rows) -> np.ndarray:
@@ -55,7 +78,11 @@ def tree_samples(
     picked = df.select(F.col(key).cast("string").alias("key"), *FEATURE_COLUMNS)
     rate = MARGIN * sample / max(rows, 1)
     hashed = [F.xxhash64(F.col("key"), F.lit(tree), F.lit(seed + 1)) for tree in range(trees)]
-    # few rows are picked for any tree: compiled code passes over the others
+    # few rows are picked for any tree: compiled code passes over the others.  The first test is the second
+    # one with the key hashed once for all trees, which leaves the second few rows
+    if rate < 1.0:
+        least = java_function(df.sparkSession, "riskloom.LeastHash", LEAST_HASH, "bigint", trees, seed + 1)
+        picked = picked.where(_hash_below(least(F.xxhash64("key")), rate))
     picked = picked.where(_hash_below(F.least(*hashed) if trees > 1 else hashed[0], rate))
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)),
@@ -150,7 +177,15 @@ public final class TreeWalk implements org.apache.spark.sql.api.java.UDF1 {
     }
 
     public Object call(Object held) {
-        double[] row = ((org.apache.spark.ml.linalg.Vector) held).toArray();
+        scala.collection.Seq values = (scala.collection.Seq) held;
+        double[] row = new double[values.length()];
+        for (int at = 0; at < row.length; at++) {
+            Double value = (Double) values.apply(at);
+            if (value == null || value.isNaN()) {
+                throw new IllegalArgumentException("feature " + at + " is null or NaN");
+            }
+            row[at] = value.doubleValue();
+        }
         int inner = (1 << levels) - 1;
         double total = 0.0;
         int tree = 0;
@@ -183,11 +218,11 @@ public final class TreeWalk implements org.apache.spark.sql.api.java.UDF1 {
 
 
 def mean_path(spark: SparkSession, forest: Forest) -> Callable[[Column], Column]:
-    """The mean path length of a vector of features, as a compiled function that holds the trees as arrays."""
+    """The mean path length of an array of features, as a compiled function that holds the trees as arrays."""
     trees, inner = forest.features.shape
     packed = lambda values, kind: values.astype(kind).tobytes()
     return java_function(
-        spark, "riskloom.TreeWalk", TREE_WALK, trees, (inner + 1).bit_length() - 1,
+        spark, "riskloom.TreeWalk", TREE_WALK, "double", trees, (inner + 1).bit_length() - 1,
         packed(forest.features, "i1"), packed(forest.thresholds, ">f8"), packed(forest.depths, ">f8"),
     )
 
@@ -245,11 +280,10 @@ def fit_forest(
 
 def score_forest(df: DataFrame, forest: Forest, column: str = "anom_raw") -> DataFrame:
     """Add the raw anomaly score of standardized features; rows do not leave the JVM."""
-    held = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol=VECTOR).transform(df)
     expected = float(path_length(forest.sample))
-    path = mean_path(df.sparkSession, forest)(F.col(VECTOR))
+    path = mean_path(df.sparkSession, forest)(F.array(*FEATURE_COLUMNS))
     ratio = path / F.lit(expected) if expected else F.lit(1.0)
-    return held.withColumn(column, F.pow(F.lit(2.0), -ratio)).drop(VECTOR)
+    return df.withColumn(column, F.pow(F.lit(2.0), -ratio))
 
 
 def score_range(df: DataFrame, column: str = "anom_raw") -> tuple[float, float]:

@@ -77,13 +77,15 @@ def apply_rules(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     points = [F.when(h, F.lit(rule.points)).otherwise(F.lit(0.0)) for h, rule in zip(hit, rules)]
     # floating sums depend on their order: keep the listed one
     score = reduce(lambda total, step: total + step, points, F.lit(0.0))
-    texts = F.array_compact(F.array(*[F.when(h, F.lit(r.reason)) for h, r in zip(hit, rules)]))
-    shown = F.array_join(F.slice(F.col("__texts"), 1, 3), ", ")
+    # the first three texts: those of rules that fewer than three before them fired with
+    before, texts = F.lit(0), []
+    for h, rule in zip(hit, rules):
+        texts.append(F.when(h & (before < 3), F.lit(rule.reason)))
+        before = before + h.cast("int")
     return (
         out.withColumn("rule_score", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
-        .withColumn("__texts", texts)
         .withColumn(
-            "reasons", F.when(F.size("__texts") == 0, F.lit(fixed.NO_REASON)).otherwise(shown)
+            "reasons", F.when(before == 0, F.lit(fixed.NO_REASON)).otherwise(F.concat_ws(", ", *texts))
         )
-        .drop("__fired", "__texts")
+        .drop("__fired")
     )

@@ -114,17 +114,20 @@ def scaled_features(linked: DataFrame, model: ScoringModel) -> DataFrame:
     return scale_features(featured, model.fill, model.scale)
 
 
+def _fit_staged(featured: DataFrame, median: float | None, **forest_options) -> ScoringModel:
+    stats = feature_stats(featured)
+    fill, scale = fills(stats), scales(stats)
+    rows = stats[FEATURE_COLUMNS[0]].rows
+    scaled = scale_features(featured.select(KEY, *FEATURE_COLUMNS), fill, scale)
+    return ScoringModel(median, fill, scale, fit_forest(scaled, KEY, rows, **forest_options))
+
+
 def fit_trees(linked: DataFrame, **forest_options) -> ScoringModel:
     """All of a model but the range of its raw scores."""
     median = valid_amount_median(linked)
     featured = add_features(fill_amount(linked, median)).select(KEY, *FEATURE_COLUMNS)
     # nine numbers per row, parsed once for all passes over them
-    featured = stage(featured, "features")
-    stats = feature_stats(featured)
-    fill, scale = fills(stats), scales(stats)
-    rows = stats[FEATURE_COLUMNS[0]].rows
-    scaled = scale_features(featured, fill, scale)
-    return ScoringModel(median, fill, scale, fit_forest(scaled, KEY, rows, **forest_options))
+    return _fit_staged(stage(featured, "features"), median, **forest_options)
 
 
 def raw_scores(linked: DataFrame, model: ScoringModel) -> DataFrame:
@@ -165,10 +168,18 @@ def score_linked(
     Raw scores are staged, so the trees run over the rows once, although the last step needs
     the range of all scores.  ``keep`` names the columns wanted beside the scores.
     """
-    model = fit_trees(linked, **forest_options)
-    raw = raw_scores(linked, model)
-    if keep is not None:
-        raw = raw.select(*keep, "rule_score", "reasons", "anom_raw")
+    if keep is None:
+        model = fit_trees(linked, **forest_options)
+        raw = raw_scores(linked, model)
+    else:
+        median = valid_amount_median(linked)
+        # rules and features parse the same numbers: one pass works out both
+        ruled = apply_rules(add_features(fill_amount(linked, median)))
+        names = dict.fromkeys([KEY, *keep, *FEATURE_COLUMNS, "rule_score", "reasons"])
+        featured = stage(ruled.select(*names), "features")
+        model = _fit_staged(featured, median, **forest_options)
+        scaled = scale_features(featured, model.fill, model.scale)
+        raw = score_forest(scaled, model.forest).select(*keep, "rule_score", "reasons", "anom_raw")
     raw = stage(raw, "raw")
     model = with_range(model, raw)
     return finish(raw, model), model

@@ -284,3 +284,57 @@ def test_trees_are_walked_as_arrays(spark, trees):
     by_key = {r["k"]: r["anom_raw"] for r in scored.collect()}
     for i, point in enumerate(points):
         assert math.isclose(by_key[f"k{i:05d}"], walk(forest, point), rel_tol=1e-14)
+
+
+def test_reasons_are_the_first_three_by_compiled_expressions(spark):
+    draw = np.random.default_rng(8)
+    many = [rules.Rule(0.01, f"r{i}, part", lambda s, i=i: F.col("bits").bitwiseAND(1 << i) > 0) for i in range(9)]
+    fields = {**CALM, "bits": 0}
+    bits = [0, 1, 511, *map(int, draw.integers(0, 512, 200))]
+    rows = [tuple({**fields, "bits": b}.values()) for b in bits]
+    ruled = rules.apply_rules(spark.createDataFrame(rows, SCHEMA + ", bits int"), many)
+    assert "lambda" not in ruled._jdf.queryExecution().optimizedPlan().toString()
+    for row in ruled.select("bits", "reasons").collect():
+        fired = [rule.reason for i, rule in enumerate(many) if row["bits"] >> i & 1]
+        assert row["reasons"] == (", ".join(fired[:3]) or fixed.NO_REASON)
+
+
+def test_samples_are_picked_by_keys_hashed_once(spark):
+    """Null keys, keys in many rows and texts of any length are picked as the hashes of key and tree say."""
+    values = [None, "", "k", "é" * 40, *[f"k{i % 3000}" for i in range(6000)]]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "k string, i int")
+    df = df.select("k", *[F.col("i").cast("double").alias(c) for c in features.FEATURE_COLUMNS])
+    found = anomaly.tree_samples(df, "k", len(values), trees=6, sample=800)
+    assert "UDF(xxhash64" in found._jdf.queryExecution().optimizedPlan().toString()
+    bound = int(anomaly.MARGIN * 800 / len(values) * 2.0**64) - 2**63
+    trees = df.select("k", "f_amt", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("tree"))
+    want = trees.where(F.xxhash64("k", "tree", F.lit(fixed.SEED + 1)) < F.lit(bound))
+    assert compare.same_rows(found.select(F.col("key").alias("k"), "f_amt", "tree"), want) and want.count() > 5000
+
+
+def test_numbers_are_parsed_once(spark, monkeypatch):
+    """Rules and features come out of one pass, with the scores of a fit that keeps every column."""
+    linked = catalog._to_score(spark, SF, "merchant_name")
+    plans = {}
+
+    def spying(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return staging.stage(df, name)
+
+    monkeypatch.setattr(scoring, "stage", spying)
+    scored, model = scoring.score_linked(linked, ["transaction_id"])
+    assert "RLIKE" in plans["features"] and "RLIKE" not in plans["raw"]
+    whole, other = scoring.score_linked(linked)
+    assert compare.same_rows(scored, whole.select(*scored.columns))
+    assert (model.amount_median, model.fill, model.scale, model.raw_low, model.raw_high) == (
+        other.amount_median, other.fill, other.scale, other.raw_low, other.raw_high)
+    assert set(whole.columns) >= set(linked.columns) | {"amount_filled", "combined"}
+
+
+def test_a_feature_without_a_number_fails(spark):
+    df = feature_frame(spark, np.random.default_rng(1).normal(size=(50, 9)))
+    forest = anomaly.fit_forest(df, "k", 50, trees=3)
+    for odd in (None, math.nan):
+        broken = df.withColumn("f_hour", F.lit(odd).cast("double"))
+        with pytest.raises(Exception, match="is null or NaN"):
+            anomaly.score_forest(broken, forest).select("anom_raw").collect()
